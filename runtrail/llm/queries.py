@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import fit, pii_digest, with_spans
+
+    return pii_digest(with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), fit(spark)))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed, mixing_digest
 
@@ -43,6 +49,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
