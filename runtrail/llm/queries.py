@@ -34,6 +34,12 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_digest(identify(docs.select("doc_id", "text"), fit(docs)))
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import fit, judged, url_digest
+
+    return url_digest(judged(table(spark, sf_dir, "pages").select("page_id", "url"), fit(spark)))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit, quality_digest, scored
 
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
+    "op5_urls": op5_urls,
     "op7_quality": op7_quality,
     "op10_decontaminate": op10_decontaminate,
 }
