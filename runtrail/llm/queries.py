@@ -40,6 +40,12 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_digest(judged(table(spark, sf_dir, "pages").select("page_id", "url"), fit(spark)))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import with_next
+
+    return with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit, quality_digest, scored
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
     "op5_urls": op5_urls,
+    "op6_fingerprints": op6_fingerprints,
     "op7_quality": op7_quality,
     "op10_decontaminate": op10_decontaminate,
 }
