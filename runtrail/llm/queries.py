@@ -53,6 +53,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(scored(docs, fit(docs, table(spark, sf_dir, "labels"))))
 
 
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokens import token_counts, token_digest
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_digest(token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"]))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination_digest, scan_documents
 
@@ -68,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_urls": op5_urls,
     "op6_fingerprints": op6_fingerprints,
     "op7_quality": op7_quality,
+    "op8_tokens": op8_tokens,
     "op10_decontaminate": op10_decontaminate,
 }
 
