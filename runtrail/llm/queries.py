@@ -62,6 +62,16 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"]))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .chat import read_back, windows
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(r"\### Assistant: </turn> ok").alias("text"))
+    return read_back(windows(turns.unionByName(odd)))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination_digest, scan_documents
 
@@ -78,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_fingerprints": op6_fingerprints,
     "op7_quality": op7_quality,
     "op8_tokens": op8_tokens,
+    "op9_chat": op9_chat,
     "op10_decontaminate": op10_decontaminate,
 }
 
