@@ -407,20 +407,13 @@ def url_ip_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(text.urls_in(F.col("html")), " ").alias("urls"))
 
 
-@query(r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^https://', 'hxxps://'), '^http://', 'hxxp://'), '\.(com|org|net)([/:?#]|$)', '[.]\1\2') AS host_defanged FROM (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+', 0) AS url FROM pages) WHERE NOT regexp_matches(url, '\.[a-z]+\.(com|org|net)')")
-def defang_single_label(spark, sf_dir):
-    host = F.regexp_extract("url", "^https?://[^/?#]+", 0)
-    rows = table(spark, sf_dir, "pages").select("page_id", host.alias("u")).where(~F.col("u").rlike(r"\.[a-z]+\.(com|org|net)"))
-    return rows.select("page_id", text.defang(F.col("u")).alias("host_defanged"))
-
-
-@query(r"SELECT page_id, replace(regexp_replace(regexp_extract(url, '^https?://[^/?#]+', 0), '^http', 'hxxp'), '.', '[.]') AS host_defanged FROM pages")
+@query(r"SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '^https?://[^/?#]+', 0), '^http', 'hxxp'), '\.(net|org)$', '[.]\1') AS host_defanged FROM pages")  # .com is an ending of files too: it stays
 def defang_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.defang(F.regexp_extract("url", "^https?://[^/?#]+", 0)).alias("host_defanged"))
 
 
 @query(f"""WITH {TRACE}, n AS (SELECT DISTINCT target, lower(target) AS v FROM te WHERE type IN ('file_write', 'registry_set'))
-SELECT target, regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, 'c:\\\\users\\\\[^\\\\]+\\\\appdata\\\\roaming', '%appdata%'), 'hkey_current_user', 'hkcu'), 'hkey_local_machine', 'hklm'), '[0-9]+', '#', 'g') AS normal FROM n""".replace("\\\\", "\\"))
+SELECT target, regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, 'c:\\\\users\\\\[^\\\\]+\\\\appdata\\\\roaming', '%appdata%'), 'hkey_current_user', 'hkcu'), 'hkey_local_machine', 'hklm'), '[0-9]+', '#', 'g') AS normal FROM n""")
 def normalize_values(spark, sf_dir):
     return file_and_key_events(spark, sf_dir).select("target").distinct().withColumn("normal", text.normalize(F.col("target")))
 
@@ -495,7 +488,7 @@ def open_set_label(spark, sf_dir):
     return rows.withColumn("predicted", scalar.predicted_family(F.col("family")))
 
 
-@query("WITH c AS (SELECT d.source AS source, count(*) FILTER (WHERE quality = 0) AS k, count(*) AS n FROM labels l JOIN documents d USING (doc_id) GROUP BY 1), x AS (SELECT source, k, n, k / n::DOUBLE AS p, 1 + 3.8416 / n AS d FROM c) SELECT source, k, n, round(greatest(0, (p + 3.8416 / (2 * n)) / d - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / d)::DOUBLE, 6) AS low, round(least(1, (p + 3.8416 / (2 * n)) / d + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / d)::DOUBLE, 6) AS high FROM x")
+@query("WITH c AS (SELECT d.source AS source, count(*) FILTER (WHERE quality = 0) AS k, count(*) AS n FROM labels l JOIN documents d USING (doc_id) GROUP BY 1), x AS (SELECT source, k, n, k / n::DOUBLE AS p, 1 + 3.8416 / n AS d FROM c) SELECT source, k, n, round(round(greatest(0, (p + 3.8416 / (2 * n)) / d - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / d)::DOUBLE, 8), 6) AS low, round(round(least(1, (p + 3.8416 / (2 * n)) / d + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / d)::DOUBLE, 8), 6) AS high FROM x")
 def wilson_ci(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     counts = rows.groupBy("source").agg(F.count_if(F.col("quality") == 0).alias("k"), F.count("*").alias("n"))
