@@ -48,7 +48,8 @@ def grams(host: Column, path: Column) -> Column:
     def of(part: str, text: Column) -> list[Column]:
         marked = F.concat(F.lit("^"), F.translate(F.lower(text), "0123456789", "0000000000"), F.lit("$"))
         starts = lambda n: F.sequence(F.lit(1), F.greatest(F.length(marked) - (n - 1), F.lit(1)))
-        return [F.transform(starts(n), lambda i, n=n: F.concat(F.lit(part), marked.substr(i, F.lit(n)))) for n in GRAMS]
+        piece = lambda n: lambda i: F.concat(F.lit(part), marked.substr(i, F.lit(n)))
+        return [F.transform(starts(n), piece(n)) for n in GRAMS]
 
     return F.concat(*of("h", host), *of("p", path))
 
