@@ -20,7 +20,7 @@ def safe_int(v: Column, default: int = 0) -> Column:
     """An integer from text, hexadecimal with 0x too; ``default`` otherwise."""
     t = F.lower(F.trim(v.cast("string")))
     hexadecimal = F.conv(F.regexp_extract(t, "^0x([0-9a-f]{1,15})$", 1), 16, 10).try_cast("long")
-    return F.coalesce(F.when(F.startswith(t, F.lit("0x")), hexadecimal), t.try_cast("long"), F.floor(t.try_cast("double")).try_cast("long"), F.lit(default))
+    return F.coalesce(F.when(F.startswith(t, F.lit("0x")), hexadecimal), t.try_cast("long"), F.when(F.abs(t.try_cast("double")) < 9.2e18, F.floor(t.try_cast("double")).try_cast("long")), F.lit(default))
 
 
 def let(value: Column, body) -> Column:

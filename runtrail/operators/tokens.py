@@ -49,7 +49,7 @@ def static_tokens(files: DataFrame, pe: str = "pe") -> DataFrame:
     p = F.col(pe)
     lower = lambda c: F.lower(F.coalesce(c, F.lit("")))
     text = lambda prefix, c: F.concat(F.lit(prefix), c)
-    none = F.array().cast("array<string>")
+    none = F.array()
     imports = F.flatten(F.transform(F.coalesce(p["imports"], none.cast("array<struct<dll:string,imports:array<struct<name:string>>>>")), lambda d: F.concat(F.array(text("dll:", lower(d["dll"]))), F.transform(F.filter(F.slice(F.coalesce(d["imports"], none.cast("array<struct<name:string>>")), 1, 500), lambda f: F.coalesce(f["name"], F.lit("")) != ""), lambda f: F.concat(F.lit("imp:"), lower(d["dll"]), F.lit(":"), lower(f["name"]))))))
     name = lambda s: F.coalesce(F.nullif(F.regexp_replace(lower(s["name"]), "^\x00+|\x00+$", ""), F.lit("")), F.lit("<empty>"))
     sections = F.flatten(F.transform(F.coalesce(p["sections"], none.cast("array<struct<name:string,entropy:string>>")), lambda s: F.array(text("sec:", name(s)), F.concat(F.lit("sec_ent:"), name(s), F.lit(":"), finite_float(s["entropy"], 0.0, 0.0, 8.0).cast("int").cast("string")))))
@@ -58,10 +58,10 @@ def static_tokens(files: DataFrame, pe: str = "pe") -> DataFrame:
         text("osversion:", F.coalesce(p["osversion"], F.lit("None"))),
         text("ndll:", F.greatest(F.lit(0), F.least(F.lit(20), safe_int(p["imported_dll_count"]))).cast("string")),
         F.when(F.coalesce(p["timestamp"], F.lit("")) != "", text("pe_year:", F.substring(p["timestamp"], 1, 4))),
-        F.when(F.size(F.coalesce(p["digital_signers"], none)) > 0, F.lit("signed")),
+        F.when(F.size(F.coalesce(p["digital_signers"], none.cast("array<string>"))) > 0, F.lit("signed")),
     )
     exports = F.transform(F.filter(F.slice(F.coalesce(p["exports"], none.cast("array<struct<name:string>>")), 1, 50), lambda e: F.coalesce(e["name"], F.lit("")) != ""), lambda e: text("exp:", lower(e["name"])))
-    return files.withColumn("tokens", F.when(p.isNull(), none).otherwise(F.array_sort(F.array_distinct(F.array_compact(F.concat(single, imports, sections, exports))))))
+    return files.withColumn("tokens", F.when(p.isNull(), none.cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.array_compact(F.concat(single, imports, sections, exports))))))
 
 
 # --- API sequences

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scalar import crc_bucket, entropy_of_counts, let, normalised, sigmoid, verdict
 from ..functions.text import addresses_in, printable_strings, urls_in
@@ -83,8 +82,10 @@ def triage_metadata(files: DataFrame, pe: str = "pe") -> DataFrame:
     names = F.flatten(F.transform(p["imports"], lambda d: F.transform(d["imports"], lambda f: F.lower(f["name"]))))
     names = F.coalesce(F.filter(names, lambda n: n.isNotNull()), F.array().cast("array<string>"))
     sections = F.coalesce(p["sections"], F.array().cast("array<struct<name:string,entropy:string>>"))
-    apis = [F.when(F.exists(names, lambda n, a=a: F.startswith(n, F.lit(a.lower()))), reason(f"api:{a}", 1.0, w)) for a, w in APIS.items()]
-    packers = [F.when(F.exists(sections, lambda s, m=m: F.contains(F.coalesce(s["name"], F.lit("")), F.lit(m))), reason(f"packer:{m}", 1.0, w)) for m, w in PACKERS.items()]
+    starts = lambda a: lambda n: F.startswith(n, F.lit(a))
+    marked = lambda m: lambda s: F.contains(F.coalesce(s["name"], F.lit("")), F.lit(m))
+    apis = [F.when(F.exists(names, starts(a.lower())), reason(f"api:{a}", 1.0, w)) for a, w in APIS.items()]
+    packers = [F.when(F.exists(sections, marked(m)), reason(f"packer:{m}", 1.0, w)) for m, w in PACKERS.items()]
     packer = F.coalesce(*packers)
     top = F.coalesce(F.array_max(F.transform(sections, lambda s: F.coalesce(s["entropy"].try_cast("double"), F.lit(0.0)))), F.lit(0.0))
     top = F.when(F.isnan(top) | (F.abs(top) > 8), F.lit(0.0)).otherwise(top)
@@ -132,7 +133,7 @@ def file_features(rows: DataFrame) -> DataFrame:
     return rows.withColumn("features", F.concat(*parts))
 
 
-FILE_ROW = T.StructType.fromDDL(
+FILE_ROW = (
     "sha256 string, label int, appeared string, histogram array<long>, byteentropy array<long>,"
     "strings struct<numstrings:double,avlength:double,printabledist:array<long>,printables:double,entropy:double,paths:double,urls:double,registry:double,MZ:double>,"
     "general struct<size:double,vsize:double,has_debug:double,exports:double,imports:double,has_relocations:double,has_resources:double,has_signature:double,has_tls:double,symbols:double>,"

@@ -110,7 +110,8 @@ def arguments(raw: Column) -> Column:
 
 def first_of(pairs: Column, *names: str) -> Column:
     """The first non-empty argument among the names; of a repeated name the last."""
-    values = [F.get(F.reverse(F.filter(pairs, lambda p, n=n: (p["k"] == n))), F.lit(0))["v"] for n in names]
+    named = lambda n: lambda p: p["k"] == n
+    values = [F.get(F.reverse(F.filter(pairs, named(n))), F.lit(0))["v"] for n in names]
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values])
 
 
@@ -167,7 +168,8 @@ def report_summary(reports: DataFrame) -> DataFrame:
             values = F.filter(values, lambda v: ~F.array_contains(known, F.lower(v)))
         return values
 
-    parts = [F.transform(listed(name), lambda v, k=k, name=name, kind=kind: F.struct(F.lit(k).alias("o1"), F.lit(kind).alias("type"), F.substring(v, 1, MAX_CHARS).alias("v"), F.lit(name).alias("list"))) for k, (name, kind) in enumerate(SUMMARY_KINDS)]
+    entry = lambda k, name, kind: lambda v: F.struct(F.lit(k).alias("o1"), F.lit(kind).alias("type"), F.substring(v, 1, MAX_CHARS).alias("v"), F.lit(name).alias("list"))
+    parts = [F.transform(listed(name), entry(k, name, kind)) for k, (name, kind) in enumerate(SUMMARY_KINDS)]
     rows = reports.where(s.isNotNull()).select("run_id", "sample", F.posexplode(F.concat(*parts)).alias("o2", "x"))
     command = F.col("x.type") == "process_create"
     return rows.select(
@@ -180,7 +182,7 @@ def report_summary(reports: DataFrame) -> DataFrame:
 def report_network(reports: DataFrame) -> DataFrame:
     """Name queries, then flows, each flow once per protocol in the order met."""
     n = F.col("r.network")
-    none = F.array().cast("array<string>")
+    none = F.array()
     flows = lambda f: F.array_distinct(F.transform(F.filter(F.slice(F.coalesce(n[f], none.cast("array<struct<dst:string,dport:string>>")), 1, MAX_LIST), lambda x: x["dst"].isNotNull()), lambda x: F.concat(x["dst"], F.lit(":"), F.coalesce(x["dport"], F.lit("None")))))
     dns = F.transform(F.filter(F.slice(F.coalesce(n["dns"], none.cast("array<struct<request:string>>")), 1, MAX_LIST), lambda x: F.coalesce(x["request"], F.lit("")) != ""), lambda x: x["request"])
     item = lambda values, k, kind: F.transform(values, lambda v: F.struct(F.lit(k).alias("o1"), F.lit(kind).alias("type"), v.alias("v")))
@@ -279,7 +281,7 @@ def emulator_events(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     raw = F.col("content").cast("string")
     wrapped = F.when(F.startswith(F.ltrim(raw), F.lit("[")), F.concat(F.lit('{"entry_points":'), raw, F.lit("}"))).otherwise(raw)
     doc = files.select("path", F.substring("sha256", 1, 16).alias("run_id"), F.from_json(wrapped, EMULATED).alias("d"))
-    none = F.array().cast("array<string>")
+    none = F.array()
     fact = lambda kind, target, api=None: F.struct(F.lit(kind).alias("type") if isinstance(kind, str) else kind.alias("type"), F.substring(target, 1, MAX_CHARS).alias("target"), (api if api is not None else F.lit(None).cast("string")).alias("api"))
     file_kind = lambda e: F.when(F.lower(e).rlike("write|create"), "file_write").when(F.contains(F.lower(e), F.lit("delete")), "file_delete").otherwise("file_read")
     key_kind = lambda e: F.when(F.contains(F.lower(e), F.lit("delete")), "registry_delete").when(F.lower(e).rlike("write|set") & ~F.contains(F.lower(e), F.lit("key")), "registry_set").when(F.contains(F.lower(e), F.lit("create")), F.lit(None)).otherwise("registry_read")
