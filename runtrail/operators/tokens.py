@@ -127,5 +127,5 @@ def nearest_prototype(sets: DataFrame, prototypes: DataFrame, id_col: str = "run
     b = protos.select(F.col("sig").alias("psig"), "family", "support", "first", F.size("tokens").alias("nb"), F.explode("tokens").alias("token"))
     shared = a.join(b, "token").groupBy("sig", "psig", "family").agg(F.count("*").alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("first").alias("first"))
     scored = shared.withColumn("similarity", F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
-    best = scored.groupBy("sig").agg(F.max(F.struct("similarity", (-F.col("first")).alias("o"), "family")).alias("b"))
+    best = scored.groupBy("sig").agg(F.min_by(F.struct("family", "similarity"), F.struct(-F.col("similarity"), "first", "family")).alias("b"))
     return mine.select(id_col, "sig").join(best, "sig", "left").select(id_col, F.col("b.family").alias("family"), F.coalesce(F.col("b.similarity"), F.lit(0.0)).alias("similarity"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import crc_bucket, entropy_of_counts, let, normalised, sigmoid, verdict
+from ..functions.scalar import crc_bucket, entropy_of_counts, finite_float, let, normalised, sigmoid, verdict
 from ..functions.text import addresses_in, printable_strings, urls_in
 
 # --- fixed values: weights of the additive score
@@ -87,8 +87,7 @@ def triage_metadata(files: DataFrame, pe: str = "pe") -> DataFrame:
     apis = [F.when(F.exists(names, starts(a.lower())), reason(f"api:{a}", 1.0, w)) for a, w in APIS.items()]
     packers = [F.when(F.exists(sections, marked(m)), reason(f"packer:{m}", 1.0, w)) for m, w in PACKERS.items()]
     packer = F.coalesce(*packers)
-    top = F.coalesce(F.array_max(F.transform(sections, lambda s: F.coalesce(s["entropy"].try_cast("double"), F.lit(0.0)))), F.lit(0.0))
-    top = F.when(F.isnan(top) | (F.abs(top) > 8), F.lit(0.0)).otherwise(top)
+    top = F.coalesce(F.array_max(F.transform(sections, lambda s: finite_float(s["entropy"], 0.0, 0.0, 8.0))), F.lit(0.0))
     more = [F.when(top > HIGH_ENTROPY, reason("high_entropy", F.round(top - HIGH_ENTROPY, 3), 2.0)), F.when(F.size(names) < 10, reason("few_imports", 1.0, 0.6)), reason("pe_executable", 1.0, 0.8)]
     rows = files.withColumn("reasons", weighed([*apis, packer, *more]))
     score = sigmoid(total(F.col("reasons")))

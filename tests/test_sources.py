@@ -107,7 +107,7 @@ def test_whole_reports(spark, tmp_path):
     got = {r["run_id"]: r for r in rows.collect()}
     assert set(got) == {"7", "n"} and rejects.count() == 1
     assert got["n"]["report"]["techniques"] == ["T1059.001"] and got["7"]["report"]["static"]["detonate"]
-    assert any("CommandLine" in s for s in got["n"]["report"]["rules"])
+    assert any("powershell.exe" in s for s in got["n"]["report"]["rules"])
     again = {r["run_id"]: r["content_sha256"] for r in report.reports(spark, str(tmp_path / "in"))[0].collect()}
     assert again == {k: r["content_sha256"] for k, r in got.items()}
     done = report.batch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ledger"))
