@@ -632,3 +632,61 @@ def vocabulary_overlap(spark, sf_dir):
     rows = words(spark, sf_dir)
     count = lambda s: rows.where(F.col("source") == s).groupBy("token").agg(F.count("*").alias("n"))
     return rounded(ev.vocabulary_overlap(count("src0"), count("src1")), "share")
+
+
+# --- trained models: rows only, no SQL form
+
+
+@query(None)
+def family_lr_predict(spark, sf_dir):
+    """Families (languages) of held-out documents by their words: (doc_id, lang, family, confidence)."""
+    from ..operators.models import FamilyModel
+
+    bags = words(spark, sf_dir).groupBy(F.col("doc_id").alias("run_id")).agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    rows = bags.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), "lang"), "run_id")
+    model = FamilyModel.fit(rows.where("run_id % 5 <> 0").select("tokens", F.col("lang").alias("family")), cells=1 << 14, rounds=20)
+    return model.predict(rows.where("run_id % 5 = 0")).select(F.col("run_id").alias("doc_id"), "lang", "family", F.round("confidence", 4).alias("confidence"))
+
+
+@query(None)
+def gbt_gate(spark, sf_dir):
+    """Boosted trees over dense feature rows: (vec_id, target, score) of held-out rows."""
+    from ..operators.models import fit_gate, gate_scores
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("features"), (F.col("label") < 5).cast("int").alias("label"))
+    model = fit_gate(rows.where("vec_id % 4 <> 0"), rounds=5, depth=3)
+    return gate_scores(model, rows.where("vec_id % 4 = 0")).select("vec_id", F.col("label").alias("target"), F.round("score", 4).alias("score"))
+
+
+@query(None)
+def api_ngram_model(spark, sf_dir):
+    """The n-gram model table trained on the runs, and the probability of each run by it."""
+    from ..operators.models import fit_ngrams
+
+    calls = tokens.api_calls(traces(spark, sf_dir))
+    labels = calls.select("run_id").distinct().withColumn("label", (F.col("run_id") % 2).cast("int"))
+    model, intercept = fit_ngrams(calls, labels)
+    return tokens.ngram_scores(calls, model, intercept)
+
+
+@query(None)
+def report_json_hash(spark, sf_dir):
+    """The content hash of each run's verdict as canonical JSON."""
+    from .report import canonical_hash
+
+    rows = scoring.behaviour_scores(traces(spark, sf_dir), list(WEIGHTS), INTERCEPT)
+    return rows.select("run_id", canonical_hash(F.struct("run_id", "probability", "label", "contributions")).alias("content_sha256"))
+
+
+@query(None)
+def metadata_rules(spark, sf_dir):
+    """Rules over rare words as if they were imports: (run_id, n_imports, need) of documents of one source against another's."""
+    named = words(spark, sf_dir).select("source", F.col("doc_id").alias("run_id"), F.concat(F.lit("imp:w:"), "token").alias("token")).distinct()
+    common = negatives.prevalence_without(prevalence(spark, sf_dir), None).withColumn("token", F.concat(F.lit("imp:w:"), "token"))
+    mine, others = named.where("source = 'src2'").drop("source"), named.where("source = 'src5'").drop("source")
+    return rules.metadata_rules(mine, others, common).select("run_id", F.size("imports").alias("n_imports"), "need")
+
+
+@query(None)
+def mermaid_diagrams(spark, sf_dir):
+    return graph.diagrams(traces(spark, sf_dir).where("seq <= 40"))
