@@ -28,6 +28,8 @@ SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 #: Odd multipliers of the words of a shingle and of the final mix.
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 BLOCK_WORDS = 1 << 18
+#: Range bounds are a constant of the plan and as fine as approximate percentiles can be.
+ROWS_PER_RANGE, MAX_RANGES = 5000, 10_000
 
 
 def probes(tries: int) -> np.ndarray:
@@ -142,11 +144,12 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
     Texts are dealt once, by ranges of the id; the first row of each range also goes to the end of the range before (of the first
     range to the end of the last), so every row meets the next in its own task. Range bounds are ids from the table, about
-    ``ranges`` of them. Rows of one id are ordered by text; null ids come first.
+    ``ranges`` of them (default: so that a task has about ``ROWS_PER_RANGE`` rows, and no fewer than twice the shuffle's
+    partitions). Rows of one id are ordered by text; null ids come first.
     """
     spark = docs.sparkSession
     if ranges is None:
-        ranges = max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+        ranges = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_RANGES, -(-docs.count() // ROWS_PER_RANGE)))
     share = [i / ranges for i in range(1, ranges)]
     found = docs.agg(F.percentile_approx(id_col, F.array(*map(F.lit, share)) if share else F.array(F.lit(0.5)), 10_000).alias("q"), F.min(id_col).alias("least"), F.count_if(F.col(id_col).isNull()).alias("nulls")).first()
     least = None if found["nulls"] else found["least"]
