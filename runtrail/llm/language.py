@@ -22,9 +22,9 @@ from pyspark.sql import types as T
 
 from .common import arrow_columns, is_held_out, may_learn
 
-CELLS = 4096
+CELLS = 2048
 CENTROIDS = 4
-PER_LANGUAGE = 400
+PER_LANGUAGE = 250
 #: Languages that a model holds at most; with it the training rows are bounded.
 MAX_LANGUAGES = 200
 UNDETERMINED = "und"
@@ -120,7 +120,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return {"cells": pa.array([cells(t) for t in texts], pa.binary()), "piece": pa.array([cells(piece_of(t)) for t in texts], pa.binary())}
 
     rows = arrow_columns(training_rows(docs, id_col, text_col, lang_col, per_language), pack, "text", [("cells", T.BinaryType()), ("piece", T.BinaryType())], ["lang"]).collect()
-    rows = sorted(r for r in ((r["lang"], bytes(r["cells"]), bytes(r["piece"])) for r in rows) if any(r[1]))
+    rows = sorted(r for r in ((r["lang"], bytes(r["cells"]), bytes(r["piece"])) for r in rows) if r[1].strip(b"\0"))
     if not rows:
         return None
     counts, pieces = (np.frombuffer(b"".join(r[k] for r in rows), "<u2").reshape(len(rows), CELLS) for k in (1, 2))
