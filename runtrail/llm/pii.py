@@ -183,7 +183,18 @@ def tree_sql(node) -> str:
     return f"case when x.f[{split.featureIndex()}] <= {float(split.threshold())!r}D then {tree_sql(node.leftChild())} else {tree_sql(node.rightChild())} end"
 
 
+_FITTED: dict[tuple, Booster] = {}
+
+
 def fit(spark: SparkSession, rows: int = TRAINING_ROWS, trees: int = 12, depth: int = 5, precision: float = PRECISION) -> Booster:
+    """The boosted trees of the snippets; they depend on the parameters alone, so an application trains them once."""
+    key = (spark.sparkContext.applicationId, rows, trees, depth, precision)
+    if key not in _FITTED:
+        _FITTED[key] = train(spark, rows, trees, depth, precision)
+    return _FITTED[key]
+
+
+def train(spark: SparkSession, rows: int, trees: int, depth: int, precision: float) -> Booster:
     """Train on two thirds of the snippets, calibrate the thresholds on the rest."""
     made = with_candidates(snippets(spark, rows), "text").select("id", "truth", "at", "until", F.explode("candidates").alias("c"))
     right = (F.col("c.k") == F.col("truth")) & (F.col("c.s") == F.col("at")) & (F.col("c.e") == F.col("until"))
