@@ -412,6 +412,12 @@ def defang_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.defang(F.regexp_extract("url", "^https?://[^/?#]+", 0)).alias("host_defanged"))
 
 
+@query(None)
+def defang_whole_urls(spark, sf_dir):
+    """Each page's whole URL made harmless, path and query included; ``defang_urls`` is the part that has SQL."""
+    return table(spark, sf_dir, "pages").select("page_id", text.defang(F.col("url")).alias("url_defanged"))
+
+
 @query(f"""WITH {TRACE}, n AS (SELECT DISTINCT target, lower(target) AS v FROM te WHERE type IN ('file_write', 'registry_set'))
 SELECT target, regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, 'c:\\\\users\\\\[^\\\\]+\\\\appdata\\\\roaming', '%appdata%'), 'hkey_current_user', 'hkcu'), 'hkey_local_machine', 'hklm'), '[0-9]+', '#', 'g') AS normal FROM n""")
 def normalize_values(spark, sf_dir):
@@ -424,6 +430,12 @@ def escape_literals(spark, sf_dir):
     return rows.select("doc_id", text.sigma_literal(F.col("t")).alias("literal"), text.yaml_quoted(F.col("t")).alias("quoted"))
 
 
+@query(None)
+def escape_whole_texts(spark, sf_dir):
+    """Each document's whole text escaped; ``escape_literals`` is the part that has SQL."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.sigma_literal(F.col("text")).alias("literal"), text.yaml_quoted(F.col("text")).alias("quoted"))
+
+
 # --- evaluation over labels: a score of each labelled document from its id
 
 _SCORED = "s AS (SELECT doc_id, quality AS label, toxic, ((doc_id * 37) % 101) / 100.0::DOUBLE * 0.6 + quality * 0.3 AS score FROM labels)"
