@@ -234,6 +234,14 @@ def jaccard_nearest_prototype(spark, sf_dir):
     return rounded(tokens.nearest_prototype(sets, protos).select("run_id", "similarity"), "similarity")
 
 
+@query(None)
+def jaccard_nearest_whole_run(spark, sf_dir):
+    """The nearest prototype of each run by all its events, with all runs as prototypes; ``jaccard_nearest_prototype`` is the part that has SQL."""
+    sets = e.techniques_of_runs(traces(spark, sf_dir)).withColumnRenamed("techniques", "tokens")
+    protos = sets.select(F.col("run_id").alias("proto_id"), F.concat(F.lit("fam"), F.col("run_id") % 5).alias("family"), "tokens")
+    return rounded(tokens.nearest_prototype(sets, protos), "similarity")
+
+
 _WORDS = "w AS (SELECT doc_id, source, lower(unnest(string_split_regex(trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' +'))) AS token FROM documents), wd AS (SELECT DISTINCT doc_id, source, token FROM w WHERE token <> '')"
 
 
@@ -701,4 +709,4 @@ def metadata_rules(spark, sf_dir):
 
 @query(None)
 def mermaid_diagrams(spark, sf_dir):
-    return graph.diagrams(traces(spark, sf_dir).where("seq <= 40"))
+    return graph.diagrams(traces(spark, sf_dir))
