@@ -3,7 +3,8 @@
 A text is lower-cased, ASCII digits and punctuation become spaces, and its 2- and 3-grams of UTF-8 bytes are counted in hashed
 cells. Counts are damped by a logarithm, weighted by inverse document frequency and normalised. Each language has several
 centroids (spherical k-means over its training vectors); a text goes to the language of the nearest by cosine, and is rejected
-where that cosine is below the level that training texts of about its length all but never fall under.
+where that cosine is below its language's bar for texts of about its length. The bar stands between what noise reaches (letters,
+encoded bytes and scripts drawn at random) and what all but the lowest hundredth of training texts and their pieces reach.
 
 Training reads at most ``per_language`` labelled rows of each language (the least by hash of the id), a bound of the operator;
 n-gram frequencies come from these rows. Every text is predicted whole, long ones block by block.
@@ -14,13 +15,16 @@ Defined results: a null text or one without a letter is ``und`` with score 0, re
 
 from __future__ import annotations
 
+import base64
+import random
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_columns, is_held_out, may_learn
+from .common import arrow_columns, is_held_out, may_learn, spans_of
 
 CELLS = 2048
 CENTROIDS = 4
@@ -32,8 +36,12 @@ UNDETERMINED = "und"
 PLAIN = bytes(b if b >= 0x80 or 97 <= b <= 122 else 32 for b in range(256))
 #: Letters of the piece that each training text also gives, so that one centroid more stands for short texts.
 PIECE = 48
-#: Rejection: below this share of the least cosine that all but a thousandth of training texts reach.
-LENIENCE = 0.35
+#: Numbers of n-grams for which a bar is set; between them it is interpolated over the logarithm.
+LENGTHS = np.array([32, 64, 128, 256, 512, 1024, 2048, 4096])
+#: The share of training cosines that is trimmed as outliers, and the place of the bar on the way from noise to the rest.
+TRIMMED, PLACE = 0.01, 1 / 3
+#: Fewer training pieces of a length than this say nothing of its lowest hundredth.
+LEAST = 20
 BLOCK = 1 << 19
 OUTPUTS = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("rejected", T.BooleanType())]
 
@@ -76,8 +84,8 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, languages: list[str], idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, level: float):
-        self.languages, self.idf, self.centroids, self.owner, self.level = languages, idf, centroids, owner, level
+    def __init__(self, languages: list[str], idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, bars: np.ndarray):
+        self.languages, self.idf, self.centroids, self.owner, self.bars = languages, idf, centroids, owner, bars
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         return unit((np.log1p(counts) * self.idf).astype(np.float32))
@@ -87,15 +95,37 @@ class Model:
         best = cosines.argmax(axis=1)
         return self.owner[best], cosines[np.arange(len(best)), best]
 
-    def expected(self, grams: np.ndarray) -> np.ndarray:
-        """Cosines fall with the square root of the n-grams of short texts; beyond a hundred n-grams the level holds."""
-        return self.level * np.sqrt(np.minimum(1.0, grams / 100.0))
+    def reached(self, counts: np.ndarray) -> np.ndarray:
+        """Cosine of the nearest centroid of each language."""
+        cosines = self.vectors(counts) @ self.centroids.T
+        return np.stack([cosines[:, self.owner == k].max(axis=1) for k in range(len(self.languages))], axis=1)
+
+    def expected(self, own: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """The bar of each text's language at its number of n-grams."""
+        x, bars = np.log(np.maximum(grams, 1)), np.empty(len(own))
+        for k in np.unique(own):
+            bars[own == k] = np.interp(x[own == k], np.log(LENGTHS), self.bars[k])
+        return bars
 
 
-def piece_of(text: str) -> str:
+def piece_of(text: str, letters: int = PIECE) -> str:
     """A piece of the text that starts at a place given by its length."""
-    at = (len(text) * 7919) % max(1, len(text) - PIECE)
-    return text[at : at + PIECE]
+    at = (len(text) * 7919) % max(1, len(text) - letters)
+    return text[at : at + letters]
+
+
+def noise(letters: int, each: int = 12) -> list[str]:
+    """Texts of no language: letters of several scripts drawn at random, with and without spaces, and encoded bytes."""
+    draw = random.Random(letters)
+    made = []
+    for first, last in ((97, 122), (0x3B1, 0x3C9), (0x430, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x4E00, 0x9FA5)):
+        for k in range(each):
+            run = "".join(chr(draw.randint(first, last)) for _ in range(letters))
+            made.append(run if k % 2 else " ".join(run[i : i + 6] for i in range(0, letters, 6)))
+    for _ in range(each):
+        data = draw.randbytes(letters)
+        made += [base64.b64encode(data).decode()[:letters], data.hex()[:letters]]
+    return made
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
@@ -119,7 +149,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         cells = lambda t: np.minimum(counts_of(t), 65_535).astype("<u2").tobytes()
         return {"cells": pa.array([cells(t) for t in texts], pa.binary()), "piece": pa.array([cells(piece_of(t)) for t in texts], pa.binary())}
 
-    rows = arrow_columns(training_rows(docs, id_col, text_col, lang_col, per_language), pack, "text", [("cells", T.BinaryType()), ("piece", T.BinaryType())], ["lang"]).collect()
+    chosen = training_rows(docs, id_col, text_col, lang_col, per_language)
+    rows = arrow_columns(chosen, pack, "text", [("cells", T.BinaryType()), ("piece", T.BinaryType())], ["lang"]).collect()
     rows = sorted(r for r in ((r["lang"], bytes(r["cells"]), bytes(r["piece"])) for r in rows) if r[1].strip(b"\0"))
     if not rows:
         return None
@@ -133,12 +164,45 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for c in (*spherical_means(x[owner == k], centroids), *unit(short[owner == k].mean(axis=0, keepdims=True))):
             found.append(c)
             owners.append(k)
-    model = Model(languages, idf, np.array(found, np.float32), np.array(owners), 0.0)
-    reached = model.nearest(counts)[1] / np.sqrt(np.minimum(1.0, counts.sum(axis=1) / 100.0))
-    model.level = float(np.quantile(reached, 0.001)) * LENIENCE
+    model = Model(languages, idf, np.array(found, np.float32), np.array(owners), np.zeros((len(languages), len(LENGTHS))))
+    model.bars = bars_of(chosen, model)
     return model
 
 
+def bars_of(chosen: DataFrame, model: Model) -> np.ndarray:
+    """The bar of each language and length. Tasks compare pieces of the training rows; the driver gets their cosines alone."""
+    index = {name: k for k, name in enumerate(model.languages)}
+
+    def compare(langs: list[str], texts: list[str]) -> list[list[float]]:
+        """For each row its cosines by length, -1 where the text is shorter."""
+        made = []
+        for name, text in zip(langs, texts):
+            counts = np.array([counts_of(piece_of(text, int(n) // 2)) for n in LENGTHS])
+            reached = model.reached(counts)[:, index[name]] if name in index else np.full(len(LENGTHS), -1.0)
+            made.append(np.where(counts.sum(axis=1) * 4 >= LENGTHS * 3, reached, -1.0).tolist())
+        return made
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi in spans_of(batch.column(1)):
+                langs, texts = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(compare(langs, texts), pa.list_(pa.float64()))], names=["lang", "cosines"])
+
+    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("cosines", T.ArrayType(T.DoubleType()))])
+    rows = chosen.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, schema).collect()
+    random_texts = [model.reached(np.array([counts_of(t) for t in noise(int(n) // 2)])).max(axis=0) for n in LENGTHS]
+    bars = np.zeros((len(model.languages), len(LENGTHS)))
+    for name, k in index.items():
+        cosines = np.array([r["cosines"] for r in rows if r["lang"] == name]).reshape(-1, len(LENGTHS))
+        clean = 0.0
+        for i in range(len(LENGTHS)):
+            there = cosines[cosines[:, i] >= 0, i]
+            clean = float(np.quantile(there, TRIMMED)) if len(there) >= LEAST else clean  # else as at the length before
+            floor = min(float(random_texts[i][k]), clean)
+            bars[k, i] = floor + PLACE * (clean - floor)
+    return bars
+
+
 def spherical_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """k unit centroids; the first is the row nearest to the mean, each next one the row farthest from those before."""
     k = min(k, len(x))
@@ -165,7 +229,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
             counts = np.array([counts_of(texts[i]) for i in part])
             own, cosines = model.nearest(counts)
             scores[part] = np.clip(cosines, 0.0, 1.0)
-            rejected[part] = cosines < model.expected(counts.sum(axis=1))
+            rejected[part] = cosines < model.expected(own, counts.sum(axis=1))
             for i, k in zip(part, own):
                 names[i] = model.languages[k]
         return {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores), "rejected": pa.array(rejected)}

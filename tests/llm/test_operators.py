@@ -219,6 +219,26 @@ def test_language_held_out_accuracy_and_rejection(spark, sf_dir):
     assert nothing is None and {r["lang_pred"] for r in identify(docs.limit(5), nothing).collect()} == {"und"}
 
 
+def test_language_rejects_noise_and_unlearned_scripts(spark):
+    from runtrail.llm.language import fit, identify
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = fit(docs)
+    draw = random.Random(71)
+    odd = []
+    for n in (64, 200, 1000, 3000):
+        for _ in range(10):
+            for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdef", "αβγδεζηθικλμνξοπρστυφχψω", "".join(map(chr, range(0x4E00, 0x9000)))):
+                odd.append("".join(draw.choice(letters) for _ in range(n)))
+    odd.append("Το κείμενο αυτό είναι γραμμένο στα ελληνικά και δεν ανήκει σε καμία από τις γλώσσες του πίνακα.")
+    found = identify(documents(spark, odd), model).where("not rejected").count()
+    assert found <= 0.02 * len(odd)
+    held = docs.where("crc32(cast(doc_id as string)) % 5 = 0 and lang is not null and text is not null")
+    kept = identify(held, model).where("not rejected").count()
+    print("noise kept", found, "of", len(odd), "held-out kept", kept, "of", held.count())
+    assert kept >= 0.985 * held.count()
+
+
 # --- 5 URLs
 
 
