@@ -134,7 +134,7 @@ def is_contaminated() -> F.Column:
 def scan_by_join(docs: DataFrame, benchmark: DataFrame, text_col: str, size: int, keep: list[str] | None) -> DataFrame:
     """For a benchmark too large to send to the tasks: join on the hash of each n-gram of a length that windows have.
 
-    Rows get a key of their own, so repeated ids stay apart. hit_spans count words, not code points.
+    Rows get a key of their own, so repeated ids stay apart. Each n-gram carries its code points, so hit_spans are those of the scan.
     """
     windows = benchmark_windows(benchmark, size=size).withColumn("hash", F.xxhash64("window"))
     sizes = sorted(r["n"] for r in windows.select("n").distinct().collect())  # 1..13 at most
@@ -142,31 +142,53 @@ def scan_by_join(docs: DataFrame, benchmark: DataFrame, text_col: str, size: int
     from .common import staged
 
     keyed = staged(docs.select(*{c: None for c in [*keep, text_col]}).withColumn("__row", F.monotonically_increasing_id()), "decontaminate")
-    schema = T.StructType([T.StructField("__row", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("gram", T.BinaryType())])
+    schema = T.StructType([T.StructField("__row", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("gram", T.BinaryType())])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in spans_of(batch.column(1)):
                 for row, text in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist()):
                     words = words_of(text)
+                    spans = np.array([m.span() for m in WORDS.finditer(text or "")], np.int32).reshape(-1, 2)
                     for n in sizes:
                         if m := max(0, len(words) - n + 1):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, row), pa.int64()), pa.array(np.arange(m), pa.int32()), pa.array(np.full(m, n), pa.int32()), pa.array([b" ".join(words[i : i + n]) for i in range(m)], pa.binary())], names=schema.names)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, row), pa.int64()), pa.array(np.arange(m), pa.int32()), pa.array(np.full(m, n), pa.int32()), pa.array(spans[:m, 0]), pa.array(spans[n - 1 :, 1]), pa.array([b" ".join(words[i : i + n]) for i in range(m)], pa.binary())], names=schema.names)
 
     met = keyed.select("__row", text_col).mapInArrow(grams, schema).withColumn("hash", F.xxhash64("gram"))
-    met = met.join(windows, (met["hash"] == windows["hash"]) & (met["n"] == windows["n"]) & (met["gram"] == windows["window"])).select("__row", "at", met["n"], "items")
-    found = met.groupBy("__row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)))).alias("at"))
+    met = met.join(windows, (met["hash"] == windows["hash"]) & (met["n"] == windows["n"]) & (met["gram"] == windows["window"])).select("__row", "at", met["n"], "start", "end", "items")
+    found = met.groupBy("__row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.array_sort(F.collect_set(F.struct("at", "n", "start", "end"))).alias("met"))
+    merged = T.StructType([T.StructField("__row", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n_hit", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.ArrayType(T.IntegerType())))])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [runs_of(m) for m in batch.column(2).to_pylist()]
+            hits, spans = [sum(b - a for a, b, _, _ in r) for r in runs], [[[s, e] for _, _, s, e in r] for r in runs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(batch.column(1).to_pylist(), pa.list_(pa.string())), pa.array(hits, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32())))], names=merged.names)
+
+    found = found.select("__row", "items", "met").mapInArrow(merge, merged)
     words = arrow_columns(keyed, lambda texts: {"n_words": pa.array([len(words_of(t)) for t in texts], pa.int64())}, text_col, [("n_words", T.LongType())], [*keep, "__row"])
     joined = words.join(found, "__row", "left")
     return joined.select(
         *keep,
         "n_words",
-        F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        F.transform(F.array_sort(F.coalesce("at", F.array().cast("array<int>"))), lambda x: F.array(x, x + 1)).alias("hit_spans"),
+        F.coalesce("hit_spans", F.array().cast("array<array<int>>")).alias("hit_spans"),
     ).withColumn("contaminated", is_contaminated())
 
 
+def runs_of(met: list[dict]) -> list[list[int]]:
+    """Runs of hit words [first, end, start, stop) of windows in order; the last two are code points. Adjacent ones are one run."""
+    runs: list[list[int]] = []
+    for w in met:
+        if runs and w["at"] <= runs[-1][1]:
+            if w["at"] + w["n"] > runs[-1][1]:
+                runs[-1][1], runs[-1][3] = w["at"] + w["n"], w["end"]
+        else:
+            runs.append([w["at"], w["at"] + w["n"], w["start"], w["end"]])
+    return runs
+
+
 def contamination_digest(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")

@@ -398,3 +398,13 @@ def test_hit_spans_are_of_the_original_text(spark):
     row = scan_documents(documents(spark, [text]), spark.createDataFrame([(1, item)], "item_id long, text string")).first()
     (start, end), = row["hit_spans"]
     assert text[start:end] == item.upper()
+
+
+def test_hit_spans_do_not_depend_on_the_size_of_the_benchmark(spark):
+    from runtrail.llm.decontaminate import scan_documents
+
+    items = sentences(3, 13, 20) + ["short Item"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = ["É a; " + items[0].upper() + " -- end", items[1] + " " + items[2] + " x short,  item short item.", "\U0001f600 short item, y. " + items[0], "clean", "", None]
+    a, b = ([(r["n_hit"], r["items"], r["hit_spans"]) for r in scan_documents(documents(spark, texts), bench, max_chars=m).orderBy("doc_id").collect()] for m in (10_000_000, 1))
+    assert a == b and sum(map(lambda r: len(r[2]), a)) >= 5
