@@ -38,10 +38,14 @@ VALID = {
     "card": "luhn_check(regexp_replace(x.v, '[ -]', ''))",
     "phone": "length(regexp_replace(x.v, '[^0-9]', '')) between 8 and 15",
 }
-#: Further generators: kinds proposed, pattern, what a text must hold.
+#: What every text with a spelled-out address holds: an at, a name, a dot and a letter, in any of the pattern's forms.
+SPELLED = r"{t} rlike '(?i)(?:[(\\[{{ ]at[)\\]}} ]|@) ?[a-z0-9-]{{1,63}} ?(?:[(\\[{{ ]dot[)\\]}} ]|[.]) ?[a-z0-9-]'"
+#: Further generators: kinds proposed, pattern, what a text must hold. Each pattern implies its condition.
 WIDER = [
-    (("email",), r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20|@)\x20?[a-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20|\.)\x20?[a-z0-9-]{1,63}){1,8}", r"{t} rlike '(?i)[(\\[{{ ]dot[)\\]}} ]'"),
-    (("card", "phone"), r"(?<![A-Za-z0-9.,+])\(?[0-9](?:[\x20().\x2F-]{0,2}[0-9]){6,18}+(?![A-Za-z0-9])", "{t} rlike '[0-9][ ().-]*[0-9][ ().-]*[0-9][ ().-]*[0-9][ ().-]*[0-9][ ().-]*[0-9][ ().-]*[0-9]'"),
+    (("email",), r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20|@)\x20?[a-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20|\.)\x20?[a-z0-9-]{1,63}){1,8}", SPELLED),
+    # the same with no space about a plain dot, so that an address ends before the next sentence
+    (("email",), r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20|@)\x20?[a-z0-9-]{1,63}(?:(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20)\x20?|\.)[a-z0-9-]{1,63}){1,8}", SPELLED),
+    (("card", "phone"), r"(?<![A-Za-z0-9.,+])\(?[0-9](?:[\x20().\x2F-]{0,2}[0-9]){6,18}+(?![A-Za-z0-9])", "{t} rlike '[0-9][ ()./-]*[0-9][ ()./-]*[0-9][ ()./-]*[0-9][ ()./-]*[0-9][ ()./-]*[0-9][ ()./-]*[0-9]'"),
     (("card",), r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:\x20[0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5})(?![0-9])", "{t} rlike '[0-9]{{13}}|[0-9]{{4}}[ -][0-9]{{4}}'"),
     (("phone",), r"(?<![0-9+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|(?<![0-9][\x20-])[0-9]{2,4})[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{4}(?![0-9])", "{t} rlike '[0-9]{{3}}[ .-][0-9]{{4}}'"),
     (("ip",), r"(?i)(?<![0-9a-z:.])(?:[0-9a-f]{1,4}+:){2,7}+:?(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6})?(?![0-9a-z:])", "contains({t}, ':')"),
@@ -93,6 +97,7 @@ FEATURES = [
     "size(regexp_extract_all(x.v, ':', 0))", "int(contains(x.v, '::'))", "int(lower(x.v) rlike '(com|org|net|edu|gov|io|de|fr|es|uk)$')", "int(x.v rlike '[.][0-9]{1,2}$')",
     "int(startswith(x.v, '+'))", "int(x.pre rlike '[+(]$')", "int(x.pre rlike '[0-9][ -]$')", "int(x.post rlike '^[ -]?[0-9]')",
     "length(regexp_replace(x.v, '[^(]', '')) - length(regexp_replace(x.v, '[^)]', ''))", "length(regexp_replace(x.v, '[^.]', ''))",
+    "int(contains(x.v, '. '))", "int(contains(x.v, '/'))", "int(lower(x.v) rlike '[.](com|org|net|edu|gov|io|de|fr|es|uk)$')",
 ]
 
 
@@ -119,11 +124,12 @@ def snippets(spark: SparkSession, n: int = TRAINING_ROWS) -> DataFrame:
     # the last digit makes the Luhn sum a multiple of ten
     luhn = lambda b: f"concat({b}, try_element_at(filter(array('0','1','2','3','4','5','6','7','8','9'), c -> luhn_check(concat({b}, c))), 1))"
     short_card = luhn(f"concat({pick(5, '34', '37')}, {digits(6, 12)})")
+    either = lambda a, b: f"case when {draw(30, 2)} = 0 then {a} else {b} end"
     items = [
-        ("email", f"concat({name}, {pick(7, ' at ', ' (at) ', '(at)', ' [at] ')}, {host}, {pick(8, ' dot ', ' (dot) ', '(dot)', ' [dot] ')}, {tld})", ("", "mail:", "contact", "write to", "reach me:")),
+        ("email", either(f"concat({name}, {pick(7, ' at ', ' (at) ', '(at)', ' [at] ', ' @ ')}, {host}, {pick(8, ' dot ', ' (dot) ', '(dot)', ' [dot] ')}, {tld})", f"concat({name}, {pick(7, ' (at) ', '(at)', ' [at] ', '{at}', ' @ ', ' at ')}, {host}, '.', {tld})"), ("", "mail:", "contact", "write to", "reach me:")),
         ("email", f"concat({name}, {pick(7, ' (at) ', '[at]', '{at}')}, {host}, {pick(8, '(dot)', ' [dot] ', '{dot}')}, 'co', {pick(8, '(dot)', ' [dot] ', '{dot}')}, {tld})", ("", "mail", "send to")),
         ("phone", f"concat('(', {digits(9, 3)}, ') ', {digits(10, 3)}, '-', {digits(11, 4)})", ("", "tel", "phone:", "call", "fax", "mobile")),
-        ("phone", f"concat({digits(9, 3)}, {pick(12, '-', '.', ' ')}, {digits(10, 3)}, {pick(12, '-', '.', ' ')}, {digits(11, 4)})", ("tel", "phone:", "call", "fax", "mobile", "dial", "cell:")),
+        ("phone", either(f"concat({digits(9, 3)}, {pick(12, '-', '.', ' ')}, {digits(10, 3)}, {pick(12, '-', '.', ' ')}, {digits(11, 4)})", f"concat('0', {digits(9, 2)}, '/', {digits(10, 3)}, {digits(11, 3)}, {pick(12, '', '7', '42')})"), ("tel", "phone:", "call", "fax", "mobile", "dial", "cell:")),
         ("phone", f"concat('00', {digits(9, 2)}, ' ', {digits(10, 3)}, ' ', {digits(11, 4)}, {digits(13, 2)})", ("tel.", "phone", "call me", "sms")),
         ("card", short_card, ("", "card", "amex", "credit card:", "payment")),
         ("card", f"regexp_replace({short_card}, '^(....)(......)(.....)$', '$1 $2 $3')", ("", "card", "amex:", "debit")),
@@ -140,9 +146,9 @@ def snippets(spark: SparkSession, n: int = TRAINING_ROWS) -> DataFrame:
         ("", f"concat({digits(9, 9)}, {digits(10, 5)})", ("", "order", "token", "build", "part", "card", "tel")),
         ("", f"concat('978-', {draw(9, 9)}, '-', {digits(10, 3)}, '-', {digits(11, 5)}, '-', {draw(12, 9)})", ("", "isbn", "order", "ref")),
         ("", f"concat({digits(9, 3)}, {digits(10, 4)}, '.', {digits(11, 2)})", ("", "total", "sum", "page", "phone")),
-        ("", f"concat({digits(9, 4)}, ' ', {digits(10, 4)}, ' ', {digits(11, 4)})", ("", "page", "sku", "numbers", "ref")),
+        ("", either(f"concat({digits(9, 4)}, ' ', {digits(10, 4)}, ' ', {digits(11, 4)})", f"concat({digits(9, 2)}, '/', {digits(10, 2)}, '/20', {digits(11, 2)})"), ("", "page", "sku", "numbers", "ref")),
         ("", f"concat({digits(9, 3)}, '.', {digits(10, 3)}, '.', {digits(11, 3)}, '.', {digits(12, 3)}, '.', {digits(13, 3)})", ("", "version", "build", "total")),
-        ("", f"concat({pick(1, 'look', 'meet', 'stay', 'arrive')}, ' at ', {pick(2, 'the', 'this', 'that')}, {pick(3, '.', ' dot ')}, {pick(4, 'and', 'then', 'pattern', 'matrix')})", ("", "please", "we", "they")),
+        ("", either(f"concat({pick(1, 'look', 'meet', 'stay', 'arrive')}, ' at ', {pick(2, 'the', 'this', 'that')}, {pick(3, '.', ' dot ', '. ', '. ')}, {pick(4, 'and', 'then', 'pattern', 'matrix')})", f"concat({pick(1, 'was', 'look', 'erone', 'inthe')}, ' at ', {pick(2, 'home', 'theat', '10', 'this')}, {pick(3, '. ', '. ', '.')}, {pick(4, 'The', 'Pages', 'Des', '30')})"), ("", "please", "we", "they")),
     ]
     case = lambda at: "case cast(%s as int) %s end" % (draw(0, len(items)), " ".join(f"when {i} then {at(i)}" for i in range(len(items))))
     filler = lambda k: pick(k, "the report of", "und die", "que la", "was seen", "over and", "ending erst", "pour le", "than, it")

@@ -87,6 +87,20 @@ def test_boosted_trees_add_what_the_patterns_miss_and_leave_clean_text(spark, bo
     assert got[3:] == texts[3:]
 
 
+def test_generators_propose_all_that_their_patterns_match(spark):
+    from runtrail.llm.pii import WIDER, redacted, with_candidates
+
+    texts = ["write to ann (at) corp.org now", "mail ann @ corp.org", "contact ann at corp.org. Then", "tel 030/1234567 today", "tel 030/123456", "ann@corp(dot)org", "x{at}y.z", "1/2/3/4/5/6/7", "a at b dot c", "a at b", "1/2/3"]
+    rows = with_candidates(documents(spark, texts), "text").selectExpr("doc_id", "transform(candidates, x -> named_struct('k', x.k, 's', x.s, 'e', x.e)) as c").collect()
+    got = {r["doc_id"]: {(c["k"], c["s"], c["e"]) for c in r["c"]} for r in rows}
+    for i, text in enumerate(texts):
+        for kinds, pattern, _ in WIDER:
+            for m in re.finditer(pattern, text):
+                assert {(k, *m.span()) for k in kinds} <= got[i], text
+    found = [r["text"] for r in redacted(documents(spark, texts[:5] + ["they were at home. The rest", "on 12/05/2021 we left"], k0=1)).orderBy("doc_id").collect()]
+    assert found == ["write to [EMAIL] now", "mail [EMAIL]", "contact [EMAIL]. Then", "tel [PHONE] today", "tel [PHONE]", "they were at home. The rest", "on 12/05/2021 we left"]
+
+
 # --- 2 mixing
 
 
