@@ -6,8 +6,9 @@ for the 20 triples of a covering family in which every four positions hold a tri
 For each pair that meets in a list the shared positional bytes are tallied, pairs below the minimum go, the rest are verified.
 
 Only distinct fingerprints are indexed (copies collapse before), lists are short because a key has 24 bits, and the lists that
-are long nonetheless (many near copies of one text) are re-keyed by a fourth byte (one more shared byte is guaranteed). A list
-that stays long yields a spanning forest of its links, found block by block, not all its pairs: components lose nothing.
+are long nonetheless (many near copies of one text) are re-keyed by a fourth byte (four shared bytes are guaranteed), and those
+still long by four of the eight half-bytes of the rest (at most four of them differ). A list then holds at most 2^16 fingerprints,
+whatever the data. A list over ``LONG_LIST`` yields a spanning forest of its links, not all pairs: components lose nothing.
 
 Defined results: null, empty and white-space texts have fingerprint zero and are linked like any other; texts of fewer than four
 words have one shingle; an empty table gives an empty result.
@@ -32,8 +33,10 @@ BYTES, MAX_BITS, SEED = 8, 4, 42
 MIN_SHARED = BYTES - MAX_BITS
 #: Lists of more fingerprints give a spanning forest of their links instead of the pairs.
 LONG_LIST = 128
-#: Lists of more fingerprints are re-keyed by a fourth byte first.
-CROWDED_LIST = 8192
+#: Lists of more fingerprints are re-keyed first.
+CROWDED_LIST = 4096
+#: A fingerprint of more rows than this, and than a 4096th of all rows, meets its rows by broadcast: 4095 such at most.
+HOT_ROWS, HOT_SHARE = 64, 4096
 #: Words of a long text that are held as Python objects at once.
 BLOCK_WORDS = 200_000
 
@@ -50,6 +53,7 @@ def covering_triples() -> list[tuple[int, ...]]:
 
 
 TRIPLES = covering_triples()
+FOURS = list(combinations(range(BYTES), 4))
 
 
 def shingle_hashes(text: str | None, size: int = 4) -> Iterator[np.ndarray]:
@@ -105,28 +109,55 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", size: int = 4, kee
 
 
 def keys_of(fps: np.ndarray, positions: list[tuple[int, ...]]) -> np.ndarray:
-    """One key per fingerprint and set of positions: the number of the set above the bytes at its positions."""
-    octets = fps.view(np.uint8).reshape(-1, 8).astype(np.int64)
+    """One key per fingerprint and set of positions: the number of the set above the half-bytes at its positions."""
+    halves = np.stack([(fps >> (4 * h)) & 15 for h in range(2 * BYTES)], axis=1)
     keys = np.empty((len(fps), len(positions)), np.int64)
     for j, chosen in enumerate(positions):
         key = np.full(len(fps), j, np.int64)
-        for p in chosen:
-            key = (key << 8) | octets[:, p]
+        for h in chosen:
+            key = (key << 4) | halves[:, h]
         keys[:, j] = key
     return keys
 
 
+def halves_of(positions: tuple[int, ...]) -> tuple[int, ...]:
+    """The half-bytes of bytes."""
+    return tuple(h for p in positions for h in (2 * p, 2 * p + 1))
+
+
 def listed(fps: DataFrame, positions: list[tuple[int, ...]]) -> DataFrame:
+    """(key, fp): the lists of ``fps`` for sets of half-bytes."""
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("fp", T.LongType())])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys_of(values, positions).ravel()), pa.array(np.repeat(values, len(positions)))], names=["key", "fp"])
+            for lo in range(0, len(values), 4096):
+                part = values[lo : lo + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array(keys_of(part, positions).ravel()), pa.array(np.repeat(part, len(positions)))], names=["key", "fp"])
 
     return fps.select("fp").mapInArrow(post, schema)
 
 
+def relisted(index: DataFrame) -> DataFrame:
+    """The lists of four bytes, each dealt by every four of its eight other half-bytes: of a linked pair four are equal."""
+    rest = [halves_of(tuple(p for p in range(BYTES) if p not in four)) for four in FOURS]
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("fp", T.LongType())])
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, values = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for j in np.unique(keys >> 32).tolist():
+                at = np.flatnonzero(keys >> 32 == j)
+                for lo in range(0, len(at), 4096):
+                    part = at[lo : lo + 4096]
+                    sub = keys_of(np.ascontiguousarray(values[part]), list(combinations(rest[j], 4)))
+                    # the list's number and bytes above the choice of half-bytes and their values: 7 + 32 + 7 + 16 bits
+                    yield pa.RecordBatch.from_arrays([pa.array(((keys[part][:, None] << 23) | sub).ravel()), pa.array(np.repeat(values[part], sub.shape[1]))], names=["key", "fp"])
+
+    return index.select("key", "fp").mapInArrow(post, schema)
+
+
 def bits_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(np.bitwise_xor(x, y).view(np.uint64))
 
@@ -205,32 +236,56 @@ def links_in_lists(index: DataFrame) -> DataFrame:
     return index.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(met, schema)
 
 
+def crowded_keys(index: DataFrame) -> DataFrame | None:
+    """The keys of lists over ``CROWDED_LIST``, staged; None where there are none."""
+    found = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED_LIST).select("key")
+    found = staged(found, "simhash-crowded")
+    return found if found.take(1) else None
+
+
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """(a, b): links among the distinct fingerprints of ``fps`` that keep every component of the full link graph whole."""
-    index = listed(fps, TRIPLES)
-    crowded = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED_LIST).select("key")
-    crowded = staged(crowded, "simhash-crowded")
-    links = links_in_lists(index)
-    if crowded.take(1):
-        finer = sorted({tuple(sorted((*t, p))) for t in TRIPLES for p in range(BYTES) if p not in t})
-        often = index.join(crowded, "key", "left_semi").select("fp").distinct()
-        sparse = index.join(crowded, "key", "left_anti")
-        # members of crowded lists: any two with a link share four positional bytes, so the finer lists hold the pair
-        links = links_in_lists(sparse).unionByName(links_in_lists(listed(often, finer)))
-    return links.distinct()
+    index = listed(fps, [halves_of(t) for t in TRIPLES])
+    crowded = crowded_keys(index)
+    if crowded is None:
+        return links_in_lists(index).distinct()
+    links = links_in_lists(index.join(crowded, "key", "left_anti"))
+    # members of crowded lists: any two with a link share four positional bytes, so the lists of four hold the pair
+    often = staged(index.join(crowded, "key", "left_semi").select("fp").distinct(), "simhash-often")
+    index = listed(often, [halves_of(f) for f in FOURS])
+    crowded = crowded_keys(index)
+    if crowded is None:
+        return links.unionByName(links_in_lists(index)).distinct()
+    finest = relisted(index.join(crowded, "key", "left_semi"))
+    return links.unionByName(links_in_lists(index.join(crowded, "key", "left_anti"))).unionByName(links_in_lists(finest)).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
     """(id, fp, component_id): the least id that each document reaches over links of at most MAX_BITS bits."""
     slim = staged(with_fingerprint(docs, text_col, size, [id_col]), "simhash")
-    fps = slim.groupBy("fp").agg(F.min(id_col).alias("least"))
+    fps = slim.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n"))
     fps = staged(fps, "simhash-distinct")
+    rows = fps.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     roots = connected_components(fingerprint_links(fps), "a", "b")
-    linked = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = linked.join(least, "root").select("fp", "component_id")
-    groups = fps.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return slim.join(groups, "fp").select(id_col, "fp", "component_id")
+    linked = staged(fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp"), "simhash-linked")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    moved = with_value(linked.select("fp", "root"), least, "root", rows).select("fp", "component_id")
+    groups = fps.join(moved, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
+    return with_value(slim, groups, "fp", rows).select(id_col, "fp", "component_id")
+
+
+def with_value(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined to ``values`` (key, n, component_id), where n is how many rows have the key, of ``total`` at most.
+
+    Keys of more than a 4096th of all rows, so 4095 at most, are broadcast; the rest is joined by key.
+    """
+    values = staged(values.select(key, "n", "component_id"), "simhash-values")
+    often = F.col("n") > max(HOT_ROWS, total // HOT_SHARE)
+    hot = F.broadcast(values.where(often).select(key, F.col("component_id").alias("hot_id"), F.lit(True).alias("is_hot")))
+    split = rows.join(hot, key, "left")
+    many = split.where("is_hot").select(*rows.columns, F.col("hot_id").alias("component_id"))
+    few = split.where("is_hot is null").select(*rows.columns).join(values.where(~often).select(key, "component_id"), key)
+    return many.unionByName(few.select(*rows.columns, "component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
