@@ -50,7 +50,8 @@ WIDER = [
     (("phone",), r"(?<![0-9+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|(?<![0-9][\x20-])[0-9]{2,4})[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{4}(?![0-9])", "{t} rlike '[0-9]{{3}}[ .-][0-9]{{4}}'"),
     (("ip",), r"(?i)(?<![0-9a-z:.])(?:[0-9a-f]{1,4}+:){2,7}+:?(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6})?(?![0-9a-z:])", "contains({t}, ':')"),
 ]
-BLOCK = 1024
+#: Elements to a block of the running sums and comparisons; characters to a block of the text that is put together anew.
+BLOCK, TEXT_BLOCKS = 64, (1 << 16, 512)
 BEFORE, AFTER = 24, 8
 TRAINING_ROWS = 6000
 PRECISION = 0.98
@@ -60,19 +61,47 @@ def quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def found_spans(t: str, pattern: str, needs: str) -> str:
-    """SQL for the matches of ``pattern`` as structs (s, e, v).
+def let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` standing for a value that is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-    split gives the gaps that belong to the matches; the ends are running sums of gap and match, summed in blocks.
+
+def by_blocks(array: str, size: int, body) -> str:
+    """SQL that cuts an array into blocks, maps each by ``body`` (of the block and its number) to an array and joins these."""
+    return f"flatten(transform(sequence(0, (size({array}) - 1) div {size}), b{size} -> {let(f'k{size}', f'slice({array}, b{size} * {size} + 1, {size})', body(f'k{size}', f'b{size}'))}))"
+
+
+def running_sums(n: str) -> str:
+    """SQL for the running sums of an array of numbers: those of blocks first, then within each block."""
+    total = lambda a: f"aggregate({a}, 0, (acc, z) -> acc + z)"
+    sums = f"transform(sequence(0, (size({n}) - 1) div {BLOCK}), b -> {total(f'slice({n}, b * {BLOCK} + 1, {BLOCK})')})"
+    each = by_blocks(n, BLOCK, lambda k, b: let("base", total(f"slice(blocks, 1, {b})"), f"transform({k}, (y, i) -> base + {total(f'slice({k}, 1, i + 1)')})"))
+    return let("blocks", sums, each)
+
+
+def found_spans(t: str, pattern: str, needs: str, around: bool = False) -> str:
+    """SQL for the matches of ``pattern`` as structs (s, e, v) and, if wanted, what stands before and after (pre, post).
+
+    split gives the gaps that belong to the matches; the ends are running sums of gap and match. What stands around a match comes
+    from its gaps and neighbours, never from the whole text, so the work grows with the text and its matches, not their product.
     """
     p = quoted(pattern)
-    got = f"regexp_extract_all({t}, {p}, 0)"
-    gaps = f"split({t}, {p}, -1)"
-    summed = f"flatten(transform(sequence(0, (size(w.n) - 1) div {BLOCK}), b -> transform(slice(w.n, b * {BLOCK} + 1, {BLOCK}), (y, i) -> aggregate(slice(w.n, 1, b * {BLOCK}), 0, (a, z) -> a + z) + aggregate(slice(w.n, b * {BLOCK} + 1, i + 1), 0, (a, z) -> a + z))))"
-    lengths = f"transform(array(named_struct('m', {got}, 'g', {gaps})), q -> named_struct('m', q.m, 'n', transform(q.m, (x, i) -> length(x) + length(get(q.g, i)))))"
-    placed = f"transform({lengths}, w -> named_struct('m', w.m, 'e', {summed}))"
-    spans = f"flatten(transform({placed}, w -> transform(w.m, (x, i) -> named_struct('s', get(w.e, i) - length(x), 'e', get(w.e, i), 'v', x))))"
-    return f"case when {needs.format(t=t)} then {spans} else cast(array() as array<struct<s:int,e:int,v:string>>) end"
+    extra = f", 'pre', right(concat(coalesce(get(w.m, i - 1), ''), get(w.g, i)), {BEFORE}), 'post', left(concat(get(w.g, i + 1), coalesce(get(w.m, i + 1), '')), {AFTER})" if around else ""
+    spans = f"transform(w.m, (x, i) -> named_struct('s', get(ends, i) - length(x), 'e', get(ends, i), 'v', x{extra}))"
+    lengths = "transform(w.m, (x, i) -> length(x) + length(get(w.g, i)))"
+    spans = let("w", f"named_struct('m', regexp_extract_all({t}, {p}, 0), 'g', split({t}, {p}, -1))", let("n", lengths, let("ends", running_sums("n"), spans)))
+    more = "pre:string,post:string" if around else ""
+    return f"case when {needs.format(t=t)} then {spans} else cast(array() as array<struct<s:int,e:int,v:string{',' + more if more else ''}>>) end"
+
+
+def kept_near(items: str, others: str, condition: str) -> str:
+    """SQL for the elements x of ``items`` (sorted by s) for which no y of ``others`` that overlaps x meets ``condition``.
+
+    Blocks of blocks: each is compared only with what reaches into it, so long texts full of candidates are no square.
+    """
+    reach = lambda k, among: let("lim", f"named_struct('lo', array_min(transform({k}, x -> x.s)), 'hi', array_max(transform({k}, x -> x.e)))", f"filter({among}, y -> y.s < lim.hi and lim.lo < y.e)")
+    inner = lambda k, _: let("near", reach(k, "wide"), f"filter({k}, x -> not exists(near, y -> y.s < x.e and x.s < y.e and {condition}))")
+    return by_blocks(items, 4096, lambda k, _: let("wide", reach(k, others), by_blocks(k, BLOCK, inner)))
 
 
 def with_base(rows: DataFrame, t: str) -> DataFrame:
@@ -103,13 +132,13 @@ FEATURES = [
 
 def with_candidates(rows: DataFrame, t: str) -> DataFrame:
     """Add ``candidates``: what the wider generators propose, each span once for every kind it could be, with its features f."""
-    around = f"'pre', substring({t}, greatest(x.s - {BEFORE}, 0) + 1, least(x.s, {BEFORE})), 'post', substring({t}, x.e + 1, {AFTER}), 'd', regexp_replace(x.v, '[^0-9]', '')"
-    rows = rows.withColumns({f"wide_{i}": F.expr(found_spans(t, pattern, needs)) for i, (_, pattern, needs) in enumerate(WIDER)})
-    proposed = [f"transform(wide_{i}, x -> named_struct('k', '{k}', 's', x.s, 'e', x.e, 'v', x.v, {around}))" for i, (kinds, _, _) in enumerate(WIDER) for k in kinds]
-    # generators may propose the same span twice
-    rows = rows.withColumn("proposed", F.expr(f"concat({', '.join(proposed)})")).drop(*[f"wide_{i}" for i in range(len(WIDER))])
+    rows = rows.withColumns({f"wide_{i}": F.expr(found_spans(t, pattern, needs, True)) for i, (_, pattern, needs) in enumerate(WIDER)})
+    proposed = [f"transform(wide_{i}, x -> named_struct('s', x.s, 'e', x.e, 'k', '{k}', 'v', x.v, 'd', regexp_replace(x.v, '[^0-9]', ''), 'pre', x.pre, 'post', x.post))" for i, (kinds, _, _) in enumerate(WIDER) for k in kinds]
+    # in order of their place; generators may propose the same span twice, and then the first in order stays
+    rows = rows.withColumn("sorted", F.expr(f"array_sort(concat({', '.join(proposed)}))")).drop(*[f"wide_{i}" for i in range(len(WIDER))])
+    rows = rows.withColumn("proposed", F.expr("filter(sorted, (x, i) -> i = 0 or x.s <> get(sorted, i - 1).s or x.e <> get(sorted, i - 1).e or x.k <> get(sorted, i - 1).k)")).drop("sorted")
     features = ", ".join(f"double({f})" for f in FEATURES)
-    return rows.withColumn("candidates", F.expr(f"transform(array_distinct(proposed), x -> named_struct('k', x.k, 's', x.s, 'e', x.e, 'f', array({features})))")).drop("proposed")
+    return rows.withColumn("candidates", F.expr(f"transform(proposed, x -> named_struct('k', x.k, 's', x.s, 'e', x.e, 'f', array({features})))")).drop("proposed")
 
 
 def snippets(spark: SparkSession, n: int = TRAINING_ROWS) -> DataFrame:
@@ -202,10 +231,14 @@ def fit(spark: SparkSession, rows: int = TRAINING_ROWS, trees: int = 12, depth:
 
 def train(spark: SparkSession, rows: int, trees: int, depth: int, precision: float) -> Booster:
     """Train on two thirds of the snippets, calibrate the thresholds on the rest."""
-    made = with_candidates(snippets(spark, rows), "text").select("id", "truth", "at", "until", F.explode("candidates").alias("c"))
+    table = snippets(spark, rows).persist()  # else its rules are worked out again wherever the text is named
+    table.count()
+    made = with_candidates(table, "text").select("id", "truth", "at", "until", F.explode("candidates").alias("c"))
     right = (F.col("c.k") == F.col("truth")) & (F.col("c.s") == F.col("at")) & (F.col("c.e") == F.col("until"))
-    made = made.select("id", "c.k", F.col("c.f").alias("f"), right.cast("double").alias("label"), array_to_vector("c.f").alias("features")).coalesce(2).persist()
+    made = cached = made.select("id", "c.k", F.col("c.f").alias("f"), right.cast("double").alias("label"), array_to_vector("c.f").alias("features")).persist()
     try:
+        made.count()  # in parallel; the boosting then reads few partitions
+        made = made.coalesce(2)
         held = F.pmod(F.xxhash64("id", F.lit(77)), F.lit(3)) == 0
         model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=5, cacheNodeIds=False, maxMemoryInMB=256).fit(made.where(~held))
         weights = list(model.treeWeights)
@@ -223,7 +256,8 @@ def train(spark: SparkSession, rows: int, trees: int, depth: int, precision: flo
                     bar = r["p"]
             thresholds[kind] = max(bar, 0.5)
     finally:
-        made.unpersist()
+        cached.unpersist()
+        table.unpersist()
     return Booster(margin, thresholds)
 
 
@@ -237,14 +271,22 @@ def with_spans(docs: DataFrame, booster: Booster, text_col: str = "text") -> Dat
     base = reduce(lambda a, b: f"{a}, {b}", (f"transform(base_{k}, x -> named_struct('o', {i}, 'k', '{k}', 's', x.s, 'e', x.e))" for i, k in enumerate(KINDS)))
     rows = rows.withColumns({"__base": F.expr(f"concat({base})"), "__chosen": F.expr(f"case when size(candidates) > 0 then {booster.selected()} else cast(array() as array<struct<k:string,s:int,e:int,p:double>>) end")})
     order = " ".join(f"when '{k}' then {i}" for i, k in enumerate(KINDS))
-    free = "not exists(__base, b -> b.s < x.e and x.s < b.e)"
-    best = "not exists(__chosen, y -> y.s < x.e and x.s < y.e and (y.p > x.p or (y.p = x.p and (y.e - y.s > x.e - x.s or (y.e - y.s = x.e - x.s and (y.s < x.s or (y.s = x.s and y.k < x.k)))))))"
-    rows = rows.withColumn("__chosen", F.expr(f"filter(__chosen, x -> {free})"))
-    rows = rows.withColumn("__chosen", F.expr(f"filter(__chosen, x -> {best})"))
+    best = "(y.p > x.p or (y.p = x.p and (y.e - y.s > x.e - x.s or (y.e - y.s = x.e - x.s and (y.s < x.s or (y.s = x.s and y.k < x.k))))))"
+    rows = rows.withColumn("__chosen", F.expr(f"case when size(__chosen) = 0 then __chosen else {kept_near('__chosen', '__base', 'true')} end"))
+    rows = rows.withColumn("__chosen", F.expr(f"case when size(__chosen) < 2 then __chosen else {kept_near('__chosen', '__chosen', best)} end"))
     added = f"transform(__chosen, x -> named_struct('o', case x.k {order} end, 'k', x.k, 's', x.s, 'e', x.e))"
     return rows.withColumn("pii_spans", F.expr(f"array_sort(concat(__base, {added}))")).drop("__base", "__chosen", "candidates")
 
 
+def between(a: str, b: str) -> str:
+    """SQL for the characters from ``a`` to ``b`` of the text whose blocks are in ``__blocks``."""
+    n = TEXT_BLOCKS[1]
+    block = lambda i: f"coalesce(get(__blocks, int({i} div {n})), '')"
+    within = f"substring({block(a)}, {a} % {n} + 1, {b} - {a})"
+    across = f"concat(substring({block(a)}, {a} % {n} + 1), array_join(slice(__blocks, int({a} div {n}) + 2, int({b} div {n}) - int({a} div {n}) - 1), ''), substring({block(b)}, 1, {b} % {n}))"
+    return f"case when {a} >= {b} then '' when {a} div {n} = {b} div {n} then {within} else {across} end"
+
+
 def redacted(docs: DataFrame, booster: Booster | None = None, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """The documents with each run of overlapping spans replaced by the kind of its first, as in [EMAIL]; null texts stay null.
 
@@ -254,11 +296,16 @@ def redacted(docs: DataFrame, booster: Booster | None = None, text_col: str = "t
     own = docs.columns
     inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(own)])
     rows = with_spans(inner, booster, f"c{own.index(text_col)}")
-    runs = "aggregate(array_sort(transform(pii_spans, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k))), cast(array() as array<struct<s:int,e:int,k:string>>), (a, x) -> case when size(a) > 0 and element_at(a, -1).e > x.s then concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e), 'k', element_at(a, -1).k))) else concat(a, array(x)) end)"
-    rows = rows.withColumn("__runs", F.expr(f"case when size(pii_spans) > 0 then {runs} end"))
-    parts = "transform(__runs, (x, i) -> concat(substring(__t, coalesce(get(__runs, i - 1).e, 0) + 1, x.s - coalesce(get(__runs, i - 1).e, 0)), '[', upper(x.k), ']'))"
     text = f"c{own.index(text_col)}"
-    rows = rows.withColumn("__new", F.expr(f"case when __runs is null then {text} else concat(array_join({parts}, ''), substring(__t, element_at(__runs, -1).e + 1)) end"))
+    rows = rows.withColumn("__sorted", F.expr("transform(array_sort(transform(pii_spans, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k))), (x, i) -> named_struct('s', x.s, 'e', x.e, 'k', x.k, 'i', i))"))
+    # a run begins where no earlier span reaches in; it ends with the span of its members that reaches farthest
+    rows = rows.withColumn("__first", F.expr(f"case when size(__sorted) > 0 then transform({kept_near('__sorted', '__sorted', 'y.i < x.i')}, x -> x.i) end"))
+    ends = "array_max(transform(slice(__sorted, i + 1, coalesce(get(__first, j + 1), size(__sorted)) - i), x -> x.e))"
+    rows = rows.withColumn("__runs", F.expr(f"transform(__first, (i, j) -> named_struct('s', get(__sorted, i).s, 'e', {ends}, 'k', get(__sorted, i).k))"))
+    cut = lambda t, size: f"transform(sequence(0, greatest(length({t}) - 1, 0) div {size}), b{size} -> substring({t}, b{size} * {size} + 1, {size}))"
+    rows = rows.withColumn("__blocks", F.expr(f"case when size(__sorted) > 0 then flatten(transform({cut('__t', TEXT_BLOCKS[0])}, t -> {cut('t', TEXT_BLOCKS[1])})) end"))
+    parts = f"transform(__runs, (x, i) -> concat({between('coalesce(get(__runs, i - 1).e, 0)', 'x.s')}, '[', upper(x.k), ']'))"
+    rows = rows.withColumn("__new", F.expr(f"case when size(__sorted) > 0 then concat(array_join({parts}, ''), {between('element_at(__runs, -1).e', 'length(__t)')}) else {text} end"))
     made = {text_col: F.col("__new")} | ({length_col: F.length("__new").cast(docs.schema[length_col].dataType)} if length_col in own else {})
     return rows.select(*[made.get(c, F.col(f"c{i}")).alias(c) for i, c in enumerate(own)])
 
