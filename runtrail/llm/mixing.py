@@ -10,7 +10,8 @@ The prefix sum is distributed: documents fall into groups (source, size class, h
 before any shuffle and their running totals give each group its first rank, so no task ever holds a source.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a source without words has target
-0 and nothing is taken from it; rows that repeat an id count each; a null id sorts first in its group; an empty table gives none.
+0 and nothing is taken from it; rows that repeat an id count each, in order of a
+hash of their texts; a null id sorts first in its group; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -35,7 +36,14 @@ def word_count(text: Column) -> Column:
 
 
 def size_class(size: Column) -> Column:
-    return F.floor(F.log2(size + 1) * 3).cast("int")
+    """Four classes to each doubling of the size, in whole numbers."""
+    binary = F.length(F.bin(size + 1))
+    return (binary * 4 + F.expr("shiftright(size + 1, greatest(length(bin(size + 1)) - 3, 0)) & 3")).cast("int")
+
+
+def lot(value: Column, digits: int = 8) -> Column:
+    """A number from the MD5 of a text."""
+    return F.conv(F.substring(F.md5(value), 1, digits), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -61,22 +69,27 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """Every document with size, source_size, target (its source's) and copies; ``keep`` names the columns passed through."""
     made = ("size", "source_size", "target", "copies")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    sized = docs.select(*keep, F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("size"))
+    own = {"__id": F.col(id_col), "__source": F.col(source_col), "size": word_count(F.col(text_col))}
     splits = max(LEAST_SPLITS, math.ceil(docs.select(F.count("*").alias("n")).first()["n"] / ROWS_PER_SPLIT))
     group = ["__null", "__key", "__class", "__split"]
 
     def grouped(rows: DataFrame) -> DataFrame:
-        return rows.withColumns({"__null": F.col("__source").isNull(), "__key": F.coalesce("__source", F.lit("")), "__class": size_class(F.col("size")), "__split": F.pmod(F.xxhash64("__id"), F.lit(splits)).cast("int")})
-
-    counts = staged(grouped(docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("size"))).groupBy(*group).agg(F.count("*").alias("__n"), F.sum("size").alias("__words")), "mixing")
+        return rows.withColumns({"__null": F.col("__source").isNull(), "__key": F.coalesce("__source", F.lit("")), "__class": size_class(F.col("size")), "__split": (lot(F.coalesce(F.col("__id").cast("string"), F.lit(""))) % splits).cast("int")})
+
+    sized = docs.select(*keep, *[c.alias(n) for n, c in own.items()], lot(F.coalesce(text_col, F.lit("")), 15).alias("__lot"))
+    if text_col in keep:  # words are counted twice, so that texts are not written
+        plain = docs.select(*[c.alias(n) for n, c in own.items()])
+    else:
+        plain = sized = staged(sized, "mixing-sizes")
+    counts = staged(grouped(plain).groupBy(*group).agg(F.count("*").alias("__n"), F.sum("size").alias("__words")), "mixing")
     sizes = counts.groupBy("__null", "__key").agg(F.sum("__words").alias("source_size"))
     targets = source_targets(sizes.select(F.when(~F.col("__null"), F.col("__key")).alias("source"), "source_size"), weights, cap)
     targets = targets.withColumns({"__null": F.col("source").isNull(), "__key": F.coalesce("source", F.lit(""))}).drop("source")
     earlier = Window.partitionBy("__null", "__key").orderBy("__class", "__split").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.withColumn("__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n", "__words").join(targets, ["__null", "__key"])
-    at = F.col("__first") + F.row_number().over(Window.partitionBy(*group).orderBy("size", F.col("__id").asc_nulls_first()))
+    at = F.col("__first") + F.row_number().over(Window.partitionBy(*group).orderBy("size", F.col("__id").asc_nulls_first(), "__lot"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = F.pmod(F.xxhash64(F.lit(seed), "__null", "__key"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    offset = lot(F.concat(F.lit(f"{seed}:"), F.when(F.col("__null"), "null").otherwise(F.concat(F.lit("="), "__key")))) / F.lit(float(1 << 32))
     step = F.floor(F.col("__ratio") * F.col("__at") + F.col("__u")) - F.floor(F.col("__ratio") * (F.col("__at") - 1) + F.col("__u"))
     ranked = grouped(sized).join(first, group).withColumns({"__at": at, "__ratio": ratio, "__u": offset})
     return ranked.select(*keep, "size", "source_size", "target", F.least(step, F.lit(math.ceil(cap))).cast("long").alias("copies"))
