@@ -29,7 +29,7 @@ SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 BLOCK_WORDS = 1 << 18
 #: Range bounds are a constant of the plan and as fine as approximate percentiles can be.
-ROWS_PER_RANGE, MAX_RANGES = 5000, 10_000
+ROWS_PER_RANGE, MAX_RANGES = 5000, 40_000
 
 
 def probes(tries: int) -> np.ndarray:
@@ -151,7 +151,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     if ranges is None:
         ranges = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_RANGES, -(-docs.count() // ROWS_PER_RANGE)))
     share = [i / ranges for i in range(1, ranges)]
-    found = docs.agg(F.percentile_approx(id_col, F.array(*map(F.lit, share)) if share else F.array(F.lit(0.5)), 10_000).alias("q"), F.min(id_col).alias("least"), F.count_if(F.col(id_col).isNull()).alias("nulls")).first()
+    found = docs.agg(F.percentile_approx(id_col, F.array(*map(F.lit, share)) if share else F.array(F.lit(0.5)), MAX_RANGES).alias("q"), F.min(id_col).alias("least"), F.count_if(F.col(id_col).isNull()).alias("nulls")).first()
     least = None if found["nulls"] else found["least"]
     bounds = sorted({q for q in found["q"] or [] if q > (found["least"] if least is not None else q - 1)}) if ranges > 1 else []
     # binary search for the range of an id
@@ -159,7 +159,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     first = (F.col(id_col).eqNullSafe(F.lit(least)) & (F.lit(0) == place)) | (F.col(id_col).isin(bounds) if bounds else F.lit(False))
     before = F.when(first, F.when(place == 0, F.lit(len(bounds))).otherwise(place - 1))
     dealt = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.explode(F.array_compact(F.array(F.struct(place.alias("p"), F.lit(0).alias("after")), F.when(before.isNotNull(), F.struct(before.alias("p"), F.lit(1).alias("after")))))).alias("r"))
-    dealt = dealt.select("r.p", "r.after", "id", "text").repartition(len(bounds) + 1, "p").sortWithinPartitions("p", "after", F.col("id").asc_nulls_first(), "text")
+    dealt = dealt.select("r.p", "r.after", "id", "text").repartitionById(len(bounds) + 1, F.col("p").cast("int")).sortWithinPartitions("p", "after", F.col("id").asc_nulls_first(), "text")
     schema = T.StructType([docs.schema[id_col], T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()), T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
     schema[0].nullable = True
 

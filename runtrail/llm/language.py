@@ -29,7 +29,7 @@ from .common import arrow_columns, is_held_out, may_learn, spans_of
 CELLS = 2048
 CENTROIDS = 4
 PER_LANGUAGE = 250
-#: Languages that a model holds at most; with it the training rows are bounded.
+#: Languages that a model takes; more are an error, as the training rows on the driver are bounded by it.
 MAX_LANGUAGES = 200
 UNDETERMINED = "und"
 #: ASCII other than letters becomes a space.
@@ -51,13 +51,16 @@ def counts_of(text: str | None) -> np.ndarray:
     counts = np.zeros(CELLS, np.int64)
     if not text:
         return counts
+    before = np.zeros(0, np.uint32)
     for lo in range(0, len(text), BLOCK):
-        data = b" " + text[max(0, lo - 2) : lo + BLOCK].lower().encode("utf-8", "replace").translate(PLAIN) + b" "
-        x = np.frombuffer(data, np.uint8).astype(np.uint32)
+        data = text[lo : lo + BLOCK].lower().encode("utf-8", "replace").translate(PLAIN)
+        data = (b"" if lo else b" ") + data + (b" " if lo + BLOCK >= len(text) else b"")
+        x = np.concatenate((before, np.frombuffer(data, np.uint8).astype(np.uint32)))
         two = x[:-1] * np.uint32(2_654_435_761) + x[1:] * np.uint32(40_503)
         three = two[:-1] * np.uint32(31) + x[2:] * np.uint32(2_246_822_519)
-        for grams in (two, three):
+        for grams in (two[1:] if len(before) > 1 else two, three):  # the pair within ``before`` was counted with its own block
             counts += np.bincount((grams ^ (grams >> np.uint32(15))) % np.uint32(CELLS), minlength=CELLS)
+        before = x[-2:]
     counts[BLANK] = 0
     return counts
 
@@ -128,10 +131,12 @@ def noise(letters: int, each: int = 12) -> list[str]:
     return made
 
 
-def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
+def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, max_languages: int = MAX_LANGUAGES) -> DataFrame:
     """At most ``per_language`` rows of each language, the least by hash of the id, found from ids alone before texts are read."""
     labelled = docs.where(may_learn(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    tallies = labelled.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(MAX_LANGUAGES).collect()
+    tallies = labelled.groupBy(lang_col).agg(F.count("*").alias("n")).limit(max_languages + 1).collect()
+    if len(tallies) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: raise max_languages, and the driver's memory with it")
     if not tallies:
         return labelled.limit(0).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     lot = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 40))
@@ -142,14 +147,14 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, pe
     return labelled.where(chosen).withColumn("__rank", rank).where(F.col("__rank") <= per_language).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> Model | None:
-    """Counts are made by tasks; the driver gets a short vector of cells for each training row, a bounded number."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, max_languages: int = MAX_LANGUAGES) -> Model | None:
+    """At most ``per_language`` rows of each of at most ``max_languages`` languages (more raise an error) are learned from. Counts are made by tasks; the driver gets a short vector of cells for each training row, a bounded number."""
 
     def pack(texts: list[str | None]) -> dict[str, pa.Array]:
         cells = lambda t: np.minimum(counts_of(t), 65_535).astype("<u2").tobytes()
         return {"cells": pa.array([cells(t) for t in texts], pa.binary()), "piece": pa.array([cells(piece_of(t)) for t in texts], pa.binary())}
 
-    chosen = training_rows(docs, id_col, text_col, lang_col, per_language)
+    chosen = training_rows(docs, id_col, text_col, lang_col, per_language, max_languages)
     rows = arrow_columns(chosen, pack, "text", [("cells", T.BinaryType()), ("piece", T.BinaryType())], ["lang"]).collect()
     rows = sorted(r for r in ((r["lang"], bytes(r["cells"]), bytes(r["piece"])) for r in rows) if r[1].strip(b"\0"))
     if not rows:

@@ -27,8 +27,8 @@ FEATURES = ("chars", "words", "word_length", "upper", "digits", "marks", "odd_ma
 ODD = frozenset(b"%*#$&|^~`=<>{}[]\\@_!")
 MARK = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
 IS_ODD = np.array([b in ODD for b in range(256)])
-#: Bytes of a text that become Python words at once.
-PIECE = 1 << 22
+#: Words of a text that are Python objects at once.
+PIECE_WORDS = 500_000
 
 
 def statistics(text: str | None) -> list[float]:
@@ -41,8 +41,10 @@ def statistics(text: str | None) -> list[float]:
     counts: dict[bytes, int] = {}
     words = adjacent = capitals = 0
     last = b""
-    for lo in range(0, len(data), PIECE):
-        part = data[lo : lo + PIECE].split()
+    rest = data
+    while rest:
+        part = rest.split(None, PIECE_WORDS)
+        rest = part.pop() if len(part) > PIECE_WORDS else b""
         words += len(part)
         for w in part:
             counts[w] = counts.get(w, 0) + 1
@@ -139,7 +141,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     usable = labels.where(may_learn(F.col(id_col)) & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("label"))
     sample = usable.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
     rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(sample), id_col)  # bounded by max_rows
-    made = arrow_columns(rows, _statistics_column, "text", [("x", T.ArrayType(T.DoubleType()))], [id_col, "label"]).select("label", "x").collect()
+    made = arrow_columns(rows, _statistics_column, "text", [("x", T.ArrayType(T.DoubleType()))], [id_col, "label"])
+    # ids may repeat: still no more than ``max_rows``
+    made = made.orderBy(F.xxhash64(id_col), id_col, "x").limit(max_rows).select("label", "x").collect()
     made = sorted((tuple(r["x"]), int(r["label"])) for r in made)
     if not made:
         return None

@@ -20,6 +20,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: (verdict, rule) of the driver's query.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 INLINE_RULES = 256
@@ -123,12 +125,16 @@ def with_rule_table(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """Each distinct (host, path) meets the rules of its host's suffixes, an equi-join; the longest that fits stays."""
     parted = rules.select("verdict", "rule", F.lower(F.substring_index("rule", "/", 1)).alias("rule_host"))
     parted = parted.withColumn("rule_path", F.expr("substring(rule, length(substring_index(rule, '/', 1)) + 1)"))
-    asked = rows.select("host", "path").distinct()
+    asked = rows.where("host <> ''").select("host", "path").distinct()
     labels = F.split("host", r"\.")
     suffixes = asked.withColumn("suffix", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
     met = suffixes.join(parted, (F.col("suffix") == F.col("rule_host")) & F.startswith("path", "rule_path"))
     best = met.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), F.col("rule"), F.col("verdict"))).alias("b"))
-    return rows.join(best.select("host", "path", F.col("b.rule").alias("rule"), F.col("b.verdict").alias("__verdict")), ["host", "path"], "left")
+    # written first, so that the join back can split an address of very many rows; an empty host has no rule and is not joined
+    best = staged(best.select("host", "path", F.col("b.rule").alias("rule"), F.col("b.verdict").alias("__verdict")), "url-rules")
+    joined = rows.where("host <> ''").join(best, ["host", "path"], "left").select(*rows.columns, "rule", "__verdict")
+    none = F.lit(None).cast("string")
+    return joined.unionByName(rows.where("host = ''").select("*", none.alias("rule"), none.alias("__verdict")))
 
 
 def url_digest(rows: DataFrame) -> DataFrame:
