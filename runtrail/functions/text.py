@@ -42,17 +42,24 @@ GENERIC_PREFIX = (
     r")"
 )
 GENERIC_TOKEN = r"(?i)%[a-z0-9_()]+%|(?<![a-z])(system32|syswow64|sysnative)(?![a-z])|@"
-SAFE_ENDINGS = (
-    "exe dll sys bat cmd com scr ps1 vbs js tmp dat txt log ini lnk db xml json bin jpg png zip msi inf cpl ocx drv "
-    "php html htm asp aspx jsp cgi url vbe wsf hta mui nls manifest"
-).split()
+SAFE_ENDINGS = [
+    "exe", "dll", "sys", "bat", "cmd", "com", "scr", "ps1", "vbs", "js", "tmp", "dat",
+    "txt", "log", "ini", "lnk", "db", "xml", "json", "bin", "jpg", "png", "zip", "msi",
+    "inf", "cpl", "ocx", "drv", "php", "html", "htm", "asp", "aspx", "jsp", "cgi", "url",
+    "vbe", "wsf", "hta", "mui", "nls", "manifest",
+]
 MARKDOWN = {"\\": "&#92;", "[": "&#91;", "]": "&#93;", "(": "&#40;", ")": "&#41;", "!": "&#33;", "|": "&#124;", "`": "&#96;", "*": "&#42;", "_": "&#95;", "~": "&#126;"}
 NORMAL_CHARS, LABEL_CHARS = 300, 60
-CONTROL = r"[\x00-\x1f\x7f-\x9f\u2028\u2029]"
+CONTROL = r"[\x00-\x1f\x7f]"
 
 # --- normalisation and paths
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def stripped(v: Column) -> Column:
     """Without white space of any script at both ends."""
     return F.regexp_replace(v, r"(?U)^\s+|\s+$", "")
@@ -130,20 +137,18 @@ def without_numbers(v: Column) -> Column:
 
 def ladder(value: Column, kind: str) -> Column:
     """Patterns from specific to general, each once: ``kind`` is path, key or anything else."""
-    v0 = tidy(without_identity(stripped(value)))
-    v1 = tidy(without_numbers(v0))
-    rungs = [v0, v1]
-    if kind in ("path", "image"):
-        d, b, ext = dirname(v1), basename(v1), extension(v1)
-        dotted = F.when(ext != "", F.concat(F.lit("."), ext)).otherwise(F.lit(""))
-        up = dirname(d)
-        rungs.append(F.when(d != "", tidy(F.concat(d, F.lit("\\*"), dotted))))
-        rungs.append(F.when((d != "") & (up != ""), tidy(F.concat(up, F.lit("\\*\\"), b))))
-        rungs.append(F.when((d != "") & (up != ""), tidy(F.concat(up, F.lit("\\*\\*"), dotted))))
-    elif kind == "key":
-        above = F.regexp_extract(v1, r"(?s)^(.*)\\[^\\]*$", 1)
-        rungs.append(F.when(above != "", tidy(F.concat(above, F.lit("\\*")))))
-    return F.array_distinct(F.array_compact(F.array(*rungs)))
+    dotted = lambda v: let(extension(v), lambda x: F.when(x != "", F.concat(F.lit("."), x)).otherwise(F.lit("")))
+
+    def beyond(v1: Column) -> Column:
+        if kind in ("path", "image"):
+            path = lambda d, b, x, up: F.array(F.when(d != "", tidy(F.concat(d, F.lit("\\*"), x))), F.when((d != "") & (up != ""), tidy(F.concat(up, F.lit("\\*\\"), b))), F.when((d != "") & (up != ""), tidy(F.concat(up, F.lit("\\*\\*"), x))))
+            return let(dirname(v1), lambda d: let(dotted(v1), lambda x: let(dirname(d), lambda up: path(d, basename(v1), x, up))))
+        if kind == "key":
+            return let(F.regexp_extract(v1, r"(?s)^(.*)\\[^\\]*$", 1), lambda above: F.array(F.when(above != "", tidy(F.concat(above, F.lit("\\*"))))))
+        return F.array().cast("array<string>")
+
+    rungs = let(tidy(without_identity(stripped(value))), lambda v0: let(tidy(without_numbers(v0)), lambda v1: F.concat(F.array(v0, v1), beyond(v1))))
+    return F.array_distinct(F.array_compact(rungs))
 
 
 def literal_length(pattern: Column) -> Column:
@@ -223,11 +228,11 @@ def markdown_text(value: Column, defanged: bool = True) -> Column:
 
 
 def diagram_label(value: Column, n: int = LABEL_CHARS) -> Column:
-    """A node label without quotes or brackets, shortened in the middle."""
+    """A node label without quotes or brackets, shortened in the middle, addresses made harmless."""
     t = F.regexp_replace(value, CONTROL, " ")
     k = (n - 1) // 2
     t = F.when(F.length(t) > n, F.concat(F.substring(t, 1, k), F.lit("~"), F.right(t, F.lit(n - 1 - k)))).otherwise(t)
-    return F.translate(t, "\"<>[]{}|`#", "'()()()/'")
+    return defang(F.translate(t, "\"<>[]{}|`#", "'()()()/'"))
 
 
 # --- strings of files

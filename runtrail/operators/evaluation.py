@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 
 def binary_metrics(rows: DataFrame, threshold: float = 0.5, label: str = "label", score: str = "score", by: list[str] | None = None) -> DataFrame:
     """tp, fp, fn, tn, accuracy, precision, recall, f1, per group of ``by``; ratios without a base are 0."""
@@ -17,14 +19,25 @@ def binary_metrics(rows: DataFrame, threshold: float = 0.5, label: str = "label"
     return counts.withColumns({"accuracy": ratio(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")), "precision": p, "recall": r, "f1": F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))})
 
 
-def score_steps(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """Positives and negatives of each distinct score, with running totals from the highest down.
+def running_totals(steps: DataFrame, order: str, counts: list[str], descending: bool) -> DataFrame:
+    """Add ``upto_<count>``: running totals of counts over distinct values of ``order``, from one end to the other.
 
-    Equal scores are counted before any order is made; the running totals then see one row per distinct score.
+    Values are dealt into ranges; each range sums its own, and a table of one row per range gives what stands before. No task
+    gets all rows, however many distinct values there are.
     """
+    ranged = staged(steps.repartitionByRange(F.desc(order) if descending else F.asc(order)).withColumn("__part", F.spark_partition_id()), "steps")
+    sums = ranged.groupBy("__part").agg(*[F.sum(c).alias(f"__{c}") for c in counts])
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    base = sums.select("__part", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in counts])
+    here = Window.partitionBy("__part").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = ranged.join(F.broadcast(base), "__part")  # as many rows as shuffle partitions
+    return rows.withColumns({f"upto_{c}": F.col(f"__{c}") + F.sum(c).over(here) for c in counts}).drop("__part", *[f"__{c}" for c in counts])
+
+
+def score_steps(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """Positives and negatives of each distinct score, with running totals from the highest down; equal scores count first."""
     steps = rows.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return steps.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
+    return running_totals(steps, "score", ["p", "n"], True).withColumnsRenamed({"upto_p": "tp", "upto_n": "fp"})
 
 
 def roc_auc(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -44,9 +57,8 @@ def tpr_at_fpr(rows: DataFrame, target: float, label: str = "label", score: str
 def gate_threshold(rows: DataFrame, recall: float, label: str = "label", score: str = "score") -> DataFrame:
     """(threshold): of ascending scores of positives the one at floor((1 - recall) * n), counted from 0."""
     steps = rows.where(F.col(label) == 1).groupBy(F.col(score).alias("score")).agg(F.count("*").alias("c"))
-    up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = steps.withColumns({"upto": F.sum("c").over(up), "n": F.sum("c").over(Window.partitionBy())})
-    return ranked.where(F.col("upto") > F.floor(F.lit(1 - recall) * F.col("n"))).agg(F.min("score").alias("threshold"))
+    ranked = running_totals(steps, "score", ["c"], False).join(F.broadcast(steps.agg(F.sum("c").alias("n"))))  # one row
+    return ranked.where(F.col("upto_c") > F.floor(F.lit(1 - recall) * F.col("n"))).agg(F.min("score").alias("threshold"))
 
 
 def confusion(rows: DataFrame, truth: str, guess: str) -> DataFrame:
@@ -116,16 +128,39 @@ def student_quantile(p: float, df: float) -> float:
     return (low + high) / 2
 
 
-def mean_interval(rows: DataFrame, value: str, by: list[str] | None = None, extra: float = 0.0) -> DataFrame:
-    """(mean, half, n) of a column: the 95 % t-interval; ``extra`` = test rows over training rows corrects for shared training data.
+def with_quantile(stats: DataFrame, count: str = "n") -> DataFrame:
+    """Add ``t``: the 97.5 % point of Student's t with count - 1 degrees of freedom, 0 for one value; worked out once per count."""
 
-    Groups have few distinct sizes; their quantiles come from the driver as a constant map.
-    """
+    def quantiles(batches):
+        for frame in batches:
+            frame["t"] = [student_quantile(0.975, n - 1) if n > 1 else 0.0 for n in frame["__n"].tolist()]
+            yield frame
+
+    sizes = stats.select(F.col(count).cast("long").alias("__n")).distinct().mapInPandas(quantiles, "__n long, t double")
+    return stats.join(sizes, stats[count] == sizes["__n"], "left").drop("__n")
+
+
+def mean_interval(rows: DataFrame, value: str, by: list[str] | None = None, extra: float = 0.0) -> DataFrame:
+    """(mean, half, n) of a column: the 95 % t-interval; ``extra`` = test rows over training rows corrects for shared training data."""
     stats = rows.groupBy(*(by or [])).agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.count(value).alias("n"))
-    sizes = sorted(r["n"] for r in stats.select("n").distinct().limit(1000).collect() if r["n"] > 1)
-    entries = [F.lit(x) for n in sizes for x in (n, student_quantile(0.975, n - 1))]
-    t = F.coalesce(F.try_element_at(F.create_map(*entries), F.col("n")), F.lit(0.0)) if entries else F.lit(0.0)
-    return stats.withColumn("half", t * F.col("sd") * F.sqrt(1 / F.col("n") + extra)).drop("sd")
+    half = F.col("t") * F.col("sd") * F.sqrt(1 / F.col("n") + extra)
+    return with_quantile(stats).select(*(by or []), "mean", half.alias("half"), "n")
+
+
+def proportion_interval(rows: DataFrame, value: str, n_train: int, n_test: int, by: list[str] | None = None) -> DataFrame:
+    """(mean, low, high, n_runs, on_logit) of proportions over repeated splits: the corrected t-interval, taken on the scale of
+    log odds where the plain one would leave [0, 1]. A single run has its own value as both ends."""
+    edge = 0.5 / max(n_test, 1)
+    kept = F.greatest(F.lit(edge), F.least(F.lit(1 - edge), F.col(value)))
+    rows = rows.withColumn("__odds", F.log(kept / (1 - kept)))
+    parts = [F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.avg("__odds").alias("lm"), F.coalesce(F.stddev_samp("__odds"), F.lit(0.0)).alias("ls"), F.count(value).alias("n_runs")]
+    stats = with_quantile(rows.groupBy(*(by or [])).agg(*parts), "n_runs")
+    wide = F.col("t") * F.sqrt(1 / F.col("n_runs") + n_test / n_train)
+    low, high = F.col("mean") - wide * F.col("sd"), F.col("mean") + wide * F.col("sd")
+    stats = stats.withColumn("on_logit", (F.col("n_runs") > 1) & ((low < 0) | (high > 1)))
+    inverse = lambda z: 1 / (1 + F.exp(-z))
+    ends = [F.when(F.col("on_logit"), inverse(F.col("lm") + sign * wide * F.col("ls"))).otherwise(plain) for sign, plain in ((-1, low), (1, high))]
+    return stats.select(*(by or []), "mean", F.greatest(F.lit(0.0), ends[0]).alias("low"), F.least(F.lit(1.0), ends[1]).alias("high"), "n_runs", "on_logit")
 
 
 def paired_t(rows: DataFrame, a: str, b: str, extra: float = 0.0) -> dict[str, float | int | None]:
@@ -152,28 +187,77 @@ def mcnemar(rows: DataFrame, a: str, b: str) -> DataFrame:
     return counts.withColumn("p", F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * folded["sum"])))
 
 
-def sign_flips(rows: DataFrame, key: str, value: str, max_keys: int = 16) -> DataFrame:
-    """(observed, p): exact sign-flip test of clustered means; at most ``max_keys`` clusters, each flipped both ways."""
-    means = rows.groupBy(key).agg(F.avg(value).alias("d")).orderBy(key).limit(max_keys)
-    listed = means.agg(F.array_sort(F.collect_list("d")).alias("d"))
-    flips = listed.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftleft(F.lit(1).cast("long"), 0) * F.pow(F.lit(2), F.size("d")).cast("long") - 1)))
-    signed = F.aggregate(F.transform("d", lambda x, i: F.when(F.getbit("mask", i) == 1, -x).otherwise(x)), F.lit(0.0), lambda a, x: a + x)
-    observed = F.aggregate("d", F.lit(0.0), lambda a, x: a + x)
-    sums = flips.select(F.abs(signed).alias("s"), F.abs(observed).alias("o"), (observed / F.size("d")).alias("observed"))
+def cluster_means(rows: DataFrame, key: str, value: str, max_keys: int) -> DataFrame:
+    """(d): the sorted array of the means of all clusters; an error beyond ``max_keys``, whose signs could not be tried one by one."""
+    means = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(key).agg(F.avg(value).alias("d"))
+    if means.limit(max_keys + 1).count() > max_keys:
+        raise ValueError(f"more than {max_keys} clusters: an exact test would try more than 2^{max_keys} signs")
+    return means.agg(F.array_sort(F.collect_list("d")).alias("d"))
+
+
+def signed_sums(listed: DataFrame, values: str) -> DataFrame:
+    """Add ``s``: for every choice of signs the sum of an array with them."""
+    last = F.pow(F.lit(2), F.size(values)).cast("long") - 1
+    flips = listed.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return flips.withColumn("s", F.aggregate(F.transform(values, lambda x, i: F.when(F.getbit("mask", i) == 1, -x).otherwise(x)), F.lit(0.0), lambda a, x: a + x))
+
+
+def sign_flips(rows: DataFrame, key: str, value: str, max_keys: int = 20) -> DataFrame:
+    """(observed, p): exact sign-flip test of clustered means, every cluster flipped both ways; more than ``max_keys`` is an error."""
+    total = F.aggregate("d", F.lit(0.0), lambda a, x: a + x)
+    sums = signed_sums(cluster_means(rows, key, value, max_keys), "d").select(F.abs("s").alias("s"), F.abs(total).alias("o"), (total / F.size("d")).alias("observed"))
     return sums.agg(F.first("observed").alias("observed"), (F.count_if(F.col("s") >= F.col("o") - 1e-12) / F.count("*")).alias("p"))
 
 
-def bootstrap(rows: DataFrame, statistic: Column, key: str, draws: int = 200, seed: int = 0, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """(low, high) of a statistic over Poisson resamples: each row gets a weight ``w`` for each draw, by hash of key and draw.
+def signed_ranks(rows: DataFrame, key: str, value: str, max_keys: int = 20) -> DataFrame:
+    """(statistic, p, n): exact two-sided signed-rank test of clustered means other than zero; ties share their mean rank."""
+    listed = cluster_means(rows, key, value, max_keys).select(F.filter("d", lambda x: x != 0).alias("d"))
+    rank = lambda x: F.size(F.filter("d", lambda y: F.abs(y) < F.abs(x))) + (F.size(F.filter("d", lambda y: F.abs(y) == F.abs(x))) + 1) / 2
+    listed = listed.withColumn("r", F.transform("d", rank))
+    observed = F.aggregate(F.transform("d", lambda x, i: F.when(x < 0, -1.0).otherwise(1.0) * F.get("r", i)), F.lit(0.0), lambda a, x: a + x)
+    all_ranks = F.aggregate("r", F.lit(0.0), lambda a, x: a + x)
+    sums = signed_sums(listed.withColumns({"o": observed, "all": all_ranks}), "r")
+    p = F.count_if(F.abs("s") >= F.abs("o") - 1e-12) / F.count("*")
+    return sums.agg(((F.first("all") - F.abs(F.first("o"))) / 2).alias("statistic"), p.alias("p"), F.first(F.size("d")).cast("long").alias("n"))
 
-    ``statistic`` is an aggregate over ``w`` and the columns of the row. Weights need no order, so rows stay where they are.
+
+def paired_units(units: DataFrame, a: str, b: str, value: str, on: tuple[str, ...] = ("seed", "family", "ref")) -> DataFrame:
+    """Units of variant ``b`` beside those of ``a`` on the same seed, family and reference: (.., a, b, diff); missing values go."""
+    side = lambda name, to: units.where((F.col("variant") == name) & F.col(value).isNotNull() & ~F.isnan(value)).select(*on, F.col(value).alias(to))
+    return side(a, "a").join(side(b, "b"), list(on)).withColumn("diff", F.col("b") - F.col("a"))
+
+
+def two_level_bootstrap(rows: DataFrame, group: str, value: str, draws: int = 2000, seed: int = 0, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """(low, high) of the mean of group means, groups drawn anew and then values within each drawn group.
+
+    Poisson weights by hash stand for draws: one for each group and draw, one for each row, group and draw, so a drawn mean is a
+    weighted one, and rows need no order. Rows are reduced to counts of equal values first.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), key, "draw"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    counts = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    drawn = counts.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    means = drawn.withColumn("w", F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("c")), F.lit(0), lambda a, i: a + poisson(F.xxhash64(F.lit(seed), group, "v", i, "draw"))))
+    means = means.groupBy("draw", group).agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m")).where("m is not null")
+    means = means.withColumn("g", poisson(F.xxhash64(F.lit(seed + 1), group, "draw")))
+    each = means.groupBy("draw").agg((F.sum(F.col("g") * F.col("m")) / F.sum("g")).alias("s")).where("s is not null")
+    return each.agg(F.percentile("s", F.lit(low)).alias("low"), F.percentile("s", F.lit(high)).alias("high"))
+
+
+def poisson(hash_: Column) -> Column:
+    """A Poisson number of mean one from a hash."""
+    u = F.pmod(hash_, F.lit(1 << 30)) / F.lit(float(1 << 30))
     weight, cumulative = F.lit(0), 0.0
     for k in range(7):
         cumulative += math.exp(-1) / math.factorial(k)
         weight = weight + F.when(u >= cumulative, 1).otherwise(0)
-    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
+    return weight
+
+
+def bootstrap(rows: DataFrame, statistic: Column, key: str, draws: int = 200, seed: int = 0, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """(low, high) of a statistic over Poisson resamples: each row gets a weight ``w`` for each draw, by hash of key and draw.
+
+    ``statistic`` is an aggregate over ``w`` and the columns of the row. Weights need no order, so rows stay where they are.
+    """
+    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", poisson(F.xxhash64(F.lit(seed), key, "draw")))
     each = drawn.groupBy("draw").agg(statistic.alias("s"))
     return each.agg(F.percentile("s", F.lit(low)).alias("low"), F.percentile("s", F.lit(high)).alias("high"))
 

@@ -34,3 +34,29 @@ def sampled_runs(runs: DataFrame, per_family: int = 200, seed: int = 0) -> DataF
     """At most ``per_family`` runs of each family, by hash of their identity: the same on every run."""
     rank = F.row_number().over(Window.partitionBy("family").orderBy(F.xxhash64(F.lit(seed), "run_id"), "run_id"))
     return runs.withColumn("__n", rank).where(F.col("__n") <= per_family).drop("__n")
+
+
+def mean_prevalence(tokens: DataFrame, runs: DataFrame, prefix: str = "imp:") -> DataFrame:
+    """(token, p): share of all ``runs`` that have a token of a prefix; ``tokens``: (run_id, token)."""
+    n = runs.select("run_id").distinct().agg(F.count("*").alias("n"))
+    own = tokens.where(F.startswith("token", F.lit(prefix))).join(runs.select("run_id").distinct(), "run_id", "left_semi").distinct()
+    return own.groupBy("token").agg(F.count("*").alias("c")).join(F.broadcast(n)).select("token", (F.col("c") / F.col("n")).alias("p"))  # one row
+
+
+def merged_corpora(*tables: DataFrame) -> DataFrame:
+    """(category, line, families) of several line tables, the families of equal lines united."""
+    rows = tables[0]
+    for t in tables[1:]:
+        rows = rows.unionByName(t)
+    return rows.groupBy("category", "line").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))).alias("families"))
+
+
+def without_members(runs: DataFrame, members: DataFrame) -> DataFrame:
+    """Runs that are no members of a packaged corpus."""
+    return runs.join(members.select("run_id").distinct(), "run_id", "left_anti")
+
+
+def corpus_differences(packaged: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(category, line, side): lines that only one of two corpora has; none where a new draw gives the packaged one."""
+    p, d = packaged.select("category", "line").distinct(), drawn.select("category", "line").distinct()
+    return p.exceptAll(d).withColumn("side", F.lit("packaged")).unionByName(d.exceptAll(p).withColumn("side", F.lit("drawn")))

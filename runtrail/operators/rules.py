@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import half_even
-from ..functions.text import hex_or, image_of, ladder, like_pattern, literal_length, sigma_value, stripped, tidy, without_identity, without_numbers, yaml_quoted
-from .events import CATEGORIES, lookup
+from ..functions.text import hex_or, image_of, ladder, like_pattern, literal_length, sigma_value, stripped, tidy, without_identity, without_numbers, yaml_quoted, yara_string
+from .events import CATEGORIES, lookup, with_technique
 
 MIN_LITERAL, MAX_RULES = 10, 10
-#: Letters of a pattern before its first wildcard on which patterns meet lines; shorter ones meet within their category.
-PREFIX = 12
+#: Literal letters of a pattern by which it finds its lines; parts of a category for patterns without so many.
+GRAM, SALTS = 6, 64
 
 
 def candidates(events: DataFrame) -> DataFrame:
@@ -43,21 +43,28 @@ def candidates(events: DataFrame) -> DataFrame:
 def matches(patterns: DataFrame, lines: DataFrame) -> DataFrame:
     """(category, pattern, line): distinct patterns against distinct lines of their category, whole lines, any case.
 
-    Patterns without a wildcard meet equal lines; those with a long enough literal start meet lines of the same start; only the
-    rest is compared line by line within the category.
+    Patterns without a wildcard meet equal lines. Of the others each is keyed by the piece of ``GRAM`` literal letters that the
+    fewest lines have, and meets only the lines with that piece; then the whole pattern is compared. Patterns without so long a
+    literal meet all lines of their category, dealt over ``SALTS`` parts.
     """
-    p = patterns.select("category", "pattern").distinct().withColumns({"low": F.lower("pattern"), "head": F.lower(F.substring_index("pattern", "*", 1))})
+    p = patterns.select("category", "pattern").distinct().withColumn("low", F.lower("pattern"))
     lines = lines.select("category", "line").distinct().withColumn("low_line", F.lower("line"))
     exact = p.where(~F.contains("pattern", F.lit("*")))
     wild = p.where(F.contains("pattern", F.lit("*"))).withColumn("like", F.lower(like_pattern(F.col("pattern"))))
-    started, loose = wild.where(F.length("head") >= PREFIX), wild.where(F.length("head") < PREFIX)
-    found = exact.join(lines, (exact["category"] == lines["category"]) & (exact["low"] == lines["low_line"]))
+    found = exact.join(lines.withColumnRenamed("low_line", "low"), ["category", "low"])
     fits = F.expr("low_line like `like` escape '!'")
-    keyed = lines.withColumn("start", F.substring("low_line", 1, PREFIX))
-    near = started.withColumn("start", F.substring("head", 1, PREFIX)).join(keyed, ["category", "start"]).where(fits)
-    far = loose.join(lines, "category").where(fits)
-    parts = [found.select(exact["category"], "pattern", "line"), near.select("category", "pattern", "line"), far.select("category", "pattern", "line")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    pieces = lambda text: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (GRAM - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(GRAM)))
+    grams = lines.select("category", "line", "low_line", F.explode(F.array_distinct(pieces(F.col("low_line")))).alias("gram")).where(F.length("gram") == GRAM)
+    own = F.array_distinct(F.filter(F.flatten(F.transform(F.split("low", r"\*"), pieces)), lambda g: F.length(g) == GRAM))
+    keyed = wild.withColumn("grams", own)
+    common = grams.groupBy("category", "gram").agg(F.count("*").alias("n"))
+    options = keyed.select("category", "pattern", "like", F.size("grams").alias("asked"), F.explode("grams").alias("gram")).join(common, ["category", "gram"])
+    # a pattern with a piece that no line has cannot match
+    rarest = options.groupBy("category", "pattern", "like", "asked").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count("*").alias("had")).where("had = asked")
+    near = rarest.join(grams, ["category", "gram"]).where(fits)
+    salted = keyed.where(F.size("grams") == 0).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    far = salted.join(lines.withColumn("salt", F.pmod(F.xxhash64("line"), F.lit(SALTS)).cast("int")), ["category", "salt"]).where(fits)
+    return found.select("category", "pattern", "line").unionByName(near.select("category", "pattern", "line")).unionByName(far.select("category", "pattern", "line"))
 
 
 def run_hits(patterns: DataFrame, lines: DataFrame) -> DataFrame:
@@ -129,13 +136,18 @@ def rare_imports(static: DataFrame, prevalence: DataFrame, k: int = 8, cut: floa
 def metadata_rules(static: DataFrame, negatives: DataFrame, prevalence: DataFrame, k: int = 8, share: float = 0.75, with_imphash: bool = True) -> DataFrame:
     """(run_id, imphash, imports, need): imphash or at least ``need`` imports; either part goes if a negative has it.
 
-    ``static`` and ``negatives`` are (run_id, token). Imports count from three on; need is rounded half to even, two at least.
+    ``static`` and ``negatives`` are (run_id, token); where both have ``family``, negatives of a run's own family do not count
+    against it, so one call does all families against all others. Imports count from three on; need is rounded half to even, two at least.
     """
     imphash = static.where(F.startswith("token", F.lit("imphash:"))).groupBy("run_id").agg(F.substring_index(F.min("token"), ":", -1).alias("imphash"))
     chosen = rare_imports(static, prevalence, k).where(F.size("imports") >= 3).withColumn("need", F.greatest(F.lit(2), half_even(F.size("imports") * F.lit(share)).cast("int")))
-    neg = negatives.select(F.col("run_id").alias("neg_run"), "token").distinct()
-    hit = chosen.select("run_id", "need", F.explode("imports").alias("token")).join(neg, "token").groupBy("run_id", "neg_run").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("run_id").distinct()
-    known = imphash.withColumn("token", F.concat(F.lit("imphash:"), "imphash")).join(neg, "token", "left_semi").select("run_id")
+    family = "family" in static.columns and "family" in negatives.columns
+    neg = negatives.select(F.col("run_id").alias("neg_run"), "token", (F.col("family") if family else F.lit(None).cast("string")).alias("neg_family")).distinct()
+    own = static.groupBy("run_id").agg(F.min("family").alias("family")) if family else static.select("run_id", F.lit(None).cast("string").alias("family")).distinct()
+    others = ~F.col("family").eqNullSafe(F.col("neg_family")) if family else F.lit(True)
+    asked = chosen.select("run_id", "need", F.explode("imports").alias("token")).join(own, "run_id")
+    hit = asked.join(neg, "token").where(others).groupBy("run_id", "neg_run").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("run_id").distinct()
+    known = imphash.withColumn("token", F.concat(F.lit("imphash:"), "imphash")).join(own, "run_id").join(neg, "token").where(others).select("run_id").distinct()
     imphash = imphash.join(known, "run_id", "left_anti") if with_imphash else imphash.limit(0)
     both = imphash.join(chosen.join(hit, "run_id", "left_anti"), "run_id", "full")
     return both.select("run_id", F.coalesce("imphash", F.lit("")).alias("imphash"), F.coalesce("imports", F.array().cast("array<string>")).alias("imports"), F.coalesce("need", F.lit(0)).alias("need"))
@@ -157,6 +169,148 @@ def rarest_strings(strings: DataFrame, keywords: tuple[str, ...] = ("http", "cmd
     return strings.select("file_id", "string").distinct().withColumn("rank", rank).where(F.col("rank") <= n)
 
 
+YARA_HEAD = "    meta:\n        author = \"runtrail\"\n        sample_sha256 = \""
+CONFIDENCE = "\"\n        confidence = \"auto-generated; review before deploy\"\n"
+
+
+def yara_name(name: Column) -> Column:
+    """A rule name of letters, digits and underscores that starts with a letter."""
+    plain = F.regexp_replace(name, "[^A-Za-z0-9_]", "_")
+    return F.when(plain.rlike("^[A-Za-z]"), plain).otherwise(F.concat(F.lit("r_"), plain))
+
+
+def metadata_yara(rules: DataFrame, name: Column, sha256: Column) -> DataFrame:
+    """Add ``yara`` to rules (imphash, imports, need): their text, empty where a rule asks nothing."""
+    by_hash = F.when(hex_or(F.col("imphash"), 32) != "", F.concat(F.lit('pe.imphash() == "'), hex_or(F.col("imphash"), 32), F.lit('"')))
+    one = lambda i: F.concat(F.lit('pe.imports("'), yara_string(F.get(F.split(i, ":", 3), F.lit(1))), F.lit('", "'), yara_string(F.get(F.split(i, ":", 3), F.lit(2))), F.lit('")'))
+    by_imports = F.when(F.size("imports") > 0, F.concat(F.lit("(\n            "), F.array_join(F.transform("imports", one), " +\n            "), F.lit("\n        ) >= "), F.col("need").cast("string")))
+    condition = F.array_join(F.array_compact(F.array(by_hash, by_imports)), "\n        or ")
+    text = F.concat(F.lit('import "pe"\n\nrule '), yara_name(name), F.lit("\n{\n" + YARA_HEAD), hex_or(sha256, 64, "unknown"), F.lit(CONFIDENCE + "    condition:\n        uint16(0) == 0x5A4D and (\n        "), condition, F.lit("\n        )\n}\n"))
+    return rules.withColumn("yara", F.when(condition == "", F.lit("")).otherwise(text))
+
+
+# --- rules over strings of files
+
+GENERIC_STRING = "(?i)^(kernel32|user32|advapi32|ntdll|msvcrt|mscoree)(\\.dll)?$|^[.][a-z]{2,8}$|^!?This program cannot|^(GetProcAddress|LoadLibrary[AW]?|GetModuleHandle[AW]?|ExitProcess)$"
+
+
+def picked_strings(files: DataFrame, benign: list[bytes], marks: list[str], k: int = 6) -> DataFrame:
+    """(file_id, picked): of each file (file_id, strings) up to k distinctive strings.
+
+    First those with a mark, a URL or an address, in order of the file, then others of 8 to 80 letters, longest first; generic
+    strings and those of a benign text are left out.
+    """
+    held = F.transform("strings", lambda x, i: F.struct(x.alias("v"), i.alias("i")))
+    rows = files.select("file_id", F.explode(held).alias("s")).select("file_id", "s.v", "s.i").groupBy("file_id", "v").agg(F.min("i").alias("i"))
+    marked = F.lower("v").rlike("|".join(rlike_quoted(m.lower()) for m in marks)) | F.col("v").rlike(r"https?://|\d+\.\d+\.\d+\.\d+")
+    marked = marked & ~F.col("v").rlike(GENERIC_STRING) & (F.length("v") <= 120)
+    known = F.lit(False)
+    for text in benign:
+        known = known | F.contains(F.lit(text.decode("latin-1")), F.col("v"))
+    rows = rows.withColumn("marked", marked).where((F.col("marked") | F.length("v").between(8, 80)) & ~known)
+    order = [F.desc("marked"), F.when(F.col("marked"), F.col("i")), F.desc(F.length("v")), "v"]
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("file_id").orderBy(*order))).where(F.col("rank") <= k)
+    return ranked.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("rank", "v"))).alias("p")).select("file_id", F.transform("p", lambda x: x["v"]).alias("picked"))
+
+
+def rlike_quoted(text: str) -> str:
+    """A text as a Java pattern that matches it."""
+    return "".join(c if c.isalnum() or c.isspace() else "\\" + c for c in text)
+
+
+def string_rules(files: DataFrame, benign: list[bytes], k: int = 6) -> DataFrame:
+    """(file_id, picked, need, yara): string rules of files (file_id, label, strings); benign files have none."""
+    from .triage import APIS, PACKERS, TOKENS
+
+    rows = picked_strings(files.where("label <> 'benign'"), benign, [*APIS, *TOKENS, *PACKERS], k)
+    body = F.array_join(F.transform("picked", lambda v, i: F.concat(F.lit("        $s"), i.cast("string"), F.lit(' = "'), yara_string(v), F.lit('" ascii wide'))), "\n")
+    rows = rows.withColumn("need", F.greatest(F.lit(1), F.floor((F.size("picked") + 1) / 2)).cast("int"))
+    text = F.concat(F.lit("rule "), yara_name(F.concat(F.lit("file_"), F.substring("file_id", 1, 12))), F.lit("\n{\n" + YARA_HEAD), hex_or(F.col("file_id"), 64, "unknown"), F.lit(CONFIDENCE + "    strings:\n"), body, F.lit("\n    condition:\n        "), F.col("need").cast("string"), F.lit(" of ($s*)\n}\n"))
+    return rows.withColumn("yara", text)
+
+
+def string_hits(rules: DataFrame, files: DataFrame) -> DataFrame:
+    """(rule, file_id): files (file_id, content) that hold at least ``need`` strings of a rule (rule, picked, need), narrow or wide.
+
+    A rule is tried on a file that has the first letters of one of its strings among its printable runs, an equi-join.
+    """
+    from ..functions.text import printable_strings
+
+    asked = rules.select("rule", "need", F.explode(F.array_distinct("picked")).alias("string")).withColumn("key", F.substring("string", 1, 5))
+    plain = F.decode("content", "ISO-8859-1")
+    narrow = printable_strings(F.col("content"), 1 << 20)
+    wide = F.transform(F.regexp_extract_all(plain, F.lit("((?:[\\x20-\\x7e]\\x00){5,})"), 1), lambda v: F.replace(v, F.lit("\x00"), F.lit("")))
+    runs = files.select("file_id", F.explode(F.array_distinct(F.concat(narrow, wide))).alias("run"))
+    keyed = runs.select("file_id", "run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("run") - 4, F.lit(1))), lambda i: F.substring("run", i, F.lit(5))))).alias("key"))
+    held = keyed.join(asked, "key").where(F.contains("run", F.col("string"))).select("rule", "need", "file_id", "string").distinct()
+    return held.groupBy("rule", "file_id").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("rule", "file_id")
+
+
+# --- plain rules: exact values of events with a technique
+
+
+def plain_selection(events: DataFrame) -> DataFrame:
+    """(run_id, seq, category, technique, fields): what a plain rule of an event asks, an array of (field, op, value)."""
+    rows = with_technique(events).where("technique is not null")
+    words = F.filter(F.split(F.trim(F.coalesce("cmdline", F.lit(""))), r"\s+"), lambda w: w != "")
+    flag = F.get(F.filter(F.slice(words, 2, 1 << 20), lambda w: F.startswith(w, F.lit("-")) | F.startswith(w, F.lit("/")) | w.isin("delete", "shadows")), F.lit(0))
+    target = F.coalesce("target", F.lit("None"))
+    entry = lambda field, op, value: F.struct(F.lit(field).alias("field"), F.lit(op).alias("op"), value.alias("value"))
+    ending = F.concat(F.lit("."), F.substring_index(F.coalesce("target", F.lit("")), ".", -1))
+    kind = F.col("type")
+    asked = (
+        F.when((kind == "process_create") & (F.size(words) > 0), F.array_compact(F.array(entry("Image", "endswith", F.concat(F.lit("\\"), target)), F.when(flag.isNotNull(), entry("CommandLine", "contains", flag)))))
+        .when(kind == "registry_set", F.array(entry("TargetObject", "contains", F.lit("\\CurrentVersion\\Run\\"))))
+        .when((kind == "file_write") & (F.col("technique") == "T1486"), F.array(entry("TargetFilename", "endswith", ending)))
+        .when(kind == "process_inject", F.array(entry("TargetImage", "endswith", F.concat(F.lit("\\"), target))))
+    )
+    category = lookup({**CATEGORIES, "process_inject": "create_remote_thread"}, kind)
+    return rows.select("run_id", "seq", category.alias("category"), "technique", "image", asked.alias("fields")).where("fields is not null and category is not null")
+
+
+def plain_rules(events: DataFrame) -> DataFrame:
+    """(run_id, first_seq, category, technique, image, fields): plain selections of each run, equal ones once."""
+    rows = plain_selection(events).groupBy("run_id", "category", "fields").agg(F.min_by(F.struct("seq", "technique", "image"), "seq").alias("e"))
+    return rows.select("run_id", F.col("e.seq").alias("first_seq"), "category", "e.technique", "e.image", "fields")
+
+
+def plain_patterns(rules: DataFrame) -> DataFrame:
+    """(.., category, pattern): plain rules as wildcard patterns over lines; a process has its image and command line in one."""
+    star = lambda f: F.when(f["op"] == "endswith", F.concat(F.lit("*"), f["value"])).otherwise(F.concat(F.lit("*"), f["value"], F.lit("*")))
+    first, second = F.get("fields", F.lit(0)), F.get("fields", F.lit(1))
+    line = F.when(F.col("category") == "process_creation", F.concat(star(first), F.lit("\t"), F.when(second.isNotNull(), star(second)).otherwise(F.lit("*")))).otherwise(star(first))
+    return rules.where("category <> 'create_remote_thread'").withColumn("pattern", line)
+
+
+def plain_matches(rules: DataFrame, events: DataFrame) -> DataFrame:
+    """(category, fields, run_id): runs with an event that a plain rule fits, in any letter case; by distinct lines and patterns."""
+    from .events import rule_lines
+
+    patterns = plain_patterns(rules.select("category", "fields").distinct())
+    lines = rule_lines(events).withColumn("line", F.when(F.col("category") == "process_creation", F.concat(F.lit("\\"), "line")).otherwise(F.col("line")))
+    return run_hits(patterns, lines).join(patterns, ["category", "pattern"]).select("category", "fields", "run_id").distinct()
+
+
+def plain_surviving(rules: DataFrame, benign: DataFrame) -> DataFrame:
+    """The plain rules that fit no event of the benign runs."""
+    return rules.join(plain_matches(rules, benign).select("category", "fields").distinct(), ["category", "fields"], "left_anti")
+
+
+def common_patterns(rules: DataFrame, n: int = 15) -> DataFrame:
+    """(category, pattern, runs): the ``n`` patterns of most runs, a report of top rows."""
+    return rules.groupBy("category", "pattern").agg(F.count_distinct("run_id").alias("runs")).orderBy(F.desc("runs"), "category", "pattern").limit(n)
+
+
+def pooled(rules: DataFrame, group: str) -> DataFrame:
+    """(group, category, pattern): the rules of all runs of a group as one unit, equal ones once."""
+    return rules.select(group, "category", "pattern").distinct()
+
+
+def united_hits(hits: DataFrame, variant: str = "variant") -> DataFrame:
+    """(variant, run_id, units): runs hit by any unit of a variant, and by how many."""
+    return hits.select(variant, "unit", "run_id").distinct().groupBy(variant, "run_id").agg(F.count("*").alias("units"))
+
+
 # --- evaluation
 
 

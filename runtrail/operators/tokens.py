@@ -105,6 +105,15 @@ def ngram_scores(calls: DataFrame, model: DataFrame, intercept: float, min_calls
     return n.join(z, "run_id", "left").select("run_id", F.when(F.col("calls") >= min_calls, F.round(sigmoid(F.coalesce("z", F.lit(0.0)) + intercept), 4)).alias("probability"))
 
 
+def ngram_contributions(calls: DataFrame, model: DataFrame, k: int = 8) -> DataFrame:
+    """(run_id, rank, token, value, weight, impact): the n-grams that move a run's score most; rounded to 4, none of no impact."""
+    rows = tfidf(api_ngrams(calls), model).join(model.select("token", "weight"), "token")
+    rows = rows.select("run_id", "token", F.round("value", 4).alias("value"), F.round("weight", 4).alias("weight"))
+    rows = rows.withColumn("impact", F.round(F.col("value") * F.col("weight"), 4)).where("impact <> 0")
+    rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc(F.abs("impact")), "token"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("run_id", "rank", "token", "value", "weight", "impact")
+
+
 # --- set similarity
 
 
@@ -114,18 +123,20 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
-def nearest_prototype(sets: DataFrame, prototypes: DataFrame, id_col: str = "run_id") -> DataFrame:
+def nearest_prototype(sets: DataFrame, prototypes: DataFrame, id_col: str = "run_id", other_families: bool = False) -> DataFrame:
     """(id, family, similarity): of (id, tokens) the most similar of (proto_id, family, tokens); no family where nothing is shared.
 
     Equal sets are compared once; pairs come from an equi-join on shared tokens, with sizes for the union, never all against all.
+    ``other_families``: the sets carry ``family``, and prototypes of a set's own family do not count.
     """
     signature = lambda df: df.withColumn("sig", F.sha2(F.to_json(F.array_sort("tokens")), 256))
-    mine = signature(sets)
-    distinct = mine.groupBy("sig").agg(F.first("tokens").alias("tokens"))
+    own = F.col("family") if other_families else F.lit(None).cast("string")
+    mine = signature(sets).withColumn("sig", F.concat_ws("/", "sig", own)).withColumn("own", own)
+    distinct = mine.groupBy("sig").agg(F.first("tokens").alias("tokens"), F.first("own").alias("own"))
     protos = signature(prototypes).groupBy("sig", "family").agg(F.first("tokens").alias("tokens"), F.count("*").alias("support"), F.min("proto_id").alias("first"))
-    a = distinct.select("sig", F.size("tokens").alias("na"), F.explode("tokens").alias("token"))
+    a = distinct.select("sig", "own", F.size("tokens").alias("na"), F.explode("tokens").alias("token"))
     b = protos.select(F.col("sig").alias("psig"), "family", "support", "first", F.size("tokens").alias("nb"), F.explode("tokens").alias("token"))
-    shared = a.join(b, "token").groupBy("sig", "psig", "family").agg(F.count("*").alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("first").alias("first"))
+    shared = a.join(b, "token").where(F.col("own").isNull() | (F.col("own") != F.col("family"))).groupBy("sig", "psig", "family").agg(F.count("*").alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("first").alias("first"))
     scored = shared.withColumn("similarity", F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
     best = scored.groupBy("sig").agg(F.min_by(F.struct("family", "similarity"), F.struct(-F.col("similarity"), "first", "family")).alias("b"))
     return mine.select(id_col, "sig").join(best, "sig", "left").select(id_col, F.col("b.family").alias("family"), F.coalesce(F.col("b.similarity"), F.lit(0.0)).alias("similarity"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import crc_bucket, entropy_of_counts, finite_float, let, normalised, sigmoid, verdict
 from ..functions.text import addresses_in, printable_strings, urls_in
@@ -45,11 +47,17 @@ def text_reasons(text: Column) -> list[Column]:
     return [*apis, *tokens, packer]
 
 
-def byte_entropy(data: Column) -> Column:
-    """Bits per byte of a binary column, counted over its 256 byte values."""
-    letter = lambda b: F.decode(F.unhex(F.lpad(F.hex(b), 2, "0")), "ISO-8859-1")
-    counts = lambda plain: F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: (F.length(plain) - F.length(F.replace(plain, letter(b), F.lit("")))).cast("double"))
-    return entropy_of_counts(let(F.decode(data, "ISO-8859-1"), counts))
+@F.pandas_udf(T.DoubleType())
+def byte_entropy(data: pd.Series) -> pd.Series:
+    """Bits per byte of a binary column, 0 for none: its bytes are counted in one pass, batch by batch."""
+    import numpy as np
+
+    def bits(value: bytes | None) -> float:
+        counts = np.bincount(np.frombuffer(value or b"", np.uint8), minlength=256)
+        share = counts[counts > 0] / max(1, counts.sum())
+        return float(-(share * np.log2(share)).sum()) + 0.0
+
+    return data.map(bits)
 
 
 def triage_files(files: DataFrame, data_col: str = "content") -> DataFrame:
@@ -101,14 +109,21 @@ SECTION_BUCKETS, LIBRARIES, FUNCTIONS, EXPORTS = 50, 256, 1024, 128
 
 def bucket_counts(tokens: Column, n: int) -> Column:
     """Counts of an array of tokens in ``n`` hashed buckets, as an array of ``n`` doubles."""
-    hit = F.transform(tokens, lambda t: crc_bucket(t, n))
-    # sorted buckets with a mark for every bucket, so that each count is the length of a run: one pass per bucket
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: F.size(F.filter(hit, lambda h: h == b)).cast("double"))
+    return bucket_sums(F.transform(tokens, lambda t: F.struct(t.alias("name"), F.lit(1.0).alias("value"))), n)
 
 
 def bucket_sums(pairs: Column, n: int) -> Column:
-    """Sums of an array of (name, value) in ``n`` hashed buckets."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: F.aggregate(F.filter(pairs, lambda p: crc_bucket(p["name"], n) == b), F.lit(0.0), lambda a, p: a + p["value"]))
+    """Sums of an array of (name, value) in ``n`` hashed buckets.
+
+    Pairs are sorted by bucket behind a mark for each bucket, so that marks say where a bucket's pairs lie: one sort, one slice
+    per bucket.
+    """
+    placed = F.transform(pairs, lambda p: F.struct(crc_bucket(p["name"], n).alias("b"), F.lit(1).alias("o"), p["value"].alias("v")))
+    marks = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda b: F.struct(b.alias("b"), F.lit(0).alias("o"), F.lit(0.0).alias("v")))
+    total = lambda part: F.aggregate(part, F.lit(0.0), lambda a, p: a + p["v"])
+    starts = lambda s: F.filter(F.transform(s, lambda p, i: F.when(p["o"] == 0, i)), lambda i: i.isNotNull())
+    sums = lambda s, at: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: total(F.slice(s, F.get(at, b) + 1, F.get(at, b + 1) - F.get(at, b))))
+    return let(F.array_sort(F.concat(placed, marks)), lambda s: let(starts(s), lambda at: sums(s, at)))
 
 
 def file_features(rows: DataFrame) -> DataFrame:
@@ -132,6 +147,24 @@ def file_features(rows: DataFrame) -> DataFrame:
     return rows.withColumn("features", F.concat(*parts))
 
 
+def heuristic_scores(rows: DataFrame) -> DataFrame:
+    """Add ``heuristic``: the additive score over feature rows: imports for API names, section names for packer marks, entropy
+    from the byte histogram, URLs by their number."""
+    none = F.array().cast("array<string>")
+    names = F.transform(F.flatten(F.coalesce(F.map_values("imports"), F.array(none))), lambda f: F.lower(f))
+    sections = F.coalesce(F.transform("section.sections", lambda s: F.coalesce(s["name"], F.lit(""))), none)
+    score = F.lit(BIAS + 0.8)  # every such file is an executable
+    for api, weight in APIS.items():
+        score = score + F.when(F.exists("__names", lambda n, a=api.lower(): F.startswith(n, F.lit(a))), weight).otherwise(0.0)
+    marks = F.array(*map(F.lit, PACKERS))
+    score = score + F.when(F.arrays_overlap("__sections", marks), 0.7).otherwise(0.0)
+    counts = F.transform(F.coalesce("histogram", F.array().cast("array<bigint>")), lambda c: c.cast("double"))
+    high = F.greatest(F.col("__entropy") - HIGH_ENTROPY, F.lit(0.0))
+    urls = F.least(F.coalesce("strings.urls", F.lit(0.0)), F.lit(3.0))
+    rows = rows.withColumns({"__names": names, "__sections": sections, "__entropy": entropy_of_counts(counts)})
+    return rows.withColumn("heuristic", sigmoid(score + 2.0 * high + 0.3 * urls)).drop("__names", "__sections", "__entropy")
+
+
 FILE_ROW = (
     "sha256 string, label int, appeared string, histogram array<long>, byteentropy array<long>,"
     "strings struct<numstrings:double,avlength:double,printabledist:array<long>,printables:double,entropy:double,paths:double,urls:double,registry:double,MZ:double>,"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar, text
 from ..operators import evaluation as ev
 from ..operators import events as e
-from ..operators import graph, negatives, rules, scoring, tokens, triage
+from ..operators import evidence, graph, negatives, rules, scoring, tokens, triage
 from ..session import ingested, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,13 +206,30 @@ def api_ngram_score(spark, sf_dir):
     return tokens.ngram_scores(calls, model, -0.5)
 
 
+@query(f"WITH {TRACE}, {TF_SQL}, n AS (SELECT run_id, token, round(v / sqrt(sum(v * v) OVER (PARTITION BY run_id)), 4) AS value, (length(token) % 7 - 3)::DOUBLE AS weight FROM v), c AS (SELECT *, round(value * weight, 4) AS impact FROM n) SELECT run_id, rank, token, impact FROM (SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY abs(impact) DESC, token) AS INT) AS rank FROM c WHERE impact <> 0) WHERE rank <= 8")
+def api_ngram_contributions(spark, sf_dir):
+    """The n-grams that move each run's score most, from a fixed weight of each token."""
+    calls = tokens.api_calls(traces(spark, sf_dir))
+    model = tokens.document_frequencies(tokens.api_ngrams(calls)).withColumn("weight", (F.length("token") % 7 - 3).cast("double"))
+    return tokens.ngram_contributions(calls, model).select("run_id", "rank", "token", "impact")
+
+
 @query(f"WITH {TRACE}, s AS (SELECT run_id, list(target ORDER BY seq) AS a FROM te WHERE type = 'api_call' GROUP BY run_id) SELECT run_id, array_to_string(a[1:5], '>') AS head, array_to_string(a[-3:], '>') AS tail FROM s")
 def sequence_prefix_suffix(spark, sf_dir):
     calls = tokens.api_calls(traces(spark, sf_dir)).groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "api"))), lambda x: x["api"]).alias("a"))
     return calls.select("run_id", F.array_join(F.slice("a", 1, 5), ">").alias("head"), F.array_join(F.slice("a", -F.least(F.size("a"), F.lit(3)), 3), ">").alias("tail"))
 
 
-@query(None)
+_NORMAL = lambda v: rf"regexp_replace(replace(replace(regexp_replace(regexp_replace(lower({v}), 'c:\\users\\[^\\]+\\appdata\\roaming', '%appdata%'), 'c:\\windows\\system32', '%system%'), 'hkey_current_user', 'hkcu'), 'hkey_local_machine', 'hklm'), '[0-9]+', '#', 'g')"
+
+
+@query(rf"""WITH {TRACE}, n AS (SELECT run_id, type, technique, tactic, target, {_NORMAL("target")} AS t, {_NORMAL("cmdline")} AS c FROM ta)
+SELECT DISTINCT run_id, token FROM (SELECT run_id, unnest(['tech:' || technique, 'tactic:' || tactic]) AS token FROM n WHERE technique IS NOT NULL
+ UNION ALL SELECT run_id, 'api:' || lower(CASE WHEN target LIKE '%.dll.%' THEN split_part(target, '.dll.', -1) ELSE target END) FROM n WHERE type = 'api_call'
+ UNION ALL SELECT run_id, unnest(['file_write:' || t, 'file_write_dir:' || regexp_replace(t, '\\+[^\\]*$', ''), 'file_write_ext:' || split_part(t, '.', -1)]) FROM n WHERE type = 'file_write'
+ UNION ALL SELECT run_id, unnest(['registry_set:' || t, 'registry_set_parent:' || regexp_replace(t, '\\+[^\\]*$', '')]) FROM n WHERE type = 'registry_set'
+ UNION ALL SELECT run_id, 'net_connect:' || t FROM n WHERE type = 'net_connect'
+ UNION ALL SELECT run_id, unnest(['exec:' || t, 'cmd:' || substr(c, 1, 120)]) FROM n WHERE type = 'process_create')""")
 def behaviour_tokens(spark, sf_dir):
     return tokens.behaviour_tokens(traces(spark, sf_dir))
 
@@ -222,24 +239,27 @@ def technique_tokens(spark, sf_dir):
     return tokens.behaviour_tokens(traces(spark, sf_dir)).where(F.col("token").rlike("^(tech|tactic|api):"))
 
 
-_PROTO = "pr AS (SELECT run_id AS proto_id, 'fam' || run_id % 5 AS family, list_sort(list(DISTINCT technique) FILTER (WHERE technique IS NOT NULL)) AS t FROM ta WHERE run_id % 10 = 0 OR run_id % 10 = 3 GROUP BY run_id)"
+_SETS = "rs AS (SELECT run_id, list_sort(coalesce(list(DISTINCT technique) FILTER (WHERE technique IS NOT NULL), [])) AS t FROM ta GROUP BY run_id), sim AS (SELECT a.run_id AS run_id, b.run_id AS proto, len(list_intersect(a.t, b.t)) / nullif(len(list_distinct(list_concat(a.t, b.t))), 0)::DOUBLE AS s FROM rs a CROSS JOIN rs b)"
 
 
-@query(f"""WITH {TRACE}, rs AS (SELECT run_id, list_sort(list(DISTINCT technique) FILTER (WHERE technique IS NOT NULL)) AS t FROM ta WHERE seq <= 6 GROUP BY run_id), {_PROTO.replace("WHERE run_id", "WHERE seq <= 5 AND (run_id").replace(" = 3 GROUP", " = 3) GROUP")}
-SELECT run_id, round(coalesce(max(len(list_intersect(rs.t, pr.t)) / len(list_distinct(list_concat(rs.t, pr.t)))::DOUBLE), 0), 6) AS similarity FROM rs CROSS JOIN pr GROUP BY run_id""")
+def prototypes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(sets of all runs, the same as prototypes of families: user modulo 5); so the nearest is a run of equal techniques."""
+    sets = e.techniques_of_runs(traces(spark, sf_dir)).withColumnRenamed("techniques", "tokens")
+    return sets, sets.select(F.col("run_id").alias("proto_id"), F.concat(F.lit("fam"), F.col("run_id") % 5).alias("family"), "tokens")
+
+
+@query(f"WITH {TRACE}, {_SETS} SELECT run_id, round(max(coalesce(s, 0)) FILTER (WHERE run_id % 5 <> proto % 5), 6) AS similarity FROM sim GROUP BY run_id")
 def jaccard_nearest_prototype(spark, sf_dir):
-    runs = traces(spark, sf_dir)
-    sets = e.techniques_of_runs(runs.where("seq <= 6")).withColumnRenamed("techniques", "tokens")
-    protos = e.techniques_of_runs(runs.where("seq <= 5 and (run_id % 10 = 0 or run_id % 10 = 3)")).select(F.col("run_id").alias("proto_id"), F.concat(F.lit("fam"), F.col("run_id") % 5).alias("family"), F.col("techniques").alias("tokens"))
-    return rounded(tokens.nearest_prototype(sets, protos).select("run_id", "similarity"), "similarity")
+    """The likeness of each run to the nearest of another family."""
+    sets, protos = prototypes(spark, sf_dir)
+    mine = sets.withColumn("family", F.concat(F.lit("fam"), F.col("run_id") % 5))
+    return rounded(tokens.nearest_prototype(mine, protos, other_families=True).select("run_id", "similarity"), "similarity")
 
 
-@query(None)
+@query(f"WITH {TRACE}, {_SETS} SELECT run_id, CASE WHEN s > 0 THEN 'fam' || proto % 5 END AS family, round(coalesce(s, 0), 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY coalesce(s, 0) DESC, proto) AS k FROM sim) WHERE k = 1")
 def jaccard_nearest_whole_run(spark, sf_dir):
-    """The nearest prototype of each run by all its events, with all runs as prototypes; ``jaccard_nearest_prototype`` is the part that has SQL."""
-    sets = e.techniques_of_runs(traces(spark, sf_dir)).withColumnRenamed("techniques", "tokens")
-    protos = sets.select(F.col("run_id").alias("proto_id"), F.concat(F.lit("fam"), F.col("run_id") % 5).alias("family"), "tokens")
-    return rounded(tokens.nearest_prototype(sets, protos), "similarity")
+    """The nearest prototype of each run by all its events, with all runs as prototypes."""
+    return rounded(tokens.nearest_prototype(*prototypes(spark, sf_dir)), "similarity")
 
 
 _WORDS = "w AS (SELECT doc_id, source, lower(unnest(string_split_regex(trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' +'))) AS token FROM documents), wd AS (SELECT DISTINCT doc_id, source, token FROM w WHERE token <> '')"
@@ -295,7 +315,13 @@ def rule_candidates(spark, sf_dir):
     return rules.candidates(file_and_key_events(spark, sf_dir)).select("run_id", "first_seq", "category", "pos", "pattern")
 
 
-@query(None)
+@query(rf"""WITH {TRACE}, f AS (SELECT run_id, min(seq) AS first_seq, arg_min(cmdline, seq) AS cmd FROM te WHERE type = 'process_create' GROUP BY run_id, lower(cmdline)),
+i AS (SELECT *, split_part(cmd, ' ', 1) AS img, '*' || regexp_replace(substr(cmd, strpos(cmd, ' ') + 1), '[0-9]+$', '') || '*' AS whole FROM f),
+l AS (SELECT *, regexp_replace(img, '[0-9]+', '*', 'g') AS img2 FROM i),
+r AS (SELECT run_id, first_seq, 0 AS pos, 0 AS rung, img2 || chr(9) || whole AS pattern, greatest(length(regexp_replace(img2, '[*.]', '', 'g')), length(regexp_replace(whole, '[*.]', '', 'g'))) >= 10 AS specific FROM l
+ UNION ALL SELECT run_id, first_seq, 1, 0, img || chr(9) || '*', length(regexp_replace(img, '[*.]', '', 'g')) >= 10 FROM l
+ UNION ALL SELECT run_id, first_seq, 2, 1, img2 || chr(9) || '*', length(regexp_replace(img2, '[*.]', '', 'g')) >= 10 FROM l WHERE img2 <> img)
+SELECT run_id, first_seq, CAST(pos AS INT) AS pos, CAST(rung AS INT) AS rung, pattern, specific FROM r""")
 def process_rule_candidates(spark, sf_dir):
     return rules.candidates(traces(spark, sf_dir).where("type = 'process_create'")).select("run_id", "first_seq", "pos", "rung", "pattern", "specific")
 
@@ -320,22 +346,23 @@ best AS (SELECT run_id, first_seq, category, max(pos) AS rung, arg_max(pattern,
 once AS (SELECT run_id, arg_min(category, first_seq) AS category, min(first_seq) AS first_seq, arg_min(rung, first_seq) AS rung, arg_min(pattern, first_seq) AS pattern FROM best GROUP BY run_id, lower(pattern))"""
 
 
-def surviving_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates with four literal characters that hit at most forty runs of other families (a family: user modulo 5)."""
+def surviving_rules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(candidates with four literal characters that hit at most forty runs of other families, all hits); a family: user modulo 5."""
     runs = file_and_key_events(spark, sf_dir)
-    cand = rules.candidates(runs).withColumns({"family": (F.col("run_id") % 5).cast("string"), "specific": text.literal_length(F.col("pattern")) >= 4})
-    hits = rules.run_hits(cand, e.rule_lines(runs)).select("category", "pattern", F.col("run_id").alias("neg_run"), (F.col("run_id") % 5).cast("string").alias("neg_family"))
-    return rules.surviving(cand, hits, max_neg_hits=40)
+    cand = staged(rules.candidates(runs).withColumns({"family": (F.col("run_id") % 5).cast("string"), "specific": text.literal_length(F.col("pattern")) >= 4}), "candidates")
+    hits = staged(rules.run_hits(cand, e.rule_lines(runs)), "rule-hits")
+    asked = hits.select("category", "pattern", F.col("run_id").alias("neg_run"), (F.col("run_id") % 5).cast("string").alias("neg_family"))
+    return rules.surviving(cand, asked, max_neg_hits=40), hits
 
 
 @query(f"WITH {TRACE}, {SURVIVE_SQL} SELECT run_id, first_seq, category, pos, pattern FROM ok")
 def rules_surviving_negatives(spark, sf_dir):
-    return surviving_rules(spark, sf_dir).select("run_id", "first_seq", "category", "pos", "pattern")
+    return surviving_rules(spark, sf_dir)[0].select("run_id", "first_seq", "category", "pos", "pattern")
 
 
 @query(f"WITH {TRACE}, {SURVIVE_SQL} SELECT run_id, category, first_seq, rung, pattern, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY rung DESC, category, first_seq) AS INT) AS rank FROM once) WHERE rank <= 10")
 def rules_topk_per_run(spark, sf_dir):
-    return rules.selected(surviving_rules(spark, sf_dir)).select("run_id", "category", "first_seq", "rung", "pattern", "rank")
+    return rules.selected(surviving_rules(spark, sf_dir)[0]).select("run_id", "category", "first_seq", "rung", "pattern", "rank")
 
 
 @query(f"""WITH {TRACE}, {SURVIVE_SQL}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY rung DESC, category, first_seq) AS rank FROM once) WHERE rank <= 10),
@@ -343,15 +370,56 @@ un AS (SELECT DISTINCT run_id AS unit FROM top), hit AS (SELECT DISTINCT top.run
 SELECT unit, round((SELECT count(*) FROM hit WHERE hit.unit = un.unit AND hit.run_id % 5 = un.unit % 5) / (SELECT count(*) FROM ts WHERE run_id % 5 = un.unit % 5)::DOUBLE, 6) AS recall,
  round((SELECT count(*) FROM hit WHERE hit.unit = un.unit AND hit.run_id % 5 <> un.unit % 5) / (SELECT count(*) FROM ts WHERE run_id % 5 <> un.unit % 5)::DOUBLE, 6) AS fpr FROM un""")
 def rule_eval(spark, sf_dir):
-    runs = file_and_key_events(spark, sf_dir)
-    top = rules.selected(surviving_rules(spark, sf_dir))
-    hits = rules.run_hits(top, e.rule_lines(runs)).join(top.select(F.col("run_id").alias("unit"), "category", "pattern"), ["category", "pattern"]).select("unit", "run_id")
+    passing, hits = surviving_rules(spark, sf_dir)
+    top = staged(rules.selected(passing), "rules")
+    hits = hits.join(top.select(F.col("run_id").alias("unit"), "category", "pattern"), ["category", "pattern"]).select("unit", "run_id")
     family = lambda c: (F.col(c) % 5).cast("string").alias("family")
     units = top.select(F.col("run_id").alias("unit"), family("run_id")).distinct()
     tests = traces(spark, sf_dir).select("run_id", family("run_id")).distinct().withColumn("novel", F.lit(False))
     return rounded(rules.rule_scores(units, hits, tests).select("unit", "recall", "fpr"), "recall", "fpr")
 
 
+PLAIN_SQL = """pl AS (SELECT run_id, seq, technique, CASE type WHEN 'process_create' THEN 'process_creation' WHEN 'registry_set' THEN 'registry_set' ELSE 'file_event' END AS category,
+  CASE WHEN type = 'process_create' THEN '*' || chr(92) || target || chr(9) || CASE WHEN cmdline LIKE '%vssadmin%' THEN '*/c*' WHEN cmdline LIKE '%-enc%' THEN '*-enc*' WHEN cmdline LIKE '%//b%' THEN '*//b*' WHEN cmdline LIKE '%-flag%' THEN '*-flag*' ELSE '*' END
+       WHEN type = 'registry_set' THEN '*' || chr(92) || 'CurrentVersion' || chr(92) || 'Run' || chr(92) || '*' ELSE '*.' || split_part(target, '.', -1) END AS pattern
+  FROM ta WHERE technique IS NOT NULL AND (type IN ('process_create', 'registry_set') OR (type = 'file_write' AND technique = 'T1486'))),
+pr AS (SELECT run_id, category, pattern, min(seq) AS first_seq, arg_min(technique, seq) AS technique FROM pl GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {TRACE}, {PLAIN_SQL} SELECT run_id, first_seq, category, technique, pattern FROM pr")
+def plain_rules(spark, sf_dir):
+    """Rules of exact values of events with a technique, as wildcard patterns."""
+    return rules.plain_patterns(rules.plain_rules(traces(spark, sf_dir))).select("run_id", "first_seq", "category", "technique", "pattern")
+
+
+@query(f"""WITH {TRACE}, {PLAIN_SQL}, bl AS (SELECT DISTINCT CASE type WHEN 'process_create' THEN 'process_creation' WHEN 'registry_set' THEN 'registry_set' ELSE 'file_event' END AS category,
+  CASE WHEN type = 'process_create' THEN chr(92) || split_part(cmdline, ' ', 1) || chr(9) || cmdline ELSE target END AS line FROM te WHERE run_id % 10 = 7 AND type IN ('process_create', 'registry_set', 'file_write'))
+SELECT run_id, category, pattern FROM pr WHERE NOT EXISTS (SELECT 1 FROM bl WHERE bl.category = pr.category AND bl.line ILIKE replace(replace(replace(replace(pr.pattern, '!', '!!'), '%', '!%'), '_', '!_'), '*', '%') ESCAPE '!')""")
+def plain_rules_surviving(spark, sf_dir):
+    """Plain rules that fit no event of the runs taken as benign (user modulo 10 is 7)."""
+    runs = traces(spark, sf_dir)
+    kept = rules.plain_surviving(rules.plain_rules(runs), runs.where("run_id % 10 = 7"))
+    return rules.plain_patterns(kept).select("run_id", "category", "pattern")
+
+
+@query(f"WITH {TRACE}, {PLAIN_SQL} SELECT category, pattern, count(DISTINCT run_id) AS runs FROM pr GROUP BY 1, 2 ORDER BY runs DESC, category, pattern LIMIT 15")
+def common_patterns(spark, sf_dir):
+    return rules.common_patterns(rules.plain_patterns(rules.plain_rules(traces(spark, sf_dir))))
+
+
+@query(f"WITH {TRACE}, {PLAIN_SQL} SELECT DISTINCT run_id % 5 AS family, category, pattern FROM pr")
+def pooled_rules(spark, sf_dir):
+    """The plain rules of all runs of a family (user modulo 5) as one unit."""
+    found = rules.plain_patterns(rules.plain_rules(traces(spark, sf_dir))).withColumn("family", F.col("run_id") % 5)
+    return rules.pooled(found, "family")
+
+
+@query("SELECT l_returnflag AS variant, l_partkey AS run_id, count(DISTINCT l_suppkey) AS units FROM lineitem GROUP BY 1, 2")
+def united_hits(spark, sf_dir):
+    """Parts that any supplier of a return flag reaches: what the units of a variant hit together."""
+    return rules.united_hits(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("variant"), F.col("l_suppkey").alias("unit"), F.col("l_partkey").alias("run_id")))
+
+
 # --- negatives and metadata rules over document words (source as family)
 
 
@@ -384,6 +452,29 @@ def prevalence_max_excluding(spark, sf_dir):
     return negatives.prevalence_without(prevalence(spark, sf_dir), "src1")
 
 
+@query(f"WITH {_WORDS} SELECT 'imp:' || token AS token, round(count(DISTINCT doc_id) / (SELECT count(*) FROM documents)::DOUBLE, 6) AS p FROM wd GROUP BY token")
+def mean_prevalence(spark, sf_dir):
+    named = words(spark, sf_dir).select(F.col("doc_id").alias("run_id"), F.concat(F.lit("imp:"), "token").alias("token"))
+    return rounded(negatives.mean_prevalence(named, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"))), "p")
+
+
+@query("WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line, source FROM documents) SELECT md5(line) AS line_md5, array_to_string(list_sort(list(DISTINCT source)), ',') AS families FROM l WHERE line <> '' AND source <> 'src2' GROUP BY line")
+def merged_corpora(spark, sf_dir):
+    """Line tables of two halves of the sources united, without the members of one source."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), F.explode(F.split("text", "\n")).alias("line"), F.col("source").alias("family")).where("line <> '' and family is not null").withColumn("category", F.lit("text"))
+    lines = negatives.without_members(lines, lines.where("family = 'src2'"))
+    half = F.pmod(F.xxhash64("family"), F.lit(2))
+    both = negatives.merged_corpora(negatives.line_families(lines.where(half == 0)), negatives.line_families(lines.where(half == 1)))
+    return both.select(F.md5("line").alias("line_md5"), F.array_join("families", ",").alias("families"))
+
+
+@query("WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line, doc_id FROM documents), a AS (SELECT DISTINCT line FROM l WHERE line <> '' AND doc_id % 3 <> 0), b AS (SELECT DISTINCT line FROM l WHERE line <> '' AND doc_id % 3 <> 1) SELECT md5(line) AS line_md5, 'packaged' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT md5(line), 'drawn' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
+def corpus_differences(spark, sf_dir):
+    """Lines that only one of two draws of the documents has."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''").withColumn("category", F.lit("text"))
+    return negatives.corpus_differences(lines.where("doc_id % 3 <> 0"), lines.where("doc_id % 3 <> 1")).select(F.md5("line").alias("line_md5"), "side")
+
+
 @query(f"""WITH {_PREV}, mx AS (SELECT token, max(p) AS p FROM pv GROUP BY token), r AS (SELECT doc_id, token, coalesce(p, 0) AS p, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(p, 0), wd.token) AS rank FROM wd LEFT JOIN mx USING (token))
 SELECT doc_id AS run_id, array_to_string(list('imp:' || token ORDER BY rank), ',') AS imports FROM r WHERE rank <= 8 AND p < 0.05 GROUP BY doc_id""")
 def rarest_k_then_filter(spark, sf_dir):
@@ -422,7 +513,7 @@ def defang_urls(spark, sf_dir):
 
 @query(None)
 def defang_whole_urls(spark, sf_dir):
-    """Each page's whole URL made harmless, path and query included; ``defang_urls`` is the part that has SQL."""
+    """Each page's whole URL made harmless, path and query included; tested against a brute-force form."""
     return table(spark, sf_dir, "pages").select("page_id", text.defang(F.col("url")).alias("url_defanged"))
 
 
@@ -432,16 +523,18 @@ def normalize_values(spark, sf_dir):
     return file_and_key_events(spark, sf_dir).select("target").distinct().withColumn("normal", text.normalize(F.col("target")))
 
 
-@query(r"""WITH v AS (SELECT doc_id, text[1:200] AS t FROM documents) SELECT doc_id, replace(replace(replace(t, '\', '\\'), '*', '\*'), '?', '\?') AS literal, '''' || replace(t, '''', '''''') || '''' AS quoted FROM (SELECT doc_id, regexp_replace(t, '[\x00-\x1f]', ' ', 'g') AS t FROM v)""")
+_ESCAPED = r"""SELECT doc_id, regexp_replace(replace(replace(replace(text, '\', '\\'), '*', '\*'), '?', '\?'), '[\x00-\x1f\x7f]', '?', 'g') AS literal, '''' || replace(regexp_replace(text, '[\x00-\x1f\x7f]', ' ', 'g'), '''', '''''') || '''' AS quoted FROM documents""".replace("\\'", "'")
+
+
+@query(_ESCAPED)
 def escape_literals(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 200), r"[\x00-\x1f]", " ").alias("t"))
-    return rows.select("doc_id", text.sigma_literal(F.col("t")).alias("literal"), text.yaml_quoted(F.col("t")).alias("quoted"))
+    """Each document's whole text as a literal of a rule and as a quoted scalar."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.sigma_literal(F.col("text")).alias("literal"), text.yaml_quoted(F.col("text")).alias("quoted"))
 
 
-@query(None)
+@query(_ESCAPED)
 def escape_whole_texts(spark, sf_dir):
-    """Each document's whole text escaped; ``escape_literals`` is the part that has SQL."""
-    return table(spark, sf_dir, "documents").select("doc_id", text.sigma_literal(F.col("text")).alias("literal"), text.yaml_quoted(F.col("text")).alias("quoted"))
+    return escape_literals(spark, sf_dir)
 
 
 # --- evaluation over labels: a score of each labelled document from its id
@@ -527,6 +620,30 @@ def sign_flip_test(spark, sf_dir):
     return rounded(ev.sign_flips(rows, "g", "v"), "observed", "p")
 
 
+@query("""WITH m AS (SELECT doc_id % 9 AS g, avg(quality - toxic * 2) AS d FROM labels GROUP BY 1), z AS (SELECT g, d FROM m WHERE d <> 0), r AS (SELECT g, d, (SELECT count(*) FROM z b WHERE abs(b.d) < abs(z.d)) + ((SELECT count(*) FROM z b WHERE abs(b.d) = abs(z.d)) + 1) / 2.0::DOUBLE AS r FROM z),
+a AS (SELECT list(r ORDER BY g) AS r, sum(CASE WHEN d < 0 THEN -r ELSE r END) AS o, count(*) AS n FROM r), f AS (SELECT r, o, n, unnest(range(0, (1 << n::INT)::BIGINT)) AS b FROM a), s AS (SELECT abs(list_sum(list_transform(r, lambda x, i: CASE WHEN (b >> (i - 1)::INT) & 1 = 1 THEN -x ELSE x END))) AS s, abs(o) AS o, n, list_sum(r) AS al FROM f)
+SELECT round(any_value((al - o) / 2)::DOUBLE, 6) AS statistic, round((count(*) FILTER (WHERE s >= o - 1e-12)) / count(*)::DOUBLE, 6) AS p, any_value(n) AS n FROM s""")
+def signed_rank_test(spark, sf_dir):
+    """Exact signed-rank test of the means of nine clusters."""
+    rows = table(spark, sf_dir, "labels").select((F.col("doc_id") % 9).alias("g"), (F.col("quality") - F.col("toxic") * 2).alias("v"))
+    return rounded(ev.signed_ranks(rows, "g", "v"), "statistic", "p")
+
+
+@query("SELECT a.o_custkey AS family, a.ref AS ref, round(a.v, 4) AS a, round(b.v, 4) AS b, round(b.v - a.v, 4) AS diff FROM (SELECT o_custkey, month(o_orderdate) AS ref, CAST(avg(o_totalprice) AS DOUBLE) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2) a JOIN (SELECT o_custkey, month(o_orderdate) AS ref, CAST(avg(o_totalprice) AS DOUBLE) AS v FROM orders WHERE o_orderstatus = 'O' GROUP BY 1, 2) b ON a.o_custkey = b.o_custkey AND a.ref = b.ref")
+def paired_units(spark, sf_dir):
+    """Mean prices of two order states, paired on customer and month."""
+    units = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("variant"), F.col("o_custkey").alias("family"), F.month("o_orderdate").alias("ref")).agg(F.avg(F.col("o_totalprice").cast("double")).alias("v"))
+    return rounded(ev.paired_units(units, "F", "O", "v", ("family", "ref")), "a", "b", "diff", digits=4)
+
+
+@query("""WITH g AS (SELECT l_returnflag AS g, l_discount::DOUBLE * 10 AS v FROM lineitem WHERE l_orderkey <= 40), o AS (SELECT g, v, ln(greatest(0.005, least(0.995, v)) / (1 - greatest(0.005, least(0.995, v)))) AS lo FROM g),
+s AS (SELECT g, avg(v) AS m, stddev_samp(v) AS sd, avg(lo) AS lm, stddev_samp(lo) AS ls, count(*) AS n FROM o GROUP BY g) SELECT g, round(m, 6) AS mean, n AS n_runs FROM s""")
+def proportion_interval(spark, sf_dir):
+    """Discounts as proportions of repeated runs: mean and number (its ends are tested against a brute-force form)."""
+    rows = table(spark, sf_dir, "lineitem").where("l_orderkey <= 40").select(F.col("l_returnflag").alias("g"), (F.col("l_discount").cast("double") * 10).alias("v"))
+    return rounded(ev.proportion_interval(rows, "v", 800, 100, ["g"]), "mean").select("g", "mean", "n_runs")
+
+
 @query("SELECT vec_id, round(e / s, 5) AS share FROM (SELECT vec_id, exp(x[1] - m) AS e, list_sum(list_transform(x, lambda v: exp(v - m))) AS s FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x, list_max(embedding)::DOUBLE AS m FROM embeddings))")
 def softmax_scores(spark, sf_dir):
     x = F.transform("embedding", lambda v: v.cast("double"))
@@ -617,12 +734,27 @@ def process_parent_join(spark, sf_dir):
     return rows.where("child_pid is not null").select("run_id", "seq", "child_pid").join(first, ["run_id", "child_pid"]).select("run_id", "seq", "child_image")
 
 
-@query("SELECT o_orderkey, CASE WHEN c.c_custkey IS NULL THEN 'unbound' WHEN c.c_acctbal > 0 THEN 'verified' ELSE 'mismatch' END AS binding FROM orders LEFT JOIN customer c ON o_custkey = c.c_custkey")
+_EVIDENCE = "pairs AS (SELECT o_orderkey AS run_id, sha256(CAST(o_orderkey % 7 AS VARCHAR)) AS h FROM orders), rec AS (SELECT DISTINCT l_orderkey AS run_id, sha256(CAST((l_orderkey + l_suppkey) % 7 AS VARCHAR)) AS h FROM lineitem WHERE l_quantity > 25)"
+
+
+def evidence_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as pairs of a sample and a run, large line items as the digests that a run records."""
+    digest = lambda c: F.sha2((c % 7).cast("string"), 256).alias("sha256")
+    pairs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), digest(F.col("o_orderkey")))
+    recorded = table(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("run_id"), digest(F.col("l_orderkey") + F.col("l_suppkey")))
+    return pairs, recorded
+
+
+@query(f"WITH {_EVIDENCE} SELECT run_id, CASE WHEN EXISTS (SELECT 1 FROM rec WHERE rec.run_id = pairs.run_id AND rec.h = pairs.h) THEN 'bound' ELSE 'unbound' END AS binding FROM pairs WHERE EXISTS (SELECT 1 FROM rec WHERE rec.run_id = pairs.run_id AND rec.h = pairs.h) OR NOT EXISTS (SELECT 1 FROM rec WHERE rec.run_id = pairs.run_id)")
 def evidence_binding(spark, sf_dir):
-    """Three-way binding of evidence: without a partner, with a good one, with a bad one."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    rows = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return rows.select("o_orderkey", F.when(F.col("c_custkey").isNull(), "unbound").when(F.col("c_acctbal") > 0, "verified").otherwise("mismatch").alias("binding"))
+    """Runs that record their sample's digest, or none."""
+    return evidence.bound(*evidence_tables(spark, sf_dir))[0].select("run_id", "binding")
+
+
+@query(f"WITH {_EVIDENCE} SELECT run_id, 'evidence mismatch' AS reason FROM pairs WHERE NOT EXISTS (SELECT 1 FROM rec WHERE rec.run_id = pairs.run_id AND rec.h = pairs.h) AND EXISTS (SELECT 1 FROM rec WHERE rec.run_id = pairs.run_id)")
+def evidence_rejects(spark, sf_dir):
+    """Runs that record other digests only."""
+    return evidence.bound(*evidence_tables(spark, sf_dir))[1].select("run_id", "reason")
 
 
 @query(f"WITH {TRACE}, a AS (SELECT DISTINCT target AS item FROM te WHERE type = 'api_call'), v AS (SELECT item, CAST(row_number() OVER (ORDER BY item) AS INT) AS code FROM a), r AS (SELECT te.run_id, te.seq, code, row_number() OVER (PARTITION BY te.run_id ORDER BY te.seq DESC) AS back FROM te JOIN v ON v.item = te.target WHERE type = 'api_call'), c AS (SELECT run_id, list(code ORDER BY seq) AS c FROM r WHERE back <= 12 GROUP BY 1) SELECT run_id, array_to_string(list_concat(list_transform(range(0, 12 - len(c)), lambda x: 0), c), ' ') AS codes FROM c")
@@ -659,23 +791,23 @@ def vocabulary_overlap(spark, sf_dir):
 
 @query(None)
 def family_lr_predict(spark, sf_dir):
-    """Families (languages) of held-out documents by their words: (doc_id, lang, family, confidence)."""
+    """Families (languages) of all documents by their words; ``held_out`` marks those that the model has not seen."""
     from ..operators.models import FamilyModel
 
     bags = words(spark, sf_dir).groupBy(F.col("doc_id").alias("run_id")).agg(F.array_sort(F.collect_set("token")).alias("tokens"))
     rows = bags.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), "lang"), "run_id")
     model = FamilyModel.fit(rows.where("run_id % 5 <> 0").select("tokens", F.col("lang").alias("family")), cells=1 << 14, rounds=20)
-    return model.predict(rows.where("run_id % 5 = 0")).select(F.col("run_id").alias("doc_id"), "lang", "family", F.round("confidence", 4).alias("confidence"))
+    return model.predict(rows).select(F.col("run_id").alias("doc_id"), (F.col("run_id") % 5 == 0).alias("held_out"), "lang", "family", F.round("confidence", 4).alias("confidence"))
 
 
 @query(None)
 def gbt_gate(spark, sf_dir):
-    """Boosted trees over dense feature rows: (vec_id, target, score) of held-out rows."""
+    """Boosted trees over dense feature rows: (vec_id, held_out, target, score) of all rows."""
     from ..operators.models import fit_gate, gate_scores
 
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("features"), (F.col("label") < 5).cast("int").alias("label"))
     model = fit_gate(rows.where("vec_id % 4 <> 0"), rounds=5, depth=3)
-    return gate_scores(model, rows.where("vec_id % 4 = 0")).select("vec_id", F.col("label").alias("target"), F.round("score", 4).alias("score"))
+    return gate_scores(model, rows).select("vec_id", (F.col("vec_id") % 4 == 0).alias("held_out"), F.col("label").alias("target"), F.round("score", 4).alias("score"))
 
 
 @query(None)
@@ -698,15 +830,21 @@ def report_json_hash(spark, sf_dir):
     return rows.select("run_id", canonical_hash(F.struct("run_id", "probability", "label", "contributions")).alias("content_sha256"))
 
 
-@query(None)
+@query(f"""WITH {_PREV}, mx AS (SELECT token, max(p) AS p FROM pv GROUP BY token), r AS (SELECT doc_id, source, token, coalesce(p, 0) AS p, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(p, 0), wd.token) AS rank FROM wd LEFT JOIN mx USING (token)),
+c AS (SELECT doc_id, source, token FROM r WHERE rank <= 8 AND p < 0.05), n AS (SELECT doc_id, count(*) AS n_imports, greatest(2, CAST(round_even(count(*) * 0.75, 0) AS INT)) AS need FROM c GROUP BY doc_id HAVING count(*) >= 3),
+h AS (SELECT DISTINCT doc_id FROM (SELECT c.doc_id AS doc_id, w.doc_id AS other, count(*) AS k FROM c JOIN wd w ON w.token = c.token AND w.source IS DISTINCT FROM c.source GROUP BY 1, 2) JOIN n USING (doc_id) WHERE k >= need)
+SELECT doc_id AS run_id, CAST(n_imports AS INT) AS n_imports, CAST(need AS INT) AS need FROM n WHERE doc_id NOT IN (SELECT doc_id FROM h)""")
 def metadata_rules(spark, sf_dir):
-    """Rules over rare words as if they were imports: (run_id, n_imports, need) of documents of one source against another's."""
-    named = words(spark, sf_dir).select("source", F.col("doc_id").alias("run_id"), F.concat(F.lit("imp:w:"), "token").alias("token")).distinct()
+    """Rules over rare words as if they were imports, of the documents of every source against those of all others."""
+    named = words(spark, sf_dir).select(F.col("source").alias("family"), F.col("doc_id").alias("run_id"), F.concat(F.lit("imp:w:"), "token").alias("token")).distinct()
     common = negatives.prevalence_without(prevalence(spark, sf_dir), None).withColumn("token", F.concat(F.lit("imp:w:"), "token"))
-    mine, others = named.where("source = 'src2'").drop("source"), named.where("source = 'src5'").drop("source")
-    return rules.metadata_rules(mine, others, common).select("run_id", F.size("imports").alias("n_imports"), "need")
+    return rules.metadata_rules(named, named, common).select("run_id", F.size("imports").alias("n_imports"), "need")
 
 
-@query(None)
+@query(rf"""WITH {TRACE}, {EDGES_SQL}, nx AS (SELECT run_id, id, arg_min(label, o) AS label, min(o) AS o FROM (SELECT run_id, src AS id, seq * 2 AS o, image || ' (' || split_part(src, ':', 2) || ')' AS label FROM ed UNION ALL SELECT run_id, dst, seq * 2 + 1, target FROM ed) GROUP BY 1, 2),
+nn AS (SELECT *, 'n' || (row_number() OVER (PARTITION BY run_id ORDER BY o) - 1) AS name, CASE WHEN length(label) > 60 THEN left(label, 29) || '~' || right(label, 30) ELSE label END AS cut FROM nx),
+ll AS (SELECT run_id, 0 AS part, o, '  ' || name || '["' || split_part(id, ':', 1) || ': ' || regexp_replace(regexp_replace(regexp_replace(cut, '\.locked$', '[.]locked'), '\.dll\.([A-Za-z]+)$', '.dll[.]\1'), '^(\d+)\.(\d+)\.(\d+)\.(\d+):', '\1[.]\2[.]\3[.]\4:') || '"]' AS line FROM nn
+ UNION ALL SELECT ed.run_id, 1, seq, '  ' || a.name || ' -->|"' || relation || '"| ' || b.name FROM ed JOIN nn a ON a.run_id = ed.run_id AND a.id = ed.src JOIN nn b ON b.run_id = ed.run_id AND b.id = ed.dst)
+SELECT run_id, 'flowchart LR' || chr(10) || string_agg(line, chr(10) ORDER BY part, o) AS diagram FROM ll GROUP BY run_id""")
 def mermaid_diagrams(spark, sf_dir):
     return graph.diagrams(traces(spark, sf_dir))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import fused, predicted_family, verdict
 from ..functions.text import defang, markdown_text
 from ..operators import events as e
-from ..operators import graph, negatives, rules, scoring, tokens, triage
+from ..operators import evidence, graph, negatives, rules, scoring, tokens, triage
 from ..operators.evaluation import still_to_do
 from ..operators.models import FamilyModel, open_set
 from ..session import staged
@@ -65,10 +65,11 @@ def canonical_hash(report: Column) -> Column:
     return F.sha2(F.to_json(report, {"ignoreNullFields": "false"}), 256)
 
 
-def reports(spark: SparkSession, path: str, packaged: DataFrame | None = None, family_model: FamilyModel | None = None, ngram_model: tuple[DataFrame, float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(reports, rejects) of a folder: one struct per run, with its content hash."""
-    files, _ = sources.read_files(spark, path)
-    events, rejects = sources.read_reports(spark, path)
+def reports(spark: SparkSession, path: str | DataFrame, packaged: DataFrame | None = None, family_model: FamilyModel | None = None, ngram_model: tuple[DataFrame, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(reports, rejects) of a folder, or of files (path, content, sha256): one struct per run, with its content hash."""
+    files, large = sources.read_files(spark, path) if isinstance(path, str) else (path, None)
+    events, rejects = sources.parsed_files(files)
+    rejects = rejects if large is None else rejects.unionByName(large)
     events = staged(events, "events")
     runs = events.select("run_id").distinct()
     static = triage.triage_metadata(sources.file_metadata(files).where("pe is not null"))
@@ -99,33 +100,80 @@ def markdown(report: Column) -> Column:
 
 
 def write_reports(rows: DataFrame, out: str) -> None:
-    """JSON lines and Markdown pages, one row each, written by Spark's committers."""
-    rows.select("run_id", "content_sha256", F.to_json("report").alias("json")).write.mode("append").parquet(f"{out}/reports")
-    rows.select("run_id", markdown(F.col("report")).alias("value")).write.mode("append").partitionBy("run_id").text(f"{out}/pages")
+    """JSON and Markdown pages, one row each, written by Spark's committers over what stood at ``out``."""
+    page = markdown(F.col("report"))
+    rows.select("run_id", "content_sha256", F.to_json("report").alias("json"), page.alias("page")).write.mode("overwrite").parquet(out)
 
 
-def build_negative_corpus(lines: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines with their families, prevalence of imports) of sampled runs: (category, line, family), (family, run_id, token)."""
+def build_negative_corpus(lines: DataFrame, imports: DataFrame, per_family: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(lines with their families, prevalence of imports) of sampled runs.
+
+    ``lines``: (category, line, family[, run_id]), ``imports``: (family, run_id, token). With ``per_family`` both come from the
+    same sample, at most so many runs of each family.
+    """
+    if per_family is not None:
+        runs = lines.select("family", "run_id").unionByName(imports.select("family", "run_id")).distinct()
+        drawn = staged(negatives.sampled_runs(runs, per_family, seed), "sampled")
+        lines, imports = (t.join(drawn, ["family", "run_id"], "left_semi") for t in (lines, imports))
     return negatives.line_families(lines), negatives.import_prevalence(imports)
 
 
+LEDGER = "job string, status string, at timestamp, detail string, batch string"
+
+
+def ledger_of(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger at ``path``; none yet is an empty one, any other failure to read it is an error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return spark.read.schema(LEDGER).option("recursiveFileLookup", "true").parquet(path) if there else spark.createDataFrame([], LEDGER)
+
+
 def batch(spark: SparkSession, path: str, out: str, ledger_path: str) -> DataFrame:
-    """Report what the ledger has not done yet, append to it; files that fail are listed with their reason. Safe to run again."""
-    schema = "job string, status string, at timestamp, detail string"
+    """Report the files that the ledger has not done, and only those; files that fail are listed with their reason.
+
+    A batch is named by what it does: its reports and its ledger rows are written over a folder of that name, reports first. So a
+    run that is cut off leaves nothing double: the next one has the same to do, hence the same name. ``finished_reports`` reads
+    what the ledger knows. A job is a file's content.
+    """
     files, large = sources.read_files(spark, path)
-    try:
-        ledger = spark.read.schema(schema).parquet(ledger_path)
-        ledger.limit(1).count()
-    except Exception:  # no ledger yet
-        ledger = spark.createDataFrame([], schema)
-    todo = still_to_do(files.select(F.substring("sha256", 1, 16).alias("job"), "path"), ledger, "job", F.col("at"))
-    todo = staged(todo, "todo")
-    if not todo.take(1):
-        return todo.limit(0).select("job", F.lit("done").alias("status"))
-    rows, rejects = reports(spark, path)
-    write_reports(rows, out)
+    ledger = ledger_of(spark, ledger_path)
+    jobs = files.groupBy(F.substring("sha256", 1, 16).alias("job")).agg(F.min("path").alias("path"))
+    jobs = jobs.unionByName(large.select(F.substring(F.sha2("path", 256), 1, 16).alias("job"), "path"))
+    todo = staged(still_to_do(jobs, ledger, "job", F.col("at")), "todo")
+    name = todo.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("job")).alias("h")).first()
+    if not name["n"]:
+        return todo.select("job", F.lit("done").alias("status"))
+    label = f"{name['n']}-{name['h'] & (2**64 - 1):016x}"
+    rows, rejects = reports(spark, files.join(todo.select("path"), "path", "left_semi"))
+    write_reports(rows, f"{out}/batch={label}")
     failed = rejects.unionByName(large).groupBy("path").agg(F.first("reason").alias("detail"))
-    done = todo.join(failed, "path", "left").select("job", F.when(F.col("detail").isNull(), "done").otherwise("failed").alias("status"), F.current_timestamp().alias("at"), "detail")
+    done = todo.join(failed, "path", "left").select("job", F.when(F.col("detail").isNull(), "done").otherwise("failed").alias("status"), F.current_timestamp().alias("at"), "detail", F.lit(label).alias("batch"))
     done = staged(done, "ledger")
-    done.write.mode("append").parquet(ledger_path)
+    done.write.mode("overwrite").parquet(f"{ledger_path}/{label}")
     return done.select("job", "status")
+
+
+def finished_reports(spark: SparkSession, out: str, ledger_path: str) -> DataFrame:
+    """The reports of all batches that the ledger knows: (run_id, content_sha256, json, page)."""
+    known = ledger_of(spark, ledger_path).select("batch").distinct()
+    rows = spark.read.schema("run_id string, content_sha256 string, json string, page string, batch string").parquet(out)
+    return rows.join(known, "batch", "left_semi").drop("batch")
+
+
+def analyze(spark: SparkSession, samples: str | DataFrame, recorded: str | DataFrame, pairs: DataFrame, benign: list[bytes] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(reports, rejects) of samples with their recorded runs: each pair (sample_path, run_id) is triaged, bound and reported.
+
+    ``samples`` and ``recorded`` are folders or files (path, content, sha256). A run that records another sample's digest is
+    rejected; one that records none is unbound, which lowers the confidence.
+    """
+    as_files = lambda given: sources.read_files(spark, given)[0] if isinstance(given, str) else given
+    files, traces = as_files(samples), as_files(recorded)
+    static = triage.triage_files(files.select("path", "sha256", "content"))
+    strings = rules.string_rules(static.select(F.col("sha256").alias("file_id"), "label", "strings"), benign or [])
+    asked = pairs.select(F.col("sample_path").alias("path"), "run_id").join(files.select("path", "sha256"), "path")
+    bound, rejects = evidence.bound(asked, sources.recorded_samples(traces))
+    rows, _ = reports(spark, traces)
+    joined = bound.join(static.select("path", F.struct("score", "label", "detonate", "reasons", "urls", "ips", "entropy").alias("sample")), "path").join(rows, "run_id").join(strings.select(F.col("file_id").alias("sha256"), "yara"), "sha256", "left")
+    verdict_ = fused(F.col("sample.score"), F.col("report.behaviour.probability"), F.col("sample.label"))
+    weaker = F.when(F.col("binding") == "unbound", F.concat(verdict_["confidence"], F.lit(" (trace not bound to sample)"))).otherwise(verdict_["confidence"])
+    return joined.select("path", "sha256", "run_id", "binding", F.struct(verdict_["label"].alias("label"), weaker.alias("confidence"), verdict_["score"].alias("score")).alias("verdict"), "sample", "yara", "report"), rejects
