@@ -236,9 +236,9 @@ def two_level_bootstrap(rows: DataFrame, group: str, value: str, draws: int = 20
     counts = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("c"))
     drawn = counts.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     means = drawn.withColumn("w", F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("c")), F.lit(0), lambda a, i: a + poisson(F.xxhash64(F.lit(seed), group, "v", i, "draw"))))
-    means = means.groupBy("draw", group).agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m")).where("m is not null")
+    means = means.groupBy("draw", group).agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("m")).where("m is not null")
     means = means.withColumn("g", poisson(F.xxhash64(F.lit(seed + 1), group, "draw")))
-    each = means.groupBy("draw").agg((F.sum(F.col("g") * F.col("m")) / F.sum("g")).alias("s")).where("s is not null")
+    each = means.groupBy("draw").agg((F.sum(F.col("g") * F.col("m")) / F.nullif(F.sum("g"), F.lit(0))).alias("s")).where("s is not null")
     return each.agg(F.percentile("s", F.lit(low)).alias("low"), F.percentile("s", F.lit(high)).alias("high"))
 
 
