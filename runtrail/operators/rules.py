@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import half_even
 from ..functions.text import hex_or, image_of, ladder, like_pattern, literal_length, sigma_value, stripped, tidy, without_identity, without_numbers, yaml_quoted, yara_string
+from ..session import staged
 from .events import CATEGORIES, lookup, with_technique
 
 MIN_LITERAL, MAX_RULES = 10, 10
@@ -47,8 +48,9 @@ def matches(patterns: DataFrame, lines: DataFrame) -> DataFrame:
     fewest lines have, and meets only the lines with that piece; then the whole pattern is compared. Patterns without so long a
     literal meet all lines of their category, dealt over ``SALTS`` parts.
     """
-    p = patterns.select("category", "pattern").distinct().withColumn("low", F.lower("pattern"))
-    lines = lines.select("category", "line").distinct().withColumn("low_line", F.lower("line"))
+    # written first: each is read several times below
+    p = staged(patterns.select("category", "pattern").distinct(), "patterns").withColumn("low", F.lower("pattern"))
+    lines = staged(lines.select("category", "line").distinct(), "lines").withColumn("low_line", F.lower("line"))
     exact = p.where(~F.contains("pattern", F.lit("*")))
     wild = p.where(F.contains("pattern", F.lit("*"))).withColumn("like", F.lower(like_pattern(F.col("pattern"))))
     found = exact.join(lines.withColumnRenamed("low_line", "low"), ["category", "low"])
@@ -97,7 +99,7 @@ def selected(passing: DataFrame, max_rules: int = MAX_RULES) -> DataFrame:
 
 def synthesize(events: DataFrame, negative_lines: DataFrame, max_rules: int = MAX_RULES, max_neg_hits: int = 0, max_rung: int | None = None) -> DataFrame:
     """Rules of each run. ``events`` may carry ``family``; ``negative_lines``: (run_id, category, line[, family])."""
-    rules = candidates(events)
+    rules = staged(candidates(events), "candidates")
     rules = rules if max_rung is None else rules.where(F.col("rung") <= max_rung)
     if "family" in events.columns:
         rules = rules.join(events.select("run_id", "family").distinct(), "run_id")
@@ -191,7 +193,8 @@ def metadata_yara(rules: DataFrame, name: Column, sha256: Column) -> DataFrame:
 
 # --- rules over strings of files
 
-GENERIC_STRING = "(?i)^(kernel32|user32|advapi32|ntdll|msvcrt|mscoree)(\\.dll)?$|^[.][a-z]{2,8}$|^!?This program cannot|^(GetProcAddress|LoadLibrary[AW]?|GetModuleHandle[AW]?|ExitProcess)$"
+# fixed value: strings that are no mark of a file
+GENERIC_STRING = r"(?i)^(kernel32|user32|ntdll|advapi32|msvcrt)\.dll$|^This program|^\.text$|^\.data$"
 
 
 def picked_strings(files: DataFrame, benign: list[bytes], marks: list[str], k: int = 6) -> DataFrame:

@@ -154,8 +154,9 @@ def heuristic_scores(rows: DataFrame) -> DataFrame:
     names = F.transform(F.flatten(F.coalesce(F.map_values("imports"), F.array(none))), lambda f: F.lower(f))
     sections = F.coalesce(F.transform("section.sections", lambda s: F.coalesce(s["name"], F.lit(""))), none)
     score = F.lit(BIAS + 0.8)  # every such file is an executable
+    named = lambda api: F.exists("__names", lambda n: F.startswith(n, F.lit(api.lower())))
     for api, weight in APIS.items():
-        score = score + F.when(F.exists("__names", lambda n, a=api.lower(): F.startswith(n, F.lit(a))), weight).otherwise(0.0)
+        score = score + F.when(named(api), weight).otherwise(0.0)
     marks = F.array(*map(F.lit, PACKERS))
     score = score + F.when(F.arrays_overlap("__sections", marks), 0.7).otherwise(0.0)
     counts = F.transform(F.coalesce("histogram", F.array().cast("array<bigint>")), lambda c: c.cast("double"))
