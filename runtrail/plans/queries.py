@@ -523,8 +523,8 @@ def normalize_values(spark, sf_dir):
     return file_and_key_events(spark, sf_dir).select("target").distinct().withColumn("normal", text.normalize(F.col("target")))
 
 
-_ESCAPED = r"""SELECT doc_id, regexp_replace(replace(replace(replace(text, '\', '\'), '*', '\*'), '?', '\?'), '[\x00-\x1f\x7f]', '?', 'g') AS literal,
-  '''''' || replace(regexp_replace(text, '[\x00-\x1f\x7f]', ' ', 'g'), '''''', '''''''') || '''''' AS quoted FROM documents"""
+_ESCAPED = r"""SELECT doc_id, regexp_replace(replace(replace(replace(text, '\', '\\'), '*', '\*'), '?', '\?'), '[\x00-\x1f\x7f]', '?', 'g') AS literal,
+  '''' || replace(regexp_replace(text, '[\x00-\x1f\x7f]', ' ', 'g'), '''', '''''') || '''' AS quoted FROM documents"""
 
 
 @query(_ESCAPED)
