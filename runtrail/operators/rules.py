@@ -251,6 +251,8 @@ def string_hits(rules: DataFrame, files: DataFrame) -> DataFrame:
 
 # --- plain rules: exact values of events with a technique
 
+PLAIN_CATEGORIES = {**CATEGORIES, "process_inject": "create_remote_thread"}
+
 
 def plain_selection(events: DataFrame) -> DataFrame:
     """(run_id, seq, category, technique, fields): what a plain rule of an event asks, an array of (field, op, value)."""
@@ -267,7 +269,7 @@ def plain_selection(events: DataFrame) -> DataFrame:
         .when((kind == "file_write") & (F.col("technique") == "T1486"), F.array(entry("TargetFilename", "endswith", ending)))
         .when(kind == "process_inject", F.array(entry("TargetImage", "endswith", F.concat(F.lit("\\"), target))))
     )
-    category = lookup({**CATEGORIES, "process_inject": "create_remote_thread"}, kind)
+    category = lookup(PLAIN_CATEGORIES, kind)
     return rows.select("run_id", "seq", category.alias("category"), "technique", "image", asked.alias("fields")).where("fields is not null and category is not null")
 
 
@@ -277,21 +279,31 @@ def plain_rules(events: DataFrame) -> DataFrame:
     return rows.select("run_id", F.col("e.seq").alias("first_seq"), "category", "e.technique", "e.image", "fields")
 
 
-def plain_patterns(rules: DataFrame) -> DataFrame:
-    """(.., category, pattern): plain rules as wildcard patterns over lines; a process has its image and command line in one."""
+def wildcards(category: Column, fields: Column) -> Column:
+    """A plain selection as one wildcard pattern; a process has its image and command line in one."""
     star = lambda f: F.when(f["op"] == "endswith", F.concat(F.lit("*"), f["value"])).otherwise(F.concat(F.lit("*"), f["value"], F.lit("*")))
-    first, second = F.get("fields", F.lit(0)), F.get("fields", F.lit(1))
-    line = F.when(F.col("category") == "process_creation", F.concat(star(first), F.lit("\t"), F.when(second.isNotNull(), star(second)).otherwise(F.lit("*")))).otherwise(star(first))
-    return rules.where("category <> 'create_remote_thread'").withColumn("pattern", line)
+    first, second = F.get(fields, F.lit(0)), F.get(fields, F.lit(1))
+    return F.when(category == "process_creation", F.concat(star(first), F.lit("\t"), F.when(second.isNotNull(), star(second)).otherwise(F.lit("*")))).otherwise(star(first))
+
+
+def plain_patterns(rules: DataFrame) -> DataFrame:
+    """(.., category, pattern): the plain rules of the categories that have lines, as wildcard patterns over them."""
+    return rules.where("category <> 'create_remote_thread'").withColumn("pattern", wildcards(F.col("category"), F.col("fields")))
+
+
+def plain_lines(events: DataFrame) -> DataFrame:
+    """(run_id, category, line): what plain rules are tried on: names of targets behind a separator, for a process with its command line."""
+    named = F.concat(F.lit("\\"), F.coalesce("target", F.lit("")))
+    kind = F.col("type")
+    line = F.when(kind == "process_create", F.concat(named, F.lit("\t"), F.coalesce("cmdline", F.lit("")))).when(kind == "process_inject", named).otherwise(F.coalesce("target", F.lit("")))
+    kinds = ("process_create", "process_inject", "registry_set", "file_write")
+    return events.where(kind.isin(*kinds)).select("run_id", lookup(PLAIN_CATEGORIES, kind).alias("category"), line.alias("line"))
 
 
 def plain_matches(rules: DataFrame, events: DataFrame) -> DataFrame:
     """(category, fields, run_id): runs with an event that a plain rule fits, in any letter case; by distinct lines and patterns."""
-    from .events import rule_lines
-
-    patterns = plain_patterns(rules.select("category", "fields").distinct())
-    lines = rule_lines(events).withColumn("line", F.when(F.col("category") == "process_creation", F.concat(F.lit("\\"), "line")).otherwise(F.col("line")))
-    return run_hits(patterns, lines).join(patterns, ["category", "pattern"]).select("category", "fields", "run_id").distinct()
+    patterns = rules.select("category", "fields").distinct().withColumn("pattern", wildcards(F.col("category"), F.col("fields")))
+    return run_hits(patterns, plain_lines(events)).join(patterns, ["category", "pattern"]).select("category", "fields", "run_id").distinct()
 
 
 def plain_surviving(rules: DataFrame, benign: DataFrame) -> DataFrame:

@@ -393,12 +393,13 @@ def plain_rules(spark, sf_dir):
 
 
 @query(f"""WITH {TRACE}, {PLAIN_SQL}, bl AS (SELECT DISTINCT CASE type WHEN 'process_create' THEN 'process_creation' WHEN 'registry_set' THEN 'registry_set' ELSE 'file_event' END AS category,
-  CASE WHEN type = 'process_create' THEN chr(92) || split_part(cmdline, ' ', 1) || chr(9) || cmdline ELSE target END AS line FROM te WHERE run_id % 10 = 7 AND type IN ('process_create', 'registry_set', 'file_write'))
+  CASE WHEN type = 'process_create' THEN chr(92) || target || chr(9) || cmdline ELSE target END AS line FROM te WHERE run_id % 10 = 7 AND (type = 'file_write' OR (type = 'process_create' AND cmdline NOT LIKE '%-enc%')))
 SELECT run_id, category, pattern FROM pr WHERE NOT EXISTS (SELECT 1 FROM bl WHERE bl.category = pr.category AND bl.line ILIKE replace(replace(replace(replace(pr.pattern, '!', '!!'), '%', '!%'), '_', '!_'), '*', '%') ESCAPE '!')""")
 def plain_rules_surviving(spark, sf_dir):
-    """Plain rules that fit no event of the runs taken as benign (user modulo 10 is 7)."""
+    """Plain rules that fit no event of the runs taken as benign: those of user modulo 10 is 7, without key writes and encoded scripts."""
     runs = traces(spark, sf_dir)
-    kept = rules.plain_surviving(rules.plain_rules(runs), runs.where("run_id % 10 = 7"))
+    benign = runs.where("run_id % 10 = 7 and type <> 'registry_set' and (cmdline is null or not contains(cmdline, '-enc'))")
+    kept = rules.plain_surviving(rules.plain_rules(runs), benign)
     return rules.plain_patterns(kept).select("run_id", "category", "pattern")
 
 
@@ -637,12 +638,13 @@ def paired_units(spark, sf_dir):
     return rounded(ev.paired_units(units, "F", "O", "v", ("family", "ref")), "a", "b", "diff", digits=4)
 
 
-@query("""WITH g AS (SELECT l_returnflag AS g, l_discount::DOUBLE * 10 AS v FROM lineitem WHERE l_orderkey <= 40), o AS (SELECT g, v, ln(greatest(0.005, least(0.995, v)) / (1 - greatest(0.005, least(0.995, v)))) AS lo FROM g),
-s AS (SELECT g, avg(v) AS m, stddev_samp(v) AS sd, avg(lo) AS lm, stddev_samp(lo) AS ls, count(*) AS n FROM o GROUP BY g) SELECT g, round(m, 6) AS mean, n AS n_runs FROM s""")
+@query("""WITH v AS (SELECT l_returnflag AS g, 1 - l_discount::DOUBLE AS v FROM lineitem), o AS (SELECT g, v, ln(greatest(0.00125, least(0.99875, v)) / (1 - greatest(0.00125, least(0.99875, v)))) AS lo FROM v),
+s AS (SELECT g, avg(v) AS m, avg(lo) AS lm, 1.96 * sqrt(1.0::DOUBLE / count(*) + 400 / 100.0::DOUBLE) * stddev_samp(v) AS half, 1.96 * sqrt(1.0::DOUBLE / count(*) + 400 / 100.0::DOUBLE) * stddev_samp(lo) AS lhalf, count(*) AS n FROM o GROUP BY g),
+e AS (SELECT *, m - half < 0 OR m + half > 1 AS on_logit FROM s) SELECT g, round(m, 6) AS mean, n AS n_runs, on_logit, round(CASE WHEN on_logit THEN 1 / (1 + exp(-(lm - lhalf))) ELSE m - half END, 3) AS low, round(CASE WHEN on_logit THEN 1 / (1 + exp(-(lm + lhalf))) ELSE m + half END, 3) AS high FROM e""")
 def proportion_interval(spark, sf_dir):
-    """Discounts as proportions of repeated runs: mean and number (its ends are tested against a brute-force form)."""
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey <= 40").select(F.col("l_returnflag").alias("g"), (F.col("l_discount").cast("double") * 10).alias("v"))
-    return rounded(ev.proportion_interval(rows, "v", 800, 100, ["g"]), "mean").select("g", "mean", "n_runs")
+    """Paid shares of prices as proportions of repeated runs; with so many runs Student's quantile is the normal one."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("g"), (1 - F.col("l_discount").cast("double")).alias("v"))
+    return rounded(rounded(ev.proportion_interval(rows, "v", 100, 400, ["g"]), "mean"), "low", "high", digits=3).select("g", "mean", "n_runs", "on_logit", "low", "high")
 
 
 @query("SELECT vec_id, round(e / s, 5) AS share FROM (SELECT vec_id, exp(x[1] - m) AS e, list_sum(list_transform(x, lambda v: exp(v - m))) AS s FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x, list_max(embedding)::DOUBLE AS m FROM embeddings))")
@@ -765,13 +767,16 @@ def encoded_sequences(spark, sf_dir):
     return ev.encoded(calls, vocabulary, 12).select("run_id", F.array_join("codes", " ").alias("codes"))
 
 
-@query(f"WITH {TRACE}, {FEATURES_SQL}, {SCORES_SQL}, r AS (SELECT 'f' || run_id % 5 AS family, p FROM sc), f AS (SELECT family, avg(p) AS m, count(*) AS n, sum(p) AS s FROM r GROUP BY 1) SELECT 'base' AS variant, round(sum(s) / sum(n), 6) AS mean, round(median(m), 6) AS median_family, CAST(sum(n) AS BIGINT) AS n FROM f")
+@query(f"WITH {TRACE}, {FEATURES_SQL}, {SCORES_SQL}, r AS (SELECT unnest(['base', 'strict']) AS variant, 'f' || run_id % 5 AS family, unnest([p, CASE WHEN p >= 0.8 THEN 1.0::DOUBLE ELSE 0 END]) AS p FROM sc), f AS (SELECT variant, family, avg(p) AS m, count(*) AS n, sum(p) AS s FROM r GROUP BY 1, 2) SELECT variant, round(sum(s) / sum(n), 6) AS mean, round(median(m), 6) AS median_family, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY 1")
 def variant_summary(spark, sf_dir):
+    """Behaviour scores as they are and as verdicts, by families (user modulo 5)."""
     rows = e.behaviour_features(traces(spark, sf_dir))
     z = F.lit(INTERCEPT)
     for f, w in zip(scoring.FEATURES, WEIGHTS):
         z = z + F.col(f) * F.lit(w)
-    units = rows.select(F.lit("base").alias("variant"), F.concat(F.lit("f"), (F.col("run_id") % 5).cast("string")).alias("family"), scalar.sigmoid(z).alias("recall"))
+    p = scalar.sigmoid(z)
+    both = F.inline(F.array(F.struct(F.lit("base").alias("variant"), p.alias("recall")), F.struct(F.lit("strict").alias("variant"), (p >= 0.8).cast("double").alias("recall"))))
+    units = rows.select(F.concat(F.lit("f"), (F.col("run_id") % 5).cast("string")).alias("family"), both)
     return rounded(rules.variant_summary(units), "mean", "median_family")
 
 

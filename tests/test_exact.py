@@ -248,5 +248,12 @@ def test_plain_rules_fit_their_own_events(spark):
     found = rules.plain_rules(rows)
     assert {r["category"] for r in found.where("run_id = 'r'").collect()} == {"process_creation", "file_event", "create_remote_thread"}
     hit = {(r["category"], r["run_id"]) for r in rules.plain_matches(found.where("run_id = 'r'"), rows).collect()}
-    assert hit == {("process_creation", "r"), ("file_event", "r"), ("file_event", "s")}
+    assert hit == {("process_creation", "r"), ("file_event", "r"), ("file_event", "s"), ("create_remote_thread", "r")}
+    kept = lambda benign: {r["category"] for r in rules.plain_surviving(found.where("run_id = 'r'"), benign).collect()}
+    assert kept(rows.where("false")) == {"process_creation", "file_event", "create_remote_thread"}
+    assert kept(rows.where("run_id = 's'")) == {"process_creation", "create_remote_thread"}
+    assert kept(rows.where("type = 'process_inject'")) == {"process_creation", "file_event"}
+    # the target names the image, whatever the command line begins with
+    other = rows.where("type = 'process_create'").withColumns({"target": F.lit(r"C:\bin\POWERSHELL.exe"), "cmdline": F.lit("x -ENC B")})
+    assert kept(other) == {"file_event", "create_remote_thread"} and kept(other.withColumn("cmdline", F.lit(None).cast("string"))) == {"process_creation", "file_event", "create_remote_thread"}
     assert events.techniques_of_runs(rows).count() == 2
