@@ -639,10 +639,10 @@ def paired_units(spark, sf_dir):
 
 
 @query("""WITH v AS (SELECT l_returnflag AS g, 1 - l_discount::DOUBLE AS v FROM lineitem), o AS (SELECT g, v, ln(greatest(0.00125, least(0.99875, v)) / (1 - greatest(0.00125, least(0.99875, v)))) AS lo FROM v),
-s AS (SELECT g, avg(v) AS m, avg(lo) AS lm, 1.96 * sqrt(1.0::DOUBLE / count(*) + 400 / 100.0::DOUBLE) * stddev_samp(v) AS half, 1.96 * sqrt(1.0::DOUBLE / count(*) + 400 / 100.0::DOUBLE) * stddev_samp(lo) AS lhalf, count(*) AS n FROM o GROUP BY g),
+s AS (SELECT g, avg(v) AS m, avg(lo) AS lm, (1.959964 + 2.372256 / (count(*) - 1)) * sqrt(1.0::DOUBLE / count(*) + 400 / 100.0::DOUBLE) * stddev_samp(v) AS half, (1.959964 + 2.372256 / (count(*) - 1)) * sqrt(1.0::DOUBLE / count(*) + 400 / 100.0::DOUBLE) * stddev_samp(lo) AS lhalf, count(*) AS n FROM o GROUP BY g),
 e AS (SELECT *, m - half < 0 OR m + half > 1 AS on_logit FROM s) SELECT g, round(m, 6) AS mean, n AS n_runs, on_logit, round(CASE WHEN on_logit THEN 1 / (1 + exp(-(lm - lhalf))) ELSE m - half END, 3) AS low, round(CASE WHEN on_logit THEN 1 / (1 + exp(-(lm + lhalf))) ELSE m + half END, 3) AS high FROM e""")
 def proportion_interval(spark, sf_dir):
-    """Paid shares of prices as proportions of repeated runs; with so many runs Student's quantile is the normal one."""
+    """Paid shares of prices as proportions of repeated runs; in SQL Student's quantile is the normal one and its first correction."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("g"), (1 - F.col("l_discount").cast("double")).alias("v"))
     return rounded(rounded(ev.proportion_interval(rows, "v", 100, 400, ["g"]), "mean"), "low", "high", digits=3).select("g", "mean", "n_runs", "on_logit", "low", "high")
 
