@@ -79,6 +79,27 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(scan_documents(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extracted, html_digest
+
+    return html_digest(extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitening_digest
+
+    return whitening_digest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import alignment_digest
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment_digest(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
@@ -90,6 +111,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokens": op8_tokens,
     "op9_chat": op9_chat,
     "op10_decontaminate": op10_decontaminate,
+    "op12_whitening": op12_whitening,
+    "op13_alignment": op13_alignment,
 }
 
 #: Mixing, chat formatting and contamination have a SQL form: the others hang on trained models, 64-bit xxHash or merges.
