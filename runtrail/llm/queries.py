@@ -111,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokens": op8_tokens,
     "op9_chat": op9_chat,
     "op10_decontaminate": op10_decontaminate,
+    "op11_html": op11_html,
     "op12_whitening": op12_whitening,
     "op13_alignment": op13_alignment,
 }
