@@ -238,9 +238,10 @@ def diagram_label(value: Column, n: int = LABEL_CHARS) -> Column:
 # --- strings of files
 
 
-def printable_strings(data: Column, limit: int = 2000) -> Column:
-    """Printable runs of five characters and more of a binary column."""
-    return F.slice(F.regexp_extract_all(F.decode(data, "ISO-8859-1"), F.lit(r"([\x20-\x7e]{5,})"), 1), 1, limit)
+def printable_strings(data: Column, limit: int | None = 2000) -> Column:
+    """Printable runs of five characters and more of a binary column, the first ``limit`` or all."""
+    runs = F.regexp_extract_all(F.decode(data, "ISO-8859-1"), F.lit(r"([\x20-\x7e]{5,})"), 1)
+    return runs if limit is None else F.slice(runs, 1, limit)
 
 
 URL = r"https?://[A-Za-z0-9_.\-/:%?=&]{4,200}"

@@ -197,15 +197,18 @@ def cluster_means(rows: DataFrame, key: str, value: str, max_keys: int) -> DataF
 
 def signed_sums(listed: DataFrame, values: str) -> DataFrame:
     """Add ``s``: for every choice of signs the sum of an array with them."""
-    last = F.pow(F.lit(2), F.size(values)).cast("long") - 1
+    last = F.greatest(F.lit(0), F.pow(F.lit(2), F.size(values)).cast("long") - 1)
     flips = listed.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     return flips.withColumn("s", F.aggregate(F.transform(values, lambda x, i: F.when(F.getbit("mask", i) == 1, -x).otherwise(x)), F.lit(0.0), lambda a, x: a + x))
 
 
 def sign_flips(rows: DataFrame, key: str, value: str, max_keys: int = 20) -> DataFrame:
-    """(observed, p): exact sign-flip test of clustered means, every cluster flipped both ways; more than ``max_keys`` is an error."""
+    """(observed, p): exact sign-flip test of clustered means, every cluster flipped both ways; more than ``max_keys`` is an error.
+
+    Without clusters there is nothing to observe: (null, 1).
+    """
     total = F.aggregate("d", F.lit(0.0), lambda a, x: a + x)
-    sums = signed_sums(cluster_means(rows, key, value, max_keys), "d").select(F.abs("s").alias("s"), F.abs(total).alias("o"), (total / F.size("d")).alias("observed"))
+    sums = signed_sums(cluster_means(rows, key, value, max_keys), "d").select(F.abs("s").alias("s"), F.abs(total).alias("o"), F.try_divide(total, F.size("d")).alias("observed"))
     return sums.agg(F.first("observed").alias("observed"), (F.count_if(F.col("s") >= F.col("o") - 1e-12) / F.count("*")).alias("p"))
 
 

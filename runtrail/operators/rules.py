@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.scalar import half_even
 from ..functions.text import hex_or, image_of, ladder, like_pattern, literal_length, sigma_value, stripped, tidy, without_identity, without_numbers, yaml_quoted, yara_string
 from ..session import staged
+from .automaton import short_matches
 from .events import CATEGORIES, lookup, with_technique
 
 MIN_LITERAL, MAX_RULES = 10, 10
-#: Literal letters of a pattern by which it finds its lines; parts of a category for patterns without so many.
-GRAM, SALTS = 6, 64
+#: Literal letters of a pattern by which it finds its lines.
+GRAM = 6
 
 
 def candidates(events: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def matches(patterns: DataFrame, lines: DataFrame) -> DataFrame:
 
     Patterns without a wildcard meet equal lines. Of the others each is keyed by the piece of ``GRAM`` literal letters that the
     fewest lines have, and meets only the lines with that piece; then the whole pattern is compared. Patterns without so long a
-    literal meet all lines of their category, dealt over ``SALTS`` parts.
+    piece are found by an automaton over all their pieces, in one pass over the lines.
     """
     # written first: each is read several times below
     p = staged(patterns.select("category", "pattern").distinct(), "patterns").withColumn("low", F.lower("pattern"))
@@ -54,19 +55,19 @@ def matches(patterns: DataFrame, lines: DataFrame) -> DataFrame:
     exact = p.where(~F.contains("pattern", F.lit("*")))
     wild = p.where(F.contains("pattern", F.lit("*"))).withColumn("like", F.lower(like_pattern(F.col("pattern"))))
     found = exact.join(lines.withColumnRenamed("low_line", "low"), ["category", "low"])
-    fits = F.expr("low_line like `like` escape '!'")
     pieces = lambda text: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (GRAM - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(GRAM)))
-    grams = lines.select("category", "line", "low_line", F.explode(F.array_distinct(pieces(F.col("low_line")))).alias("gram")).where(F.length("gram") == GRAM)
     own = F.array_distinct(F.filter(F.flatten(F.transform(F.split("low", r"\*"), pieces)), lambda g: F.length(g) == GRAM))
     keyed = wild.withColumn("grams", own)
-    common = grams.groupBy("category", "gram").agg(F.count("*").alias("n"))
+    # pieces of lines count only if a pattern asks for them: an inner join with a short side before anything is grouped
+    asked = staged(keyed.select("category", F.explode("grams").alias("gram")).distinct(), "asked-grams")
+    grams = lines.select("category", "line", "low_line", F.explode(F.array_distinct(pieces(F.col("low_line")))).alias("gram")).join(asked, ["category", "gram"])
+    common = staged(grams.groupBy("category", "gram").agg(F.count("*").alias("n")), "common-grams")
     options = keyed.select("category", "pattern", "like", F.size("grams").alias("asked"), F.explode("grams").alias("gram")).join(common, ["category", "gram"])
     # a pattern with a piece that no line has cannot match
     rarest = options.groupBy("category", "pattern", "like", "asked").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count("*").alias("had")).where("had = asked")
-    near = rarest.join(grams, ["category", "gram"]).where(fits)
-    salted = keyed.where(F.size("grams") == 0).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    far = salted.join(lines.withColumn("salt", F.pmod(F.xxhash64("line"), F.lit(SALTS)).cast("int")), ["category", "salt"]).where(fits)
-    return found.select("category", "pattern", "line").unionByName(near.select("category", "pattern", "line")).unionByName(far.select("category", "pattern", "line"))
+    near = staged(rarest.select("category", "pattern", "like", "gram"), "keyed-patterns").join(grams, ["category", "gram"]).where(F.expr("low_line like `like` escape '!'"))
+    short = short_matches(keyed.where(F.size("grams") == 0), lines)
+    return found.select("category", "pattern", "line").unionByName(near.select("category", "pattern", "line")).unionByName(short)
 
 
 def run_hits(patterns: DataFrame, lines: DataFrame) -> DataFrame:
@@ -241,7 +242,7 @@ def string_hits(rules: DataFrame, files: DataFrame) -> DataFrame:
 
     asked = rules.select("rule", "need", F.explode(F.array_distinct("picked")).alias("string")).withColumn("key", F.substring("string", 1, 5))
     plain = F.decode("content", "ISO-8859-1")
-    narrow = printable_strings(F.col("content"), 1 << 20)
+    narrow = printable_strings(F.col("content"), None)
     wide = F.transform(F.regexp_extract_all(plain, F.lit("((?:[\\x20-\\x7e]\\x00){5,})"), 1), lambda v: F.replace(v, F.lit("\x00"), F.lit("")))
     runs = files.select("file_id", F.explode(F.array_distinct(F.concat(narrow, wide))).alias("run"))
     keyed = runs.select("file_id", "run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("run") - 4, F.lit(1))), lambda i: F.substring("run", i, F.lit(5))))).alias("key"))
@@ -329,6 +330,73 @@ def united_hits(hits: DataFrame, variant: str = "variant") -> DataFrame:
 # --- evaluation
 
 
+RUN_BITS = 4096 * 8
+
+
+def hit_bitmaps(hits: DataFrame, runs: DataFrame) -> DataFrame:
+    """(category, pattern, bucket, bits): the runs that each pattern hits as bitmaps of ``RUN_BITS`` runs.
+
+    ``hits``: (category, pattern, run_id); ``runs``: (run_id, number), numbered by ``numbered_runs``.
+    """
+    placed = hits.select("category", "pattern", "run_id").join(runs.select("run_id", "number"), "run_id")
+    return placed.groupBy("category", "pattern", F.bitmap_bucket_number("number").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
+
+
+def numbered_runs(tests: DataFrame) -> DataFrame:
+    """``tests`` with ``number``: numbers that are dense within a partition, so that bitmaps are; written once, so that they stay."""
+    return staged(tests.withColumn("number", F.monotonically_increasing_id()), "numbered-runs")
+
+
+def united_bitmaps(units: DataFrame, bitmaps: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, bucket, bits): the runs that any rule of a unit hits. ``units``: (keys, category, pattern)."""
+    return units.select(*keys, "category", "pattern").join(bitmaps, ["category", "pattern"]).groupBy(*keys, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def grid_scores(units: DataFrame, bitmaps: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, family, rules, recall, fpr, fp, neg, novel_recall) of every cell of an experiment grid.
+
+    ``units``: (keys, family, category, pattern), a null pattern for a cell without rules; ``bitmaps`` of all patterns, each of
+    which was matched once whatever number of cells holds it; ``runs``: (run_id, family, novel, number). A cell's hits are the
+    union of its patterns' bitmaps; how many lie in its family follows from the sizes of both and of their union.
+    """
+    cells = units.groupBy(*keys, "family").agg(F.count_distinct("category", "pattern").alias("rules"))
+    hit = staged(united_bitmaps(units.where("pattern is not null"), bitmaps, [*keys, "family"]), "united-hits")
+    bucket, place = F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number")
+    # a family's own runs and its novel ones
+    own = runs.groupBy("family", bucket).agg(F.bitmap_construct_agg(place).alias("own"))
+    novel = runs.where("novel").groupBy("family", bucket).agg(F.bitmap_construct_agg(place).alias("new"))
+    within = lambda bits, other: F.bitmap_count(bits) + F.bitmap_count(other)
+    met = hit.join(own, ["family", "bucket"], "left").join(novel, ["family", "bucket"], "left")
+    sides = met.select(*keys, "family", "bucket", "bits", F.explode(F.array(F.struct(F.lit("own").alias("side"), F.col("own").alias("other")), F.struct(F.lit("new").alias("side"), F.col("new").alias("other")))).alias("x")).select(*keys, "family", "bucket", "bits", "x.*").where("other is not null")
+    each = sides.select(*keys, "family", "bucket", "side", within(F.col("bits"), F.col("other")).alias("both"), F.explode(F.array("bits", "other")).alias("bits"))
+    shared = each.groupBy(*keys, "family", "bucket", "side").agg((F.first("both") - F.bitmap_count(F.bitmap_or_agg("bits"))).alias("n"))
+    counted = shared.groupBy(*keys, "family").agg(F.sum(F.when(F.col("side") == "own", F.col("n"))).alias("tp"), F.sum(F.when(F.col("side") == "new", F.col("n"))).alias("tp_novel"))
+    total = hit.groupBy(*keys, "family").agg(F.sum(F.bitmap_count("bits")).alias("hits"))
+    sizes = runs.groupBy("family").agg(F.count("*").alias("n"), F.count_if("novel").alias("n_novel"))
+    everything = runs.agg(F.count("*").alias("all"))
+    on = [*keys, "family"]
+    same = lambda a, b: a.alias("a").join(b.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in on], "left").select("a.*", *[F.col(f"b.{c}") for c in b.columns if c not in on])
+    rows = same(same(cells, total), counted).join(sizes, "family", "left").join(F.broadcast(everything)).fillna(0, ["hits", "tp", "tp_novel", "n", "n_novel"])
+    ratio = lambda a, b: F.when(b > 0, a / b)
+    fp, neg = F.col("hits") - F.col("tp"), F.col("all") - F.col("n")
+    return rows.select(*keys, "family", "rules", ratio(F.col("tp"), F.col("n")).alias("recall"), ratio(fp, neg).alias("fpr"), fp.alias("fp"), neg.alias("neg"), ratio(F.col("tp_novel"), F.col("n_novel")).alias("novel_recall"))
+
+
+def vetoed_by_draw(rules: DataFrame, hits: DataFrame, draws: DataFrame, seeds: list[int], max_neg_hits: int = 0) -> DataFrame:
+    """(seed, rules' columns): per drawing of negatives the specific candidates that hit at most so many of its other families.
+
+    ``draws``: (seed, run_id, family); ``hits``: (category, pattern, run_id). Hits are counted by pattern, seed and family first, so
+    that a candidate meets one row and not the runs that its pattern hits.
+    """
+    n = draws.join(hits, "run_id").groupBy("seed", "category", "pattern", F.col("family").alias("neg_family")).agg(F.count("*").alias("n"))
+    n = staged(n, "drawn-hits")
+    total = n.groupBy("seed", "category", "pattern").agg(F.sum("n").alias("total"))
+    asked = rules.where("specific").withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    own = n.select("seed", "category", "pattern", F.col("neg_family").alias("family"), F.col("n").alias("same"))
+    rows = asked.join(total, ["seed", "category", "pattern"], "left").join(own, ["seed", "category", "pattern", "family"], "left")
+    return rows.where(F.coalesce("total", F.lit(0)) - F.coalesce("same", F.lit(0)) <= max_neg_hits).select("seed", *rules.columns)
+
+
 def rule_scores(units: DataFrame, hits: DataFrame, tests: DataFrame) -> DataFrame:
     """Recall, false-positive rate and recall of novel runs of each unit.
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite_float, safe_int, sigmoid
 from ..functions.text import dirname, extension, normalize
+from ..session import staged
 from .events import api_name, with_technique
 
 MAX_TOKENS, MIN_CALLS = 4000, 5
@@ -123,20 +127,73 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
+#: Likenesses down to which the nearest sets are looked for, one after the other; what has none so near is compared by all tokens.
+BOUNDS = (0.8, 0.5, 0.25)
+#: Most frequent tokens whose numbers are broadcast; parts of the sets that a token's key is dealt over in the last round.
+HEAD_TOKENS, PARTS = 1 << 16, 16
+
+
+def by_rarity(sets: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """(key, tokens): each set's tokens, the rarest first. ``counts``: (token, n).
+
+    The most frequent tokens meet their counts by a broadcast of bounded size and the others by a shuffle, so none is a hot key.
+    """
+    rows = sets.select(key, F.explode("tokens").alias("token"))
+    head = staged(counts.orderBy(F.desc("n"), "token").limit(HEAD_TOKENS), "frequent-tokens")
+    often = rows.join(F.broadcast(head), "token")
+    rare = rows.join(F.broadcast(head.select("token")), "token", "left_anti").join(counts.join(F.broadcast(head.select("token")), "token", "left_anti"), "token")
+    placed = often.select(key, "token", "n").unionByName(rare.select(key, "token", "n"))
+    return placed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("o")).select(key, F.transform("o", lambda x: x["token"]).alias("tokens"))
+
+
+def near_pairs(a: DataFrame, b: DataFrame, bound: float) -> DataFrame:
+    """(sig, psig, both, na, nb, ..) of all pairs of sets whose likeness is at least ``bound``, each once.
+
+    Two such sets share a token among the first ``n - ceil(bound * n) + 1`` of each, rarest first, and are of about one size. The key
+    is that token with a class of sizes; the first such token that both share makes the pair.
+    """
+    first = lambda n: n - F.ceil(n * bound - 1e-9) + 1
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / float(-math.log(bound)) + 1e-9)
+    prefix = lambda df, n: df.withColumn("prefix", F.slice("tokens", F.lit(1), first(F.col(n)).cast("int")))
+    mine = prefix(a, "na").withColumn("class", F.explode(F.sequence(size_class(F.greatest(F.lit(1.0), F.col("na") * bound)), size_class(F.col("na") / bound))))
+    theirs = prefix(b, "nb").withColumn("class", size_class(F.col("nb")))
+    one = lambda df, name: df.withColumnsRenamed({"tokens": f"tokens_{name}", "prefix": f"prefix_{name}"}).withColumn("token", F.explode(f"prefix_{name}"))
+    met = one(mine, "a").join(one(theirs, "b"), ["class", "token"])
+    met = met.where((F.col("own").isNull() | (F.col("own") != F.col("family"))) & (F.get(F.array_intersect("prefix_a", "prefix_b"), F.lit(0)) == F.col("token")))
+    scored = met.withColumn("both", F.size(F.array_intersect("tokens_a", "tokens_b")))
+    return scored.where(F.col("both") >= bound * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9)
+
+
 def nearest_prototype(sets: DataFrame, prototypes: DataFrame, id_col: str = "run_id", other_families: bool = False) -> DataFrame:
     """(id, family, similarity): of (id, tokens) the most similar of (proto_id, family, tokens); no family where nothing is shared.
 
-    Equal sets are compared once; pairs come from an equi-join on shared tokens, with sizes for the union, never all against all.
+    Equal sets are compared once. Pairs are found by falling bounds of likeness: a set that has a prototype at least as near as
+    the bound is done, for the nearest is then among the pairs found. The few that are left share little with any prototype; they
+    meet prototypes by all their tokens, each token dealt over ``PARTS``. Ties: the least proto_id, then the family.
     ``other_families``: the sets carry ``family``, and prototypes of a set's own family do not count.
     """
     signature = lambda df: df.withColumn("sig", F.sha2(F.to_json(F.array_sort("tokens")), 256))
     own = F.col("family") if other_families else F.lit(None).cast("string")
-    mine = signature(sets).withColumn("sig", F.concat_ws("/", "sig", own)).withColumn("own", own)
-    distinct = mine.groupBy("sig").agg(F.first("tokens").alias("tokens"), F.first("own").alias("own"))
-    protos = signature(prototypes).groupBy("sig", "family").agg(F.first("tokens").alias("tokens"), F.count("*").alias("support"), F.min("proto_id").alias("first"))
-    a = distinct.select("sig", "own", F.size("tokens").alias("na"), F.explode("tokens").alias("token"))
-    b = protos.select(F.col("sig").alias("psig"), "family", "support", "first", F.size("tokens").alias("nb"), F.explode("tokens").alias("token"))
-    shared = a.join(b, "token").where(F.col("own").isNull() | (F.col("own") != F.col("family"))).groupBy("sig", "psig", "family").agg(F.count("*").alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("first").alias("first"))
-    scored = shared.withColumn("similarity", F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
-    best = scored.groupBy("sig").agg(F.min_by(F.struct("family", "similarity"), F.struct(-F.col("similarity"), "first", "family")).alias("b"))
-    return mine.select(id_col, "sig").join(best, "sig", "left").select(id_col, F.col("b.family").alias("family"), F.coalesce(F.col("b.similarity"), F.lit(0.0)).alias("similarity"))
+    as_set = lambda df: df.withColumn("tokens", F.array_distinct(F.array_compact(F.coalesce("tokens", F.array().cast("array<string>")))))
+    mine = staged(signature(as_set(sets)).withColumn("own", own).withColumn("key", F.concat_ws("/", "sig", "own")).select(id_col, "sig", "key", "own", "tokens"), "sets")
+    protos = signature(as_set(prototypes)).groupBy("sig", "family").agg(F.first("tokens").alias("tokens"), F.min("proto_id").alias("first"))
+    protos = staged(protos.withColumnRenamed("sig", "psig"), "prototypes")
+    every = staged(mine.select("sig", "tokens").unionByName(protos.select(F.col("psig").alias("sig"), "tokens")).groupBy("sig").agg(F.first("tokens").alias("tokens")), "distinct-sets")
+    counts = staged(every.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")), "token-counts")
+    ordered = staged(by_rarity(every, "sig", counts), "ordered-sets")
+    sized = lambda df, sig, n: df.join(ordered.withColumnRenamed("sig", sig), sig).withColumn(n, F.size("tokens"))
+    b = staged(sized(protos.drop("tokens"), "psig", "nb"), "prototype-sets")
+    left = staged(sized(mine.select("sig", "key", "own").distinct(), "sig", "na"), "asked-sets")
+    ranked = lambda pairs: pairs.withColumn("similarity", F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).groupBy("key").agg(F.min_by(F.struct("family", "similarity"), F.struct(-F.col("similarity"), "first", "family")).alias("b"))
+    found = []
+    for bound in BOUNDS:
+        done = staged(ranked(near_pairs(left, b, bound)), "nearest")
+        found.append(done)
+        left = staged(left.join(done.select("key"), "key", "left_anti"), "asked-sets")
+    part = F.pmod(F.xxhash64("psig"), F.lit(PARTS)).cast("int")
+    asked = left.select("key", "own", "na", F.explode("tokens").alias("token")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    held = b.select("psig", "family", "first", "nb", part.alias("part"), F.explode("tokens").alias("token"))
+    rest = asked.join(held, ["token", "part"]).where(F.col("own").isNull() | (F.col("own") != F.col("family")))
+    rest = rest.groupBy("key", "psig", "family").agg(F.count("*").alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("first").alias("first"))
+    best = reduce(DataFrame.unionByName, [*found, ranked(rest)])
+    return mine.select(id_col, "key").join(best, "key", "left").select(id_col, F.col("b.family").alias("family"), F.coalesce(F.col("b.similarity"), F.lit(0.0)).alias("similarity"))

@@ -300,28 +300,27 @@ def literal_len(spark, sf_dir):
     return ladder_rungs(spark, sf_dir).select("pattern").distinct().withColumn("n", text.literal_length(F.col("pattern")))
 
 
-CAND_SQL = f"""{LADDER_SQL},
+PROCESS_SQL = r"""pf AS (SELECT run_id, min(seq) AS first_seq, arg_min(cmdline, seq) AS cmd FROM te WHERE type = 'process_create' GROUP BY run_id, lower(cmdline)),
+pi AS (SELECT *, split_part(cmd, ' ', 1) AS img, '*' || regexp_replace(substr(cmd, strpos(cmd, ' ') + 1), '[0-9]+$', '') || '*' AS whole FROM pf),
+px AS (SELECT *, regexp_replace(img, '[0-9]+', '*', 'g') AS img2 FROM pi),
+pc AS (SELECT run_id, first_seq, 0 AS pos, 0 AS rung, img2 || chr(9) || whole AS pattern, greatest(length(regexp_replace(img2, '[*.]', '', 'g')), length(regexp_replace(whole, '[*.]', '', 'g'))) >= 10 AS specific FROM px
+ UNION ALL SELECT run_id, first_seq, 1, 0, img || chr(9) || '*', length(regexp_replace(img, '[*.]', '', 'g')) >= 10 FROM px
+ UNION ALL SELECT run_id, first_seq, 2, 1, img2 || chr(9) || '*', length(regexp_replace(img2, '[*.]', '', 'g')) >= 10 FROM px WHERE img2 <> img)
+"""
+CAND_SQL = f"""{LADDER_SQL}, {PROCESS_SQL},
 fs AS (SELECT run_id, CASE type WHEN 'file_write' THEN 'file_event' ELSE 'registry_set' END AS category, lower(target) AS k, min(seq) AS first_seq, arg_min(l, seq) AS l FROM lad GROUP BY 1, 2, 3),
-cd AS (SELECT run_id, category, first_seq, CAST(i - 1 AS INT) AS pos, d[i] AS pattern FROM (SELECT run_id, category, first_seq, d, unnest(range(1, len(d) + 1)) AS i FROM (SELECT run_id, category, first_seq, list_filter(l, lambda x, i: list_position(l, x) = i) AS d FROM fs))),
-lines AS (SELECT DISTINCT run_id, CASE type WHEN 'file_write' THEN 'file_event' ELSE 'registry_set' END AS category, target AS line FROM te WHERE type IN ('file_write', 'registry_set'))"""
-
-
-def file_and_key_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traces(spark, sf_dir).where("type in ('file_write', 'registry_set')")
+cd AS (SELECT run_id, category, first_seq, CAST(i - 1 AS INT) AS pos, CAST(i - 1 AS INT) AS rung, d[i] AS pattern FROM (SELECT run_id, category, first_seq, d, unnest(range(1, len(d) + 1)) AS i FROM (SELECT run_id, category, first_seq, list_filter(l, lambda x, i: list_position(l, x) = i) AS d FROM fs))
+ UNION ALL SELECT run_id, 'process_creation', first_seq, CAST(pos AS INT), CAST(rung AS INT), pattern FROM pc),
+lines AS (SELECT DISTINCT run_id, CASE type WHEN 'file_write' THEN 'file_event' ELSE 'registry_set' END AS category, target AS line FROM te WHERE type IN ('file_write', 'registry_set')
+ UNION SELECT run_id, 'process_creation', split_part(cmdline, ' ', 1) || chr(9) || cmdline FROM te WHERE type = 'process_create')"""
 
 
-@query(f"WITH {TRACE}, {CAND_SQL} SELECT run_id, first_seq, category, pos, pattern FROM cd")
+@query(f"WITH {TRACE}, {CAND_SQL} SELECT run_id, first_seq, category, pos, rung, pattern FROM cd")
 def rule_candidates(spark, sf_dir):
-    return rules.candidates(file_and_key_events(spark, sf_dir)).select("run_id", "first_seq", "category", "pos", "pattern")
+    return rules.candidates(traces(spark, sf_dir)).select("run_id", "first_seq", "category", "pos", "rung", "pattern")
 
 
-@query(rf"""WITH {TRACE}, f AS (SELECT run_id, min(seq) AS first_seq, arg_min(cmdline, seq) AS cmd FROM te WHERE type = 'process_create' GROUP BY run_id, lower(cmdline)),
-i AS (SELECT *, split_part(cmd, ' ', 1) AS img, '*' || regexp_replace(substr(cmd, strpos(cmd, ' ') + 1), '[0-9]+$', '') || '*' AS whole FROM f),
-l AS (SELECT *, regexp_replace(img, '[0-9]+', '*', 'g') AS img2 FROM i),
-r AS (SELECT run_id, first_seq, 0 AS pos, 0 AS rung, img2 || chr(9) || whole AS pattern, greatest(length(regexp_replace(img2, '[*.]', '', 'g')), length(regexp_replace(whole, '[*.]', '', 'g'))) >= 10 AS specific FROM l
- UNION ALL SELECT run_id, first_seq, 1, 0, img || chr(9) || '*', length(regexp_replace(img, '[*.]', '', 'g')) >= 10 FROM l
- UNION ALL SELECT run_id, first_seq, 2, 1, img2 || chr(9) || '*', length(regexp_replace(img2, '[*.]', '', 'g')) >= 10 FROM l WHERE img2 <> img)
-SELECT run_id, first_seq, CAST(pos AS INT) AS pos, CAST(rung AS INT) AS rung, pattern, specific FROM r""")
+@query(f"WITH {TRACE}, {PROCESS_SQL} SELECT run_id, first_seq, CAST(pos AS INT) AS pos, CAST(rung AS INT) AS rung, pattern, specific FROM pc")
 def process_rule_candidates(spark, sf_dir):
     return rules.candidates(traces(spark, sf_dir).where("type = 'process_create'")).select("run_id", "first_seq", "pos", "rung", "pattern", "specific")
 
@@ -331,7 +330,7 @@ _LIKE = "replace(replace(replace(replace(pattern, '!', '!!'), '%', '!%'), '_', '
 
 @query(f"WITH {TRACE}, {CAND_SQL}, p AS (SELECT DISTINCT category, pattern FROM cd), l AS (SELECT DISTINCT category, line FROM lines), m AS (SELECT p.category, p.pattern, l.line FROM p JOIN l ON p.category = l.category AND l.line ILIKE {_LIKE} ESCAPE '!') SELECT m.category AS category, pattern, count(DISTINCT run_id) AS runs, count(DISTINCT m.line) AS n_lines FROM m JOIN lines ON lines.category = m.category AND lines.line = m.line GROUP BY 1, 2")
 def rule_hits(spark, sf_dir):
-    runs = file_and_key_events(spark, sf_dir)
+    runs = traces(spark, sf_dir)
     lines = e.rule_lines(runs)
     found = rules.matches(rules.candidates(runs), lines).join(lines.select("run_id", "category", "line").distinct(), ["category", "line"])
     return found.groupBy("category", "pattern").agg(F.count_distinct("run_id").alias("runs"), F.count_distinct("line").alias("n_lines"))
@@ -342,13 +341,13 @@ SURVIVE_SQL = f"""{CAND_SQL}, p AS (SELECT DISTINCT category, pattern FROM cd),
 m AS (SELECT p.category, p.pattern, l.line FROM p JOIN l ON p.category = l.category AND l.line ILIKE {_LIKE} ESCAPE '!'),
 h AS (SELECT DISTINCT m.category, m.pattern, lines.run_id AS neg FROM m JOIN lines ON lines.category = m.category AND lines.line = m.line),
 ok AS (SELECT cd.* FROM cd WHERE {_LITLEN} >= 4 AND (SELECT count(*) FROM h WHERE h.category = cd.category AND h.pattern = cd.pattern AND h.neg % 5 <> cd.run_id % 5) <= 40),
-best AS (SELECT run_id, first_seq, category, max(pos) AS rung, arg_max(pattern, pos) AS pattern FROM ok GROUP BY 1, 2, 3),
+best AS (SELECT run_id, first_seq, category, arg_max(rung, pos) AS rung, arg_max(pattern, pos) AS pattern FROM ok GROUP BY 1, 2, 3),
 once AS (SELECT run_id, arg_min(category, first_seq) AS category, min(first_seq) AS first_seq, arg_min(rung, first_seq) AS rung, arg_min(pattern, first_seq) AS pattern FROM best GROUP BY run_id, lower(pattern))"""
 
 
 def surviving_rules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(candidates with four literal characters that hit at most forty runs of other families, all hits); a family: user modulo 5."""
-    runs = file_and_key_events(spark, sf_dir)
+    runs = traces(spark, sf_dir)
     cand = staged(rules.candidates(runs).withColumns({"family": (F.col("run_id") % 5).cast("string"), "specific": text.literal_length(F.col("pattern")) >= 4}), "candidates")
     hits = staged(rules.run_hits(cand, e.rule_lines(runs)), "rule-hits")
     asked = hits.select("category", "pattern", F.col("run_id").alias("neg_run"), (F.col("run_id") % 5).cast("string").alias("neg_family"))
@@ -379,6 +378,53 @@ def rule_eval(spark, sf_dir):
     return rounded(rules.rule_scores(units, hits, tests).select("unit", "recall", "fpr"), "recall", "fpr")
 
 
+GRID_SQL = f"""{CAND_SQL}, p AS (SELECT DISTINCT category, pattern FROM cd), l AS (SELECT DISTINCT category, line FROM lines),
+m AS (SELECT p.category, p.pattern, l.line FROM p JOIN l ON p.category = l.category AND l.line ILIKE {_LIKE} ESCAPE '!'),
+h AS (SELECT DISTINCT m.category, m.pattern, lines.run_id AS neg FROM m JOIN lines ON lines.category = m.category AND lines.line = m.line),
+ts AS (SELECT DISTINCT run_id, run_id % 5 AS family, md5('novel:' || run_id) < '8' AS novel FROM te),
+seeds AS (SELECT unnest([1, 2, 3]) AS seed),
+dn AS (SELECT seed, category, pattern, family, count(*) AS n FROM h JOIN ts ON ts.run_id = h.neg JOIN seeds ON md5(seed || ':' || run_id) < '8' GROUP BY ALL),
+dt AS (SELECT seed, category, pattern, sum(n) AS total FROM dn GROUP BY ALL),
+ok AS (SELECT s.seed, cd.* FROM cd CROSS JOIN seeds s LEFT JOIN dt ON dt.seed = s.seed AND dt.category = cd.category AND dt.pattern = cd.pattern LEFT JOIN dn ON dn.seed = s.seed AND dn.category = cd.category AND dn.pattern = cd.pattern AND dn.family = cd.run_id % 5
+ WHERE {_LITLEN.replace("pattern", "cd.pattern")} >= 4 AND coalesce(total, 0) - coalesce(n, 0) <= 20),
+vr AS (SELECT 'exact' AS variant, * FROM ok WHERE rung = 0 UNION ALL SELECT 'ladder', * FROM ok),
+best AS (SELECT variant, seed, run_id, first_seq, category, arg_max(rung, pos) AS rung, arg_max(pattern, pos) AS pattern FROM vr GROUP BY 1, 2, 3, 4, 5),
+once AS (SELECT variant, seed, run_id, arg_min(category, first_seq) AS category, min(first_seq) AS first_seq, arg_min(rung, first_seq) AS rung, arg_min(pattern, first_seq) AS pattern FROM best GROUP BY variant, seed, run_id, lower(pattern)),
+top AS (SELECT *, row_number() OVER (PARTITION BY variant, seed, run_id ORDER BY rung DESC, category, first_seq) AS rank FROM once),
+un AS (SELECT variant, seed, run_id AS ref, run_id % 5 AS family, category, pattern FROM top WHERE rank <= 10
+ UNION ALL SELECT 'ladder, three rules', seed, run_id, run_id % 5, category, pattern FROM top WHERE rank <= 3 AND variant = 'ladder'
+ UNION SELECT 'ladder, pooled', seed, -1, run_id % 5, category, pattern FROM top WHERE rank <= 10 AND variant = 'ladder'),
+hit AS (SELECT DISTINCT variant, seed, ref, un.family, neg FROM un JOIN h ON h.category = un.category AND h.pattern = un.pattern),
+got AS (SELECT variant, seed, ref, hit.family, count(*) AS hits, count(*) FILTER (WHERE ts.family = hit.family) AS tp, count(*) FILTER (WHERE ts.family = hit.family AND novel) AS tn FROM hit JOIN ts ON ts.run_id = hit.neg GROUP BY ALL),
+sz AS (SELECT family, count(*) AS n, count(*) FILTER (WHERE novel) AS n_novel FROM ts GROUP BY 1)
+"""
+
+
+@query(f"""WITH {TRACE}, {GRID_SQL} SELECT c.variant AS variant, c.seed AS seed, c.ref AS ref, CAST(c.family AS VARCHAR) AS family, c.rules AS rules, round(coalesce(tp, 0) / n::DOUBLE, 6) AS recall, round((coalesce(hits, 0) - coalesce(tp, 0)) / ((SELECT count(*) FROM ts) - n)::DOUBLE, 6) AS fpr,
+ CAST(coalesce(hits, 0) - coalesce(tp, 0) AS BIGINT) AS fp, CAST((SELECT count(*) FROM ts) - n AS BIGINT) AS neg, CASE WHEN n_novel > 0 THEN round(coalesce(tn, 0) / n_novel::DOUBLE, 6) END AS novel_recall
+FROM (SELECT variant, seed, ref, family, count(*) AS rules FROM (SELECT DISTINCT * FROM un) GROUP BY ALL) c LEFT JOIN got ON got.variant = c.variant AND got.seed = c.seed AND got.ref = c.ref AND got.family = c.family LEFT JOIN sz ON sz.family = c.family""")
+def rule_grid(spark, sf_dir):
+    """Variants of synthesis x seeds of drawn negatives x reference runs: recall and false positives of every cell over all runs.
+
+    Three seeds draw half of the runs as negatives; each run is a reference, pooled units hold the rules of a whole family. Every
+    pattern is matched once and kept as a bitmap of the runs that it hits.
+    """
+    runs, seeds = traces(spark, sf_dir), [1, 2, 3]
+    family = (F.col("run_id") % 5).cast("string")
+    tests = rules.numbered_runs(runs.select("run_id").distinct().withColumns({"family": family, "novel": F.md5(F.concat(F.lit("novel:"), F.col("run_id").cast("string"))) < "8"}))
+    cand = staged(rules.candidates(runs).withColumns({"family": family, "specific": text.literal_length(F.col("pattern")) >= 4}), "candidates")
+    hits = staged(rules.run_hits(cand, e.rule_lines(runs)), "rule-hits")
+    draws = tests.select("run_id", "family").withColumn("seed", F.explode(F.array(*map(F.lit, seeds)))).where(F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), F.col("run_id").cast("string"))) < "8")
+    passing = staged(rules.vetoed_by_draw(cand, hits, draws, seeds, max_neg_hits=20), "passing")
+    variants = passing.where("rung = 0").withColumn("variant", F.lit("exact")).unionByName(passing.withColumn("variant", F.lit("ladder")))
+    chosen = staged(rules.selected(variants.withColumn("run_id", F.struct("variant", "seed", "run_id"))).select("run_id.*", "category", "pattern", "rank"), "chosen").withColumn("family", family)
+    ladder = chosen.where("variant = 'ladder'")
+    units = chosen.unionByName(ladder.where("rank <= 3").withColumn("variant", F.lit("ladder, three rules"))).drop("rank")
+    pooled = ladder.select(F.lit("ladder, pooled").alias("variant"), "seed", F.lit(-1).cast("long").alias("run_id"), "family", "category", "pattern").distinct()
+    units = units.unionByName(pooled).withColumnRenamed("run_id", "ref")
+    return rounded(rules.grid_scores(units, rules.hit_bitmaps(hits, tests), tests, ["variant", "seed", "ref"]), "recall", "fpr", "novel_recall")
+
+
 PLAIN_SQL = """pl AS (SELECT run_id, seq, technique, CASE type WHEN 'process_create' THEN 'process_creation' WHEN 'registry_set' THEN 'registry_set' ELSE 'file_event' END AS category,
   CASE WHEN type = 'process_create' THEN '*' || chr(92) || target || chr(9) || CASE WHEN cmdline LIKE '%vssadmin%' THEN '*/c*' WHEN cmdline LIKE '%-enc%' THEN '*-enc*' WHEN cmdline LIKE '%//b%' THEN '*//b*' WHEN cmdline LIKE '%-flag%' THEN '*-flag*' ELSE '*' END
        WHEN type = 'registry_set' THEN '*' || chr(92) || 'CurrentVersion' || chr(92) || 'Run' || chr(92) || '*' ELSE '*.' || split_part(target, '.', -1) END AS pattern
@@ -521,7 +567,7 @@ def defang_whole_urls(spark, sf_dir):
 @query(f"""WITH {TRACE}, n AS (SELECT DISTINCT target, lower(target) AS v FROM te WHERE type IN ('file_write', 'registry_set'))
 SELECT target, regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, 'c:\\\\users\\\\[^\\\\]+\\\\appdata\\\\roaming', '%appdata%'), 'hkey_current_user', 'hkcu'), 'hkey_local_machine', 'hklm'), '[0-9]+', '#', 'g') AS normal FROM n""")
 def normalize_values(spark, sf_dir):
-    return file_and_key_events(spark, sf_dir).select("target").distinct().withColumn("normal", text.normalize(F.col("target")))
+    return traces(spark, sf_dir).where("type in ('file_write', 'registry_set')").select("target").distinct().withColumn("normal", text.normalize(F.col("target")))
 
 
 _ESCAPED = r"""SELECT doc_id, regexp_replace(replace(replace(replace(text, '\', '\\'), '*', '\*'), '?', '\?'), '[\x00-\x1f\x7f]', '?', 'g') AS literal,
@@ -816,6 +862,17 @@ def gbt_gate(spark, sf_dir):
     return gate_scores(model, rows).select("vec_id", (F.col("vec_id") % 4 == 0).alias("held_out"), F.col("label").alias("target"), F.round("score", 4).alias("score"))
 
 
+@query(None)
+def gate_contributions(spark, sf_dir):
+    """The eight features that move each row's gate most: Shapley values along the paths of the trees."""
+    from ..operators.attributions import forest_of, top_contributions, with_contributions
+    from ..operators.models import fit_gate
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("features"), (F.col("label") < 5).cast("int").alias("label"))
+    model = fit_gate(rows.where("vec_id % 4 <> 0"), rounds=5, depth=3)
+    return top_contributions(with_contributions(rows, forest_of(model, spark), keep=["vec_id"]), "vec_id")
+
+
 @query(None)
 def api_ngram_model(spark, sf_dir):
     """The n-gram model table trained on the runs, and the probability of each run by it."""

@@ -72,6 +72,7 @@ def reports(spark: SparkSession, path: str | DataFrame, packaged: DataFrame | No
     rejects = rejects if large is None else rejects.unionByName(large)
     events = staged(events, "events")
     runs = events.select("run_id").distinct()
+    names = sources.run_names(files).groupBy("run_id").agg(F.min_by("name", "path").alias("name"))
     static = triage.triage_metadata(sources.file_metadata(files).where("pe is not null"))
     static_tokens = tokens.static_tokens(static.select("run_id", "pe"))
     scored = behaviour(spark, events, runs, ngram_model)
@@ -85,10 +86,10 @@ def reports(spark: SparkSession, path: str | DataFrame, packaged: DataFrame | No
     counts = graph.nodes(events).groupBy("run_id").agg(F.count("*").alias("nodes")).join(graph.edges(events).groupBy("run_id").agg(F.count("*").alias("edges")), "run_id", "full")
     steps = e.timeline(events).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("seq", "ts", "description", "technique", "tactic"))).alias("timeline"))
     rows = scored.join(static.select("run_id", F.struct("score", "label", "detonate", "reasons").alias("static")), "run_id", "left")
-    for part in (e.techniques_of_runs(events), e.indicators(events), counts, steps, texts):
+    for part in (names, e.techniques_of_runs(events), e.indicators(events), counts, steps, texts):
         rows = rows.join(part, "run_id", "left")
     known = F.coalesce(F.col("static.score"), F.lit(0.0))
-    body = F.struct("run_id", fused(known, F.col("probability"), F.coalesce("static.label", F.lit("benign"))).alias("verdict"), "static", F.struct("probability", "label", "contributions", "family", "similarity", "scorer").alias("behaviour"), "techniques", "timeline", F.struct("nodes", "edges").alias("graph"), F.struct("network", "domains", "dropped", "registry").alias("iocs"), F.coalesce("sigma", F.array().cast("array<string>")).alias("rules"))
+    body = F.struct("run_id", "name", fused(known, F.col("probability"), F.coalesce("static.label", F.lit("benign"))).alias("verdict"), "static", F.struct("probability", "label", "contributions", "family", "similarity", "scorer").alias("behaviour"), "techniques", "timeline", F.struct("nodes", "edges").alias("graph"), F.struct("network", "domains", "dropped", "registry").alias("iocs"), F.coalesce("sigma", F.array().cast("array<string>")).alias("rules"))
     return rows.select("run_id", body.alias("report"), canonical_hash(body).alias("content_sha256")), rejects
 
 
@@ -96,7 +97,7 @@ def markdown(report: Column) -> Column:
     """A short page of a report; all text of the run is escaped and made harmless."""
     line = lambda name, value: F.concat(F.lit(f"| {name} | "), markdown_text(F.coalesce(value.cast("string"), F.lit("-"))), F.lit(" |\n"))
     steps = F.array_join(F.transform(F.slice(report["timeline"], 1, 40), lambda s: F.concat(F.lit("- "), markdown_text(s["description"]), F.lit(" "), F.coalesce(s["technique"], F.lit("")))), "\n")
-    return F.concat(F.lit("# Run report\n\n| | |\n|-|-|\n"), line("run", report["run_id"]), line("verdict", report["verdict"]["label"]), line("confidence", report["verdict"]["confidence"]), line("score", report["verdict"]["score"]), line("family", report["behaviour"]["family"]), line("techniques", F.array_join(report["techniques"], ", ")), F.lit("\n## Timeline\n\n"), F.coalesce(steps, F.lit("")), F.lit("\n\n## Network\n\n"), F.coalesce(F.array_join(F.transform(report["iocs"]["network"], defang), "\n"), F.lit("")), F.lit("\n"))
+    return F.concat(F.lit("# Run report\n\n| | |\n|-|-|\n"), line("run", report["name"]), line("id", report["run_id"]), line("verdict", report["verdict"]["label"]), line("confidence", report["verdict"]["confidence"]), line("score", report["verdict"]["score"]), line("family", report["behaviour"]["family"]), line("techniques", F.array_join(report["techniques"], ", ")), F.lit("\n## Timeline\n\n"), F.coalesce(steps, F.lit("")), F.lit("\n\n## Network\n\n"), F.coalesce(F.array_join(F.transform(report["iocs"]["network"], defang), "\n"), F.lit("")), F.lit("\n"))
 
 
 def write_reports(rows: DataFrame, out: str) -> None:
@@ -163,16 +164,29 @@ def finished_reports(spark: SparkSession, out: str, ledger_path: str) -> DataFra
 def analyze(spark: SparkSession, samples: str | DataFrame, recorded: str | DataFrame, pairs: DataFrame, benign: list[bytes] | None = None) -> tuple[DataFrame, DataFrame]:
     """(reports, rejects) of samples with their recorded runs: each pair (sample_path, run_id) is triaged, bound and reported.
 
-    ``samples`` and ``recorded`` are folders or files (path, content, sha256). A run that records another sample's digest is
-    rejected; one that records none is unbound, which lowers the confidence.
+    ``samples`` and ``recorded`` are folders or files (path, content, sha256). ``run_id`` of a pair is a run's id or its name. A
+    run that records another sample's digest is rejected; one that records none is unbound, which lowers the confidence.
+
+    Rejects (path, run_id, reason) name every pair without a report (unknown sample, unknown run, a name that several runs have, a
+    run without events, evidence of another sample; of one pair the first reason) and every file that gives none, with a null run:
+    files over the size cap, traces that cannot be read.
     """
-    as_files = lambda given: sources.read_files(spark, given)[0] if isinstance(given, str) else given
-    files, traces = as_files(samples), as_files(recorded)
+    (files, large), (traces, long) = ((given, None) if isinstance(given, DataFrame) else sources.read_files(spark, given) for given in (samples, recorded))
     static = triage.triage_files(files.select("path", "sha256", "content"))
     strings = rules.string_rules(static.select(F.col("sha256").alias("file_id"), "label", "strings"), benign or [])
-    asked = pairs.select(F.col("sample_path").alias("path"), "run_id").join(files.select("path", "sha256"), "path")
-    bound, rejects = evidence.bound(asked, sources.recorded_samples(traces))
-    rows, _ = reports(spark, traces)
+    rows, unread = reports(spark, traces)
+    names = staged(sources.run_names(traces).select("run_id", "name").distinct(), "run-names")
+    known = names.select(F.col("name").alias("asked"), "run_id").unionByName(names.select(F.col("run_id").alias("asked"), "run_id")).distinct()
+    found = known.groupBy("asked").agg(F.count("*").alias("runs"), F.min("run_id").alias("run_id"))
+    asked = pairs.select("sample_path", F.col("run_id").alias("asked")).distinct().join(found, "asked", "left").join(files.select(F.col("path").alias("sample_path"), "sha256"), "sample_path", "left")
+    asked = asked.join(rows.select("run_id", F.lit(True).alias("reported")), "run_id", "left")
+    reason = F.when(F.col("sha256").isNull(), "unknown sample").when(F.col("runs").isNull(), "unknown run").when(F.col("runs") > 1, "several runs have this name").when(F.col("reported").isNull(), "run without events")
+    asked = staged(asked.select(F.col("sample_path").alias("path"), "asked", "run_id", "sha256", reason.alias("reason")), "pairs")
+    bound, mismatched = evidence.bound(asked.where("reason is null").drop("reason"), sources.recorded_samples(traces))
+    no_run = lambda df: df.select("path", F.lit(None).cast("string").alias("run_id"), "reason")
+    rejects = asked.where("reason is not null").select("path", F.col("asked").alias("run_id"), "reason").unionByName(mismatched.select("path", F.col("asked").alias("run_id"), "reason")).unionByName(no_run(unread))
+    for over in (large, long):
+        rejects = rejects if over is None else rejects.unionByName(no_run(over))
     joined = bound.join(static.select("path", F.struct("score", "label", "detonate", "reasons", "urls", "ips", "entropy").alias("sample")), "path").join(rows, "run_id").join(strings.select(F.col("file_id").alias("sha256"), "yara"), "sha256", "left")
     verdict_ = fused(F.col("sample.score"), F.col("report.behaviour.probability"), F.col("sample.label"))
     weaker = F.when(F.col("binding") == "unbound", F.concat(verdict_["confidence"], F.lit(" (trace not bound to sample)"))).otherwise(verdict_["confidence"])

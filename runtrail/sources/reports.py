@@ -59,12 +59,20 @@ def finished(rows: DataFrame, order: list) -> DataFrame:
     return rows.select(*COLUMNS, seq.cast("long").alias("seq"))
 
 
-def own_runs(rows: DataFrame) -> DataFrame:
-    """``rows`` (path, sha256, run_id, ..) with runs told apart: an id that several files name gets the file's digest behind it."""
-    named = rows.groupBy("run_id").agg(F.count_distinct("sha256").alias("n")).where("n > 1").select("run_id", F.lit(True).alias("__shared"))
-    named = staged(named, "shared-runs")  # a short table; without it every later plan would hold the parsing twice
-    joined = rows.join(named, "run_id", "left")
-    return joined.withColumn("run_id", F.when(F.col("__shared"), F.concat("run_id", F.lit("-"), F.substring("sha256", 1, 16))).otherwise(F.col("run_id"))).drop("__shared")
+def run_key(kind: str | Column, sha256: Column) -> Column:
+    """The id of a run: its reader's kind and its file's digest. It depends on nothing else that lies in a folder or came before."""
+    return F.concat(F.lit(kind) if isinstance(kind, str) else kind, F.lit("-"), F.substring(sha256, 1, 32))
+
+
+def run_names(files: DataFrame) -> DataFrame:
+    """(run_id, name, path, sha256) of files: the name is what the report calls its run, else the name of its file.
+
+    Names need not be unique; several runs may share one.
+    """
+    raw = F.col("content").cast("string")
+    rows = files.withColumn("kind", report_kind(F.col("content")))
+    own = F.when(F.col("kind") == "native", F.from_json(raw, "struct<run_id:string>")["run_id"]).when(F.col("kind") == "sandbox", F.from_json(raw, "struct<info:struct<id:string>>")["info"]["id"])
+    return rows.select(run_key(F.col("kind"), F.col("sha256")).alias("run_id"), F.coalesce(F.nullif(own, F.lit("")), F.regexp_extract("path", r"[^/\\\\]*$", 0)).alias("name"), "path", "sha256")
 
 
 # --- native traces
@@ -75,7 +83,7 @@ NATIVE = "struct<run_id:string,sandbox:string,sample_sha256:string,events:array<
 def native_traces(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, rejects) of ``{"events": [...]}`` files. One bad event spoils its file."""
     doc = files.select("path", "sha256", F.from_json(F.col("content").cast("string"), NATIVE).alias("d"))
-    doc = own_runs(doc.withColumn("run_id", F.coalesce("d.run_id", F.substring("sha256", 1, 16))))
+    doc = doc.withColumn("run_id", run_key("native", F.col("sha256")))
     each = lambda e: e["type"].isin(*EVENT_TYPES) & e["ts"].isNotNull() & ~F.isnan(e["ts"]) & (F.abs(e["ts"]) < float("inf")) & (e["ts"] >= 0) & e["pid"].try_cast("long").isNotNull() & (F.coalesce(e["image"], F.lit("")) != "")
     reason = (
         F.when(F.col("d.events").isNull(), "no events")
@@ -105,8 +113,7 @@ def parsed_reports(files: DataFrame) -> DataFrame:
     """(path, sha256, run_id, image, r): the report as a struct; ``r`` is null where the text is no report."""
     r = F.from_json(F.col("content").cast("string"), REPORT)
     rows = files.select("path", "sha256", r.alias("r"))
-    run = F.coalesce("r.info.id", F.substring("sha256", 1, 16), F.lit("cape"))
-    return own_runs(rows.select("path", "sha256", run.alias("run_id"), F.coalesce("r.target.file.name", F.lit("sample.exe")).alias("sample"), "r"))
+    return rows.select("path", "sha256", run_key("sandbox", F.col("sha256")).alias("run_id"), F.coalesce("r.target.file.name", F.lit("sample.exe")).alias("sample"), "r")
 
 
 def arguments(raw: Column) -> Column:
@@ -228,8 +235,8 @@ def file_metadata(files: DataFrame) -> DataFrame:
 
 
 def host_log_events(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events, rejects) of event-log exports, XML or JSON lines, in any Unicode encoding; run_id is the file's digest."""
-    texts = files.select("path", F.substring("sha256", 1, 16).alias("run_id"), decoded(F.col("content")).alias("text"))
+    """(events, rejects) of event-log exports, XML or JSON lines, in any Unicode encoding; a file is a run."""
+    texts = files.select("path", run_key("host_log", F.col("sha256")).alias("run_id"), decoded(F.col("content")).alias("text"))
     xml = texts.where(F.startswith(F.ltrim("text"), F.lit("<")))
     unsafe = F.upper("text").rlike("<!(DOCTYPE|ENTITY)")
     records = F.regexp_extract_all("text", F.lit(r"(?s)<(?:\w+:)?Event[\s>].*?</(?:\w+:)?Event>"), 0)
@@ -290,7 +297,7 @@ def emulator_events(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, rejects): API calls, file, registry and network access of every entry point, in ticks of a millisecond."""
     raw = F.col("content").cast("string")
     wrapped = F.when(F.startswith(F.ltrim(raw), F.lit("[")), F.concat(F.lit('{"entry_points":'), raw, F.lit("}"))).otherwise(raw)
-    doc = files.select("path", F.substring("sha256", 1, 16).alias("run_id"), F.from_json(wrapped, EMULATED).alias("d"))
+    doc = files.select("path", run_key("emulator", F.col("sha256")).alias("run_id"), F.from_json(wrapped, EMULATED).alias("d"))
     none = F.array()
     fact = lambda kind, target, api=None: F.struct(F.lit(kind).alias("type") if isinstance(kind, str) else kind.alias("type"), F.substring(target, 1, MAX_CHARS).alias("target"), (api if api is not None else F.lit(None).cast("string")).alias("api"), F.lit(None).cast("string").alias("cmdline"), F.lit(1).alias("tick"))
     file_kind = lambda e: F.when(F.lower(e).rlike("write|create"), "file_write").when(F.contains(F.lower(e), F.lit("delete")), "file_delete").otherwise("file_read")
@@ -337,11 +344,14 @@ def call_sequences(rows: DataFrame) -> DataFrame:
     return finished(made.select("run_id", "i", F.col("i").cast("double").alias("ts"), F.lit("api_call").alias("type"), F.lit(1000).cast("long").alias("pid"), F.lit("sample.exe").alias("image"), F.substring("a", 1, 128).alias("target")), ["i"])
 
 
-def sequence_table(spark: SparkSession, path: str) -> DataFrame:
-    """(sha256, label, apis) of a wide, ragged comma-separated table: digest, label, then one call per column."""
+def sequence_table(spark: SparkSession, path: str, max_calls: int = 100_000) -> DataFrame:
+    """(sha256, label, apis, truncated) of a wide, ragged comma-separated table: digest, label, then one call per column.
+
+    ``truncated`` counts the calls beyond ``max_calls``, which are cut.
+    """
     lines = spark.read.text(path).where(~F.startswith("value", F.lit("sha256")))
     parts = F.split("value", ",")
-    return lines.select(F.get(parts, F.lit(0)).alias("sha256"), F.get(parts, F.lit(1)).try_cast("int").alias("label"), F.filter(F.slice(parts, 3, 100_000), lambda a: F.trim(a) != "").alias("apis"))
+    return lines.select(F.get(parts, F.lit(0)).alias("sha256"), F.get(parts, F.lit(1)).try_cast("int").alias("label"), F.filter(F.slice(parts, 3, max_calls), lambda a: F.trim(a) != "").alias("apis"), F.greatest(F.lit(0), F.size(parts) - 2 - max_calls).alias("truncated"))
 
 
 def labels_table(spark: SparkSession, path: str) -> DataFrame:
@@ -395,10 +405,9 @@ def parsed_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def recorded_samples(files: DataFrame) -> DataFrame:
     """(run_id, sha256): the sample digests that runs record: of native traces, of sandbox targets, of process starts in host logs."""
     files = files.withColumn("kind", report_kind(F.col("content")))
-    native = files.where("kind = 'native'").select("path", "sha256", F.from_json(F.col("content").cast("string"), NATIVE).alias("d"))
-    native = own_runs(native.withColumn("run_id", F.coalesce("d.run_id", F.substring("sha256", 1, 16)))).select("run_id", F.col("d.sample_sha256").alias("sha256"))
+    native = files.where("kind = 'native'").select(run_key("native", F.col("sha256")).alias("run_id"), F.from_json(F.col("content").cast("string"), "struct<sample_sha256:string>")["sample_sha256"].alias("sha256"))
     sandbox = parsed_reports(files.where("kind = 'sandbox'")).select("run_id", F.col("r.target.file.sha256").alias("sha256"))
-    logs = files.where("kind = 'host_log'").select(F.substring("sha256", 1, 16).alias("run_id"), F.explode(F.regexp_extract_all(decoded(F.col("content")), F.lit("(?i)SHA256=([0-9a-f]{64})"), 1)).alias("sha256"))
+    logs = files.where("kind = 'host_log'").select(run_key("host_log", F.col("sha256")).alias("run_id"), F.explode(F.regexp_extract_all(decoded(F.col("content")), F.lit("(?i)SHA256=([0-9a-f]{64})"), 1)).alias("sha256"))
     return reduce(DataFrame.unionByName, (native, sandbox, logs)).select("run_id", F.lower("sha256").alias("sha256")).where("sha256 rlike '^[0-9a-f]{64}$'").distinct()
 
 
@@ -432,38 +441,3 @@ def coded_sequences(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.where(F.size("c") > 2).select("line", F.get("c", F.lit(0)).alias("digest"), F.slice("c", F.lit(2), F.size("c") - 2).alias("codes"), F.element_at("c", -1).try_cast("int").alias("label"))
     kept = rows.groupBy("codes").agg(F.min_by(F.struct("digest", "label"), "line").alias("r"))
     return kept.select("r.digest", "codes", "r.label")
-
-
-def zipped_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, member, content): the files within zip archives, archives within archives too; a broken archive gives what comes before.
-
-    An archive is read where its bytes are; one archive is one task's work, members come out one by one.
-    """
-    import pyarrow as pa
-
-    def members(data: bytes, depth: int = 0):
-        import io
-        import zipfile
-
-        try:
-            with zipfile.ZipFile(io.BytesIO(data)) as archive:
-                for info in archive.infolist():
-                    if info.is_dir() or info.file_size > max_bytes:
-                        continue
-                    content = archive.read(info)
-                    if content[:4] == b"PK\x03\x04" and depth < 4:
-                        for name, inner in members(content, depth + 1):
-                            yield f"{info.filename}/{name}", inner
-                    else:
-                        yield info.filename, content
-        except (zipfile.BadZipFile, EOFError, OSError, RuntimeError, NotImplementedError):
-            return
-
-    def opened(batches):
-        for batch in batches:
-            for source, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for name, content in members(data.as_py()):
-                    yield pa.RecordBatch.from_arrays([pa.array([source]), pa.array([name]), pa.array([content], pa.binary())], names=["path", "member", "content"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(opened, "path string, member string, content binary")

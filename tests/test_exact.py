@@ -2,7 +2,6 @@
 
 import itertools
 import json
-import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,6 +25,7 @@ def test_tests_of_clusters_are_exact_or_an_error(spark):
     got = ev.signed_ranks(rows, "k", "v").first()
     assert got["p"] == pytest.approx(sum(s >= observed - 1e-12 for s in sums) / len(sums)) and got["statistic"] == (sum(ranks) - observed) / 2
     many = spark.range(30).select(F.col("id").alias("k"), F.lit(1.0).alias("v"))
+    assert tuple(ev.sign_flips(rows.limit(0), "k", "v").first()) == (None, 1.0) and ev.signed_ranks(rows.limit(0), "k", "v").first()["p"] == 1.0
     for test in (ev.sign_flips, ev.signed_ranks):
         with pytest.raises(ValueError):
             test(many, "k", "v")
@@ -120,15 +120,37 @@ def test_batches_do_only_what_is_new_and_nothing_twice(spark, tmp_path, monkeypa
     again = {r["status"] for r in report.batch(spark, str(folder), out, ledger).collect()}
     assert again == {"done", "failed"}
     assert seen == [1, 2, 2]
-    assert sorted(r["run_id"] for r in report.finished_reports(spark, out, ledger).collect()) == ["a", "b"]
+    ids = [r["run_id"] for r in report.finished_reports(spark, out, ledger).collect()]
+    names = sources.run_names(sources.read_files(spark, str(folder))[0]).where(F.col("run_id").isin(ids))
+    assert len(ids) == 2 and sorted(r["name"] for r in names.collect()) == ["a", "b"]
 
 
-def test_runs_of_several_files_stay_apart(spark, tmp_path):
-    for name, text in (("a", native()), ("b", native(target="b.exe")), ("c", native("same")), ("d", native("same", target="d.exe")), ("copy", native("same"))):
-        (tmp_path / f"{name}.json").write_text(text)
-    found, rejects = sources.read_reports(spark, str(tmp_path))
+def sandbox(run):
+    return json.dumps({"info": {"id": run}, "behavior": {"summary": {"executed_commands": ["cmd.exe /c x"]}}, "network": {}})
+
+
+def test_runs_of_several_files_readers_and_batches_stay_apart(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, text in (("a", native()), ("b", native(target="b.exe")), ("c", native("7")), ("d", native("7", target="d.exe")), ("copy", native("7")), ("box", sandbox(7))):
+        (folder / f"{name}.json").write_text(text)
+    found, rejects = sources.read_reports(spark, str(folder))
     runs = [r["run_id"] for r in found.collect()]
-    assert len(runs) == len(set(runs)) == 4 and rejects.count() == 0 and sum(r.startswith("same-") for r in runs) == 2
+    assert len(runs) == len(set(runs)) == 5 and rejects.count() == 0
+    names = {r["run_id"]: r["name"] for r in sources.run_names(sources.read_files(spark, str(folder))[0]).where("path not like '%copy%'").collect()}
+    assert sorted(names[r] for r in runs) == ["7", "7", "7", "a.json", "b.json"]
+    (folder / "a.json").unlink()  # an id does not depend on what else lies there
+    assert set(sources.read_reports(spark, str(folder))[0].toPandas()["run_id"]) < set(runs)
+
+
+def test_two_batches_of_equal_names_are_two_reports(spark, tmp_path):
+    folder, out, ledger = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ledger")
+    folder.mkdir()
+    for text in (native("same"), native("same", target="b.exe")):
+        (folder / f"{len(text)}.json").write_text(text)
+        assert [r["status"] for r in report.batch(spark, str(folder), out, ledger).collect()] == ["done"]
+    rows = report.finished_reports(spark, out, ledger).collect()
+    assert len({r["run_id"] for r in rows}) == len(rows) == 2 and {json.loads(r["json"])["name"] for r in rows} == {"same"}
 
 
 def test_samples_are_bound_to_their_runs(spark, tmp_path):
@@ -142,10 +164,18 @@ def test_samples_are_bound_to_their_runs(spark, tmp_path):
     (runs / "free.json").write_text(native("free"))
     (runs / "other.json").write_text(native("other", "0" * 64))
     path = spark.read.format("binaryFile").load(str(samples)).first()["path"]
-    pairs = spark.createDataFrame([(path, r) for r in ("bound", "free", "other")], "sample_path string, run_id string")
-    rows, rejects = report.analyze(spark, str(samples), str(runs), pairs)
-    got = {r["run_id"]: r for r in rows.collect()}
-    assert {k: v["binding"] for k, v in got.items()} == {"bound": "bound", "free": "unbound"} and [r["run_id"] for r in rejects.collect()] == ["other"]
+    (runs / "twice.json").write_text(native("twice"))
+    (runs / "again.json").write_text(native("twice", target="b.exe"))
+    (runs / "torn.json").write_text(native("torn")[:40])
+    (runs / "log.json").write_text('{"EventID": 255}')
+    by_id = sources.run_names(sources.read_files(spark, str(runs))[0]).where("path like '%again%'").first()["run_id"]
+    asked = [(path, r) for r in ("bound", "free", "other", "nobody", "twice", "log.json", by_id)] + [("nowhere", "free")]
+    pairs = spark.createDataFrame(asked, "sample_path string, run_id string")
+    rows, rejects = report.analyze(spark, str(samples), str(runs), pairs.unionByName(pairs))
+    got = {r["report"]["name"]: r for r in rows.collect()}
+    assert {k: v["binding"] for k, v in got.items()} == {"bound": "bound", "free": "unbound", "twice": "unbound"} and got["twice"]["run_id"] == by_id and rows.count() == 3
+    why = sorted((r["path"].split("/")[-1], r["run_id"] or "", r["reason"]) for r in rejects.collect())
+    assert why == [("nowhere", "free", "unknown sample"), ("s.bin", "log.json", "run without events"), ("s.bin", "nobody", "unknown run"), ("s.bin", "other", "evidence mismatch"), ("s.bin", "twice", "several runs have this name"), ("torn.json", "", "no events")]
     assert "not bound" in got["free"]["verdict"]["confidence"] and 'powershell -enc AAAA http' in got["bound"]["yara"]
     assert evidence.bound(pairs.limit(0).withColumn("sha256", F.lit("x")), pairs.limit(0).withColumn("sha256", F.lit("x")))[0].count() == 0
 
@@ -168,19 +198,6 @@ def test_sequences_by_line_and_by_code(spark, tmp_path):
     assert sorted((r["digest"], r["codes"], r["label"]) for r in sources.coded_sequences(spark, str(tmp_path / "codes.csv")).collect()) == [("x", ["1", "2"], 1), ("z", ["3", "4"], 0)]
 
 
-def test_archives_give_their_members(spark, tmp_path):
-    import io
-
-    inner = io.BytesIO()
-    with zipfile.ZipFile(inner, "w") as z:
-        z.writestr("deep.json", "2")
-    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
-        z.writestr("a.json", "1")
-        z.writestr("more.zip", inner.getvalue())
-    (tmp_path / "bad.zip").write_bytes(b"PK\x03\x04 no archive")
-    assert sorted((r["member"], bytes(r["content"])) for r in sources.zipped_files(spark, str(tmp_path)).collect()) == [("a.json", b"1"), ("more.zip/deep.json", b"2")]
-
-
 def test_models_come_back_as_saved_and_explain_themselves(spark, tmp_path):
     rows = spark.createDataFrame([(i, [f"{'xyz'[i % 3]}{j}" for j in range(4)] + ["all"], "xyz"[i % 3]) for i in range(30)], "run_id long, tokens array<string>, family string")
     model = models.FamilyModel.fit(rows.select("tokens", "family"), cells=1 << 12, rounds=20)

@@ -52,7 +52,8 @@ def test_sandbox_reports(spark):
     assert ("registry_set", "hkcu\\run\\X") not in kinds  # the call log has it
     assert not any(t == "k.dll.Sleep" for _, t in kinds)  # API names of the summary go where there is a call log
     assert [t for k, t in kinds if k == "file_read"] == ["C:\\a.txt"]  # w.dat is a written file already
-    assert min(r["ts"] for r in rows) == 0.0 and {r["run_id"] for r in rows} == {"7"}
+    assert min(r["ts"] for r in rows) == 0.0 and len({r["run_id"] for r in rows}) == 1
+    assert {(r["run_id"], r["name"]) for r in reports.run_names(f.where("path = 'a'")).collect()} == {(rows[0]["run_id"], "7")}
     assert {r["path"] for r in rejects.collect()} == {"b", "c"}
     meta = reports.file_metadata(f).where("pe is not null")
     (bag,) = [r["tokens"] for r in tokens.static_tokens(meta).collect()]
@@ -104,11 +105,11 @@ def test_whole_reports(spark, tmp_path):
     (tmp_path / "in" / "b.json").write_text(json.dumps({"run_id": "n", "events": [{"ts": 1, "type": "process_create", "pid": 1, "image": "a", "target": "powershell.exe", "cmdline": "powershell -enc AAAAAAAAAAAAAAAA", "child_pid": 2}]}))
     (tmp_path / "in" / "c.json").write_text("junk")
     rows, rejects = report.reports(spark, str(tmp_path / "in"))
-    got = {r["run_id"]: r for r in rows.collect()}
-    assert set(got) == {"7", "n"} and rejects.count() == 1
+    got = {r["report"]["name"]: r for r in rows.collect()}
+    assert set(got) == {"7", "n"} and len({r["run_id"] for r in got.values()}) == 2 and rejects.count() == 1
     assert got["n"]["report"]["techniques"] == ["T1059.001"] and got["7"]["report"]["static"]["detonate"]
     assert any("powershell.exe" in s for s in got["n"]["report"]["rules"])
-    again = {r["run_id"]: r["content_sha256"] for r in report.reports(spark, str(tmp_path / "in"))[0].collect()}
+    again = {r["report"]["name"]: r["content_sha256"] for r in report.reports(spark, str(tmp_path / "in"))[0].collect()}
     assert again == {k: r["content_sha256"] for k, r in got.items()}
     done = report.batch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ledger"))
     assert sorted(r["status"] for r in done.collect()) == ["done", "done", "failed"]
