@@ -44,14 +44,16 @@ PROBES = probes(64)
 
 
 class WordHashes(dict):
-    """XXH64 of words, remembered up to a bound."""
+    """XXH64 of words; those of at most 64 bytes are remembered, up to a bound in number and so in bytes."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 300_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) > 300_000:
+                self.clear()
+            self[word] = value
         return value
 
 

@@ -10,7 +10,9 @@ Two deterministic transducers stand for the tokenizer:
   suffix in the vocabulary that is compatible with the last token before it (two tokens are compatible if BPE leaves their
   bytes as these two); so the state is, for each place where a token may still be open, the open bytes, the last token before
   it and its count relative to now. A transition is annotated with the change of the token count, which may be zero or less.
-  States and transitions are compiled when first met and kept up to a bound, as are the counts of frequent pre-tokens.
+  States and transitions are compiled when first met and kept up to a bound, as are the counts of short pre-tokens.
+* Pre-tokens beyond ``LONG`` bytes have ever new states. They are cut into chunks whose maps are run side by side and composed
+  (``longwords``); the compiled transducer takes those whose chunks do not agree.
 
 Counts equal the library's without added special tokens. Strings of the vocabulary's own special tokens inside a text count as
 one token each and split it. Defined results: null and empty texts have 0 bytes and 0 tokens. Long texts are cut where a single
@@ -29,13 +31,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_columns
+from .longwords import LongWords
 
 END, SP, WS, NUMBER, OTHER, APOSTROPHE, LETTER, ONE, RV, E, L = range(11)
 START, LET, NUM, OTH, APO, APO_RV, APO_L, CON, SP1, SPN, WS1, WSN = range(12)
 BEFORE, EARLIER = 1, 2
 CHUNK = 256
 SLAB = 1 << 19
-MAX_WORDS, MAX_STATES = 300_000, 100_000
+#: Counts are remembered of pre-tokens of at most ``LONG`` bytes, so that ``MAX_WORDS`` of them are a bound in bytes.
+LONG, MAX_WORDS, MAX_STATES = 64, 300_000, 100_000
 
 
 def begins(symbol: int) -> int:
@@ -205,7 +209,9 @@ class Counter:
         letters = byte_letters()
         decode = lambda s: bytes(letters[c] for c in s)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.merger = Merger([(decode(a), decode(b)) for a, b in pairs])
+        self.merges = [(decode(a), decode(b)) for a, b in pairs]
+        self.merger = Merger(self.merges)
+        self.long: LongWords | None = None
         special = sorted((t["content"] for t in spec.get("added_tokens") or []), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.table = symbol_table()
@@ -244,13 +250,21 @@ class Counter:
         symbols[ends] = END
         at = boundaries(symbols)
         real = np.flatnonzero(symbols[at[:-1]] != END)
-        words, known = self.words, []
+        words, known, long = self.words, [], {}
         for a, b in zip(at[real].tolist(), at[real + 1].tolist()):
             word = joined[a:b]
             n = words.get(word)
             if n is None:
-                n = words[word] = self.merger.count(word.encode("utf-8", "surrogatepass"))
+                data = word.encode("utf-8", "surrogatepass")
+                if len(data) > LONG:
+                    long.setdefault(data, []).append(len(known))
+                    n = 0
+                else:
+                    n = words[word] = self.merger.count(data)
             known.append(n)
+        for places, n in zip(long.values(), self.long_counts(list(long))):
+            for place in places:
+                known[place] = n
         np.add.at(totals, np.array(owners)[np.searchsorted(ends, at[real])], known)
         if len(words) > MAX_WORDS:
             words.clear()
@@ -258,6 +272,19 @@ class Counter:
             self.merger.reset()
 
 
+    def long_counts(self, words: list[bytes]) -> list[int]:
+        if not words:
+            return []
+        self.long = self.long or LongWords(self.merges)
+        found = self.long.counts(words).tolist() if self.long.usable else [-1] * len(words)
+        out = []
+        for word, n in zip(words, found):
+            out.append(self.merger.count(word) if n < 0 else n)
+            if len(self.merger.states) > MAX_STATES:
+                self.merger.reset()
+        return out
+
+
 SAFE = re.compile(r"(?<=[^\W_]) (?=[^\W\d_])")
 
 
