@@ -4,8 +4,8 @@ The host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end,
 ``?``, ``#`` or the end. A rule is a host and a path (``net/``): it fits its host and every subdomain where the path starts with
 the rule's; of several that fit the longest wins. Where none fits, the n-grams of host and path give the verdict.
 
-The regression is trained here on a labelled URL table that is made by rule (``labelled_urls``, 4,000 rows);
-hashing and scoring are maps over each URL: no shuffle, no join. Up to ``INLINE_RULES`` rules are
+The regression is trained here on a small labelled URL table written by hand (``url_table``) in several forms and on rows
+made by rule (``labelled_urls``); hashing and scoring are maps over each URL: no shuffle, no join. Up to ``INLINE_RULES`` rules are
 compiled into the expression; a larger rule table is joined on the suffixes of the host.
 
 Defined results: a null URL and one without ``://`` have an empty host and path and are judged by the regression (its bias);
@@ -21,14 +21,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged
+from .url_table import ALLOW, BLOCK
 
 #: (verdict, rule) of the driver's query.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-INLINE_RULES = 256
+INLINE_RULES, VARIANTS, MADE_URLS = 256, 10, 4000
 CELLS = 1 << 15
 GRAMS = (3, 4)
 THRESHOLD = 0.5
-#: Words of the training table: of unwanted hosts and paths, of plain ones, and syllables that plain names are made of.
+#: Words of the made rows: of unwanted hosts and paths, of plain ones, syllables of plain names; paths and endings that variants take.
 BLOCK_WORDS = ("adult", "ads", "bets", "betting", "casino", "cheap", "clickbait", "cracked", "escort", "farm", "free", "keygen", "loan", "lottery", "malware", "phishing", "pills", "poker", "porn", "prize", "replica", "sex", "spam", "torrent", "track", "viagra", "warez", "win", "x", "xxx")
 ALLOW_WORDS = ("news", "wiki", "docs", "blog", "school", "library", "science", "weather", "recipes", "museum", "travel", "garden", "health", "history", "forum", "support", "radio", "council", "books", "maps")
 SYLLABLES = ("al", "an", "and", "ber", "ca", "de", "en", "er", "es", "ha", "he", "in", "ing", "lo", "ly", "ma", "on", "or", "ou", "re", "ri", "sh", "st", "th", "ti", "tion", "ver", "wh")
@@ -56,8 +57,8 @@ def grams(host: Column, path: Column) -> Column:
     return F.concat(*of("h", host), *of("p", path))
 
 
-def labelled_urls(spark: SparkSession, rows: int = 4000) -> DataFrame:
-    """The training table (url, label) by rule: 1 for block (hosts or paths of two unwanted words), 0 for plain names."""
+def made_urls(spark: SparkSession, rows: int = MADE_URLS) -> DataFrame:
+    """Rows (url, label) by rule: 1 for block (hosts or paths of two unwanted words), 0 for plain names."""
     draw = lambda k, values: F.get(F.array(*map(F.lit, values)), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(values))).cast("int"))
     bad = F.concat(draw(1, BLOCK_WORDS), draw(2, ("-", "-", "")), draw(3, BLOCK_WORDS))
     word = F.concat(draw(4, ALLOW_WORDS), draw(5, ("", "-", "hub")), draw(6, (*ALLOW_WORDS, "", "", "")))
@@ -70,6 +71,23 @@ def labelled_urls(spark: SparkSession, rows: int = 4000) -> DataFrame:
     return spark.range(rows).select(F.concat(draw(11, ("https://", "http://")), host, path).alias("url"), (kind >= 5).cast("double").alias("label"))
 
 
+def labelled_urls(spark: SparkSession, table: list[tuple[str, float]] | None = None, variants: int = VARIANTS, made: int = MADE_URLS) -> DataFrame:
+    """The training table (url, label): each address of the hand-written table (url, 1.0 for block) as it is and in ``variants`` more
+    forms, with another scheme, subdomain, ending or path, so that these say nothing; and ``made`` rows by rule."""
+    given = table if table is not None else [(u, 1.0) for u in BLOCK] + [(u, 0.0) for u in ALLOW]
+    draw = lambda k, values: F.get(F.array(*map(F.lit, values)), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(values))).cast("int"))
+    rows = spark.createDataFrame(given, "url string, label double").withColumn("form", F.explode(F.sequence(F.lit(0), F.lit(variants))))
+    rows = rows.withColumn("id", F.xxhash64("url", "form"))
+    host, path = url_parts(F.col("url"))
+    bare = F.regexp_replace(host, r"^(www|m|blog|en)\.", "")
+    stem = F.regexp_replace(bare, r"\.[^.]*$", "")
+    ended = F.when(F.pmod("id", F.lit(2)) == 0, bare).otherwise(F.concat(stem, F.lit("."), draw(8, ENDS)))
+    led = F.when(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(3)) == 0, draw(9, PLAIN_PATHS)).otherwise(path)
+    other = F.concat(draw(11, ("https://", "http://")), draw(10, ("", "www.", "m.", "blog.")), ended, led)
+    forms = rows.select(F.when(F.col("form") == 0, F.col("url")).otherwise(other).alias("url"), "label")
+    return forms.unionByName(made_urls(spark, made))
+
+
 class UrlModel:
     """Hashing and regression as Spark's own transformers: both map rows in the JVM."""
 

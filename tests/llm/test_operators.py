@@ -162,12 +162,50 @@ Population 3461785 in 1990, 3520031 in 2010.
 serial 88213490017 token 19384756201
 they arrived at home. Dinner was at 8.
 pages 112-118, volume 44, number 3
+Ruf mich an: ⟦phone:0171 / 2345678⟧, abends
+Praxis ⟦phone:089-1234567⟧ ab acht Uhr
+llame al ⟦phone:0034 612 345 678⟧ por favor
+Diners club ⟦card:30569309025904⟧ was charged
+paid by ⟦card:3056 930902 5904⟧ on site
+the gateway ⟦ip:fe80::1⟧ is up
+ping ⟦ip:2001:db8::ff00⟧ from home
+Please reach Maria at ⟦email:maria.k (at) gardening (dot) org⟧ again
+Schreib an ⟦email:vorstand [at] tennisclub-sued [dot] de⟧ bis morgen
+contact ⟦email:b.ohara(at)lighthouse.net⟧ for keys
+mail me: ⟦email:peter at riverside dot org⟧ ok
+Fax ⟦phone:040/55512-34⟧ im Haus
+phone ⟦phone:(020) 7946 0018⟧ or come by
+mobile ⟦phone:0151-20304050⟧ only
+Tel: ⟦phone:00 44 20 7946 0991⟧ thanks
+call ⟦phone:617.555.0143⟧ tomorrow
+her number is ⟦phone:312 555 0187⟧, ask first
+Visa ⟦card:4556 7375 8689 9855⟧ expired
+mastercard ⟦card:5425-2334-3010-9903⟧ works
+card ⟦card:371449635398431⟧ kept
+server ⟦ip:2001:0db8:0000:0000:0000:ff00:0042:8329⟧ log
+client ⟦ip:fd12:3456:789a:1::1⟧ left
+Season 1998/1999 was long.
+File 12/2044 is closed, page 77/3120 too.
+at 10:45 and 11:30 we met
+the year 2010-2014 report, 300 pages
+ratio 16:9 and 4:3 screens
+order 30569309025 shipped in 3 days
+the sum of 120 500 000 was paid
+see chapter 3.14.15 and table 2-4
+he sat at the table. Dot by dot it grew.
+meet me at noon. The dot org boom ended.
+ISBN 0-306-40615-2 and 0-471-95869-7
+coordinates 48.1372 11.5756 in town
+model 4000-1200 with 16 GB at 3200 MHz
+room 0171 on floor 4, locker 2345
 """
 
 
-def test_added_spans_on_lines_written_by_hand(spark, booster):
+def test_added_spans_on_lines_written_by_hand(spark):
     """Precision and recall of what the method adds to the base patterns, on lines that no rule of the training table made."""
-    from runtrail.llm.pii import with_spans
+    from runtrail.llm.pii import fit, with_spans
+
+    booster = fit(spark)  # the query's own model
 
     lines, truth = [], []
     for line in WRITTEN.strip().split("\n"):
@@ -185,7 +223,7 @@ def test_added_spans_on_lines_written_by_hand(spark, booster):
     right = sum(len(a & t) for a, t in zip(added, truth))
     made, wanted = sum(map(len, added)), sum(len(t - b) for t, b in zip(truth, base))
     print(f"added spans: {right} right of {made} made, {wanted} wanted", [(lines[i], added[i], truth[i]) for i in range(len(lines)) if added[i] != truth[i] - base[i]])
-    assert right >= 0.9 * made and right >= 0.7 * wanted
+    assert right >= 0.9 * made and right >= 0.9 * wanted
 
 
 def test_generators_propose_all_that_their_patterns_match(spark):
@@ -365,6 +403,31 @@ def url_model(spark):
     return fit(spark)
 
 
+def test_urls_of_the_hand_written_table_that_were_held_out(spark):
+    """A third of the addresses is learned from neither as it is nor in another form."""
+    from runtrail.llm import urls
+
+    table = [(u, 1.0) for u in urls.BLOCK] + [(u, 0.0) for u in urls.ALLOW]
+    random.Random(4).shuffle(table)
+    model = urls.fit(spark, urls.labelled_urls(spark, table[60:]))
+    host, path = urls.url_parts(F.col("url"))
+    rows = spark.createDataFrame(table[:60], "url string, label double").withColumns({"host": host, "path": path})
+    got = [(r["label"], r["p"] >= urls.THRESHOLD) for r in model.with_probability(rows, "p").collect()]
+    right = sum((label == 1) == said for label, said in got)
+    print("held-out addresses:", right, "right of", len(got), "wanted ones blocked:", sum(said for label, said in got if label == 0), "of", sum(label == 0 for label, _ in got))
+    assert right >= 0.65 * len(got)
+
+
+def test_a_model_of_personal_data_is_kept_in_the_shared_folder(spark, monkeypatch):
+    from runtrail.llm import pii
+
+    first = pii.fit(spark, rows=400, trees=2, depth=2)
+    monkeypatch.setattr(pii, "_FITTED", {})
+    monkeypatch.setattr(pii, "GBTClassifier", lambda **_: pytest.fail("trained again"))
+    again = pii.fit(spark, rows=400, trees=2, depth=2)
+    assert (again.margin, again.thresholds) == (first.margin, first.thresholds)
+
+
 def test_url_rules_and_regression(spark, url_model):
     from runtrail.llm.urls import RULES, judged, url_digest
 
