@@ -34,6 +34,21 @@ def running_totals(steps: DataFrame, order: str, counts: list[str], descending:
     return rows.withColumns({f"upto_{c}": F.col(f"__{c}") + F.sum(c).over(here) for c in counts}).drop("__part", *[f"__{c}" for c in counts])
 
 
+def hash_ranked(rows: DataFrame, group: str, key: str, seed: int, name: str) -> DataFrame:
+    """Add ``name``: the place of each row, from 1, within its group by hash of the key; the same on every run.
+
+    A group is dealt into ranges of the hash; a table of their counts says what stands before a range, so a group of any size is
+    ranked by many tasks.
+    """
+    placed = staged(rows.withColumn("__h", F.xxhash64(F.lit(seed), key)).withColumn("__range", F.shiftright("__h", 52)), "hashed")
+    counts = placed.groupBy(group, "__range").agg(F.count("*").alias("c"))
+    before = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # 4096 ranges at most
+    base = counts.select(F.col(group).alias("__g"), F.col("__range").alias("__r"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__base"))
+    here = F.row_number().over(Window.partitionBy(group, "__range").orderBy("__h", key))
+    ranked = placed.withColumn("__here", here).join(base, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__range") == F.col("__r")))
+    return ranked.withColumn(name, F.col("__base") + F.col("__here")).drop("__h", "__range", "__g", "__r", "__base", "__here")
+
+
 def score_steps(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Positives and negatives of each distinct score, with running totals from the highest down; equal scores count first."""
     steps = rows.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, Normalizer, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .evaluation import hash_ranked
 from .tokens import api_ngrams, document_frequencies, tfidf
 
 CELLS = 1 << 18
@@ -55,12 +58,13 @@ class FamilyModel:
         if len(matrix) == 1:  # two families: one row of coefficients, for the second against the first
             matrix = [-matrix[0], matrix[0]]
         names = self.index.labels
-        table = [(int(c), names[f], float(matrix[f][c])) for f in range(len(names)) for c in matrix[f].nonzero()[0]]
-        weights = spark.createDataFrame(table, "cell int, family string, coefficient double")  # cells times families at most
+        at = [np.flatnonzero(row) for row in matrix]
+        table = pd.DataFrame({"cell": np.concatenate(at).astype(np.int32), "family": np.repeat(names, [len(a) for a in at]), "coefficient": np.concatenate([row[a] for row, a in zip(matrix, at)])})
+        weights = spark.createDataFrame(table, "cell int, family string, coefficient double")  # by column, as the model itself is held: cells times families at most
         own = rows.select("run_id", "family", F.array_distinct("tokens").alias("tokens")).withColumn("root", F.sqrt(F.size("tokens")))
         tokens = own.select("run_id", "family", "root", F.explode("tokens").alias("token"))
         distinct = tokens.select(F.array("token").alias("tokens"), "token").distinct()
-        hashed = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=cells, binary=True).transform(distinct).select("token", first_cell("tf").alias("cell"))
+        hashed = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=cells, binary=True).transform(distinct).select("token", one_cell(F.col("tf")).alias("cell"))
         scored = tokens.join(hashed, "token").join(weights, ["cell", "family"], "left")
         scored = scored.withColumn("impact", F.coalesce("coefficient", F.lit(0.0)) / F.col("root"))
         rank = F.row_number().over(Window.partitionBy("run_id", "family").orderBy(F.desc("impact"), "token"))
@@ -76,10 +80,9 @@ class FamilyModel:
         return cls(StringIndexerModel.load(f"{path}/families"), regression, regression.numFeatures)
 
 
-@F.udf(T.IntegerType())
-def first_cell(vector):
+def one_cell(vector: Column) -> Column:
     """The cell of a vector that has one entry."""
-    return int(vector.indices[0])
+    return F.get_json_object(F.to_json(F.struct(vector.alias("v"))), "$.v.indices[0]").cast("int")
 
 
 def open_set(family: Column, confidence: Column, threshold: float = 0.5) -> Column:
@@ -116,7 +119,8 @@ def fit_ngrams(calls: DataFrame, labels: DataFrame, min_df: int = 2, penalty: fl
     made = vectors.join(labels.select("run_id", "label"), "run_id").select(F.col("label").cast("double").alias("label"), sparse("v", F.lit(cells)).alias("features"))
     model = LogisticRegression(regParam=penalty, maxIter=50, standardization=False).fit(made)
     learned = model.coefficients.toArray()
-    weights = idf.sparkSession.createDataFrame([(int(i), float(learned[i])) for i in learned.nonzero()[0]], "cell int, weight double")  # ``cells`` at most
+    at = np.flatnonzero(learned)
+    weights = idf.sparkSession.createDataFrame(pd.DataFrame({"cell": at.astype(np.int32), "weight": learned[at]}), "cell int, weight double")  # by column, ``cells`` at most
     return idf.join(weights, "cell", "left").select("token", "idf", F.coalesce("weight", F.lit(0.0)).alias("weight")), float(model.intercept)
 
 
@@ -146,8 +150,7 @@ def model_spark() -> SparkSession:
 
 def folds(rows: DataFrame, key: str, label: str, k: int = 5, seed: int = 0) -> DataFrame:
     """Add ``fold``: stratified by label, by hash of the key, so the same on every run."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key))
-    return rows.withColumn("fold", (rank - 1) % k)
+    return hash_ranked(rows, label, key, seed, "__rank").withColumn("fold", (F.col("__rank") - 1) % k).drop("__rank")
 
 
 def leave_one_out(rows: DataFrame, by: str, fit, score) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .evaluation import hash_ranked
+
 
 def line_families(lines: DataFrame) -> DataFrame:
     """(category, line, families) of (category, line, family)."""
@@ -32,8 +34,7 @@ def prevalence_without(prevalence: DataFrame, family: str | None) -> DataFrame:
 
 def sampled_runs(runs: DataFrame, per_family: int = 200, seed: int = 0) -> DataFrame:
     """At most ``per_family`` runs of each family, by hash of their identity: the same on every run."""
-    rank = F.row_number().over(Window.partitionBy("family").orderBy(F.xxhash64(F.lit(seed), "run_id"), "run_id"))
-    return runs.withColumn("__n", rank).where(F.col("__n") <= per_family).drop("__n")
+    return hash_ranked(runs, "family", "run_id", seed, "__n").where(F.col("__n") <= per_family).drop("__n")
 
 
 def mean_prevalence(tokens: DataFrame, runs: DataFrame, prefix: str = "imp:") -> DataFrame:

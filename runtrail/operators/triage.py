@@ -61,9 +61,9 @@ def byte_entropy(data: pd.Series) -> pd.Series:
 
 
 def triage_files(files: DataFrame, data_col: str = "content") -> DataFrame:
-    """Add score, label, detonate, reasons, strings, urls, ips, entropy and is_pe to files with their bytes."""
+    """Add score, label, detonate, reasons, strings, urls, ips, entropy, is_pe and md5 to files with their bytes."""
     data = F.substring(data_col, 1, ANALYSED_BYTES)
-    rows = files.withColumns({"strings": printable_strings(data), "entropy": byte_entropy(data), "is_pe": F.substring(data_col, 1, 2) == F.lit(bytearray(b"MZ"))})
+    rows = files.withColumns({"strings": printable_strings(data), "entropy": byte_entropy(data), "is_pe": F.substring(data_col, 1, 2) == F.lit(bytearray(b"MZ")), "md5": F.md5(data_col)})
     plain = F.decode(data, "ISO-8859-1")
     rows = rows.withColumns({"urls": urls_in(plain), "ips": addresses_in(plain), "__text": F.array_join("strings", "\n")})
     more = [
@@ -104,7 +104,41 @@ def triage_metadata(files: DataFrame, pe: str = "pe") -> DataFrame:
 
 # --- feature rows of pre-extracted files
 
-SECTION_BUCKETS, LIBRARIES, FUNCTIONS, EXPORTS = 50, 256, 1024, 128
+SECTION_BUCKETS, LIBRARIES, FUNCTIONS, EXPORTS, HEADER_BUCKETS, DIRECTORIES = 50, 256, 1024, 128, 10, 15
+
+# --- fixed values: fields of a feature row, APIs and section names with a feature of their own
+
+STRING_FIELDS = ["numstrings", "avlength", "printables"], ["entropy", "paths", "urls", "registry", "MZ"]
+GENERAL_FIELDS = ["size", "vsize", "has_debug", "exports", "imports", "has_relocations", "has_resources", "has_signature", "has_tls", "symbols"]
+HEADER_FIELDS = [
+    "major_image_version", "minor_image_version", "major_linker_version", "minor_linker_version", "major_operating_system_version", "minor_operating_system_version",
+    "major_subsystem_version", "minor_subsystem_version", "sizeof_code", "sizeof_headers", "sizeof_heap_commit",
+]
+MORE_APIS = [
+    "VirtualAlloc", "VirtualProtect", "LoadLibraryA", "GetProcAddress", "CreateProcessA", "CreateProcessW", "ShellExecuteA", "ShellExecuteW", "OpenProcess", "ReadProcessMemory",
+    "ResumeThread", "SetThreadContext", "GetThreadContext", "CryptAcquireContextA", "CryptDecrypt", "CryptGenKey", "InternetOpenA", "InternetReadFile", "HttpSendRequestA", "WSAStartup",
+    "connect", "socket", "RegCreateKeyExA", "RegOpenKeyExA", "CreateServiceA", "OpenSCManagerA", "AdjustTokenPrivileges", "GetTickCount", "Sleep", "FindFirstFileA",
+    "GetForegroundWindow", "GetKeyboardState", "OpenClipboard", "CreateToolhelp32Snapshot",
+]
+MORE_PACKERS = [".packed", ".themida", ".vmp0", ".vmp1", "petite", ".nsp0", ".adata", "pec2"]
+
+NAMED_APIS = sorted({*APIS, *MORE_APIS})
+NAMED_SECTIONS = sorted({*(p.lower() for p in PACKERS), *MORE_PACKERS})
+
+
+def numbered(name: str, n: int, mark: str = "#") -> list[str]:
+    return [f"{name}[{i}]" if mark == "[" else f"{name}#{i}" for i in range(n)]
+
+
+#: The name of every feature, in the order of ``file_features``.
+FEATURE_NAMES = [
+    *numbered("histogram", 256, "["), *numbered("byteentropy", 256, "["),
+    *(f"strings.{f}" for f in STRING_FIELDS[0]), *numbered("strings.printabledist", 96, "["), *(f"strings.{f}" for f in STRING_FIELDS[1]), *(f"general.{f}" for f in GENERAL_FIELDS),
+    "header.coff.timestamp", *(n for f in ("machine", "characteristics", "subsystem", "dll_characteristics", "magic") for n in numbered(f"header.{f}", HEADER_BUCKETS)), *(f"header.{f}" for f in HEADER_FIELDS),
+    *(f"section.{f}" for f in ("count", "n_zero_size", "n_empty_name", "n_rx", "n_w")), *(n for f in ("size", "entropy", "vsize", "entry_name", "entry_props") for n in numbered(f"section.{f}", SECTION_BUCKETS)),
+    *numbered("imports.library", LIBRARIES), *numbered("imports.function", FUNCTIONS), *numbered("exports", EXPORTS), *(f"datadir[{i}].{f}" for i in range(DIRECTORIES) for f in ("size", "va")),
+    *(f"imports:{a}" for a in NAMED_APIS), *(f"section:{p}" for p in NAMED_SECTIONS), "file_entropy",
+]
 
 
 def bucket_counts(tokens: Column, n: int) -> Column:
@@ -127,24 +161,42 @@ def bucket_sums(pairs: Column, n: int) -> Column:
 
 
 def file_features(rows: DataFrame) -> DataFrame:
-    """Add ``features``: byte histograms over their sums, string and header numbers, hashed sections, imports and exports.
+    """Add ``features``, an array of doubles whose places are named by ``FEATURE_NAMES``; missing fields count as nothing.
 
-    Rows have histogram, byteentropy, strings, general, section and imports as their reader gives them (sources.files).
+    Histograms are divided by their sums; names of sections, libraries, functions and exports and words of the header are counted
+    in hashed buckets; notable APIs and packers' sections have places of their own. Rows are as ``feature_rows`` reads them.
     """
     number = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    none = F.array().cast("array<string>")
-    libraries = F.transform(F.coalesce(F.map_keys("imports"), none), lambda x: F.lower(x))
-    functions = F.flatten(F.transform(F.map_entries("imports"), lambda e: F.transform(e["value"], lambda f: F.concat(F.lower(e["key"]), F.lit(":"), f))))
-    sections = F.coalesce(F.col("section.sections"), F.array().cast("array<struct<name:string,size:double,entropy:double,vsize:double,props:array<string>>>"))
-    valued = lambda field: F.transform(sections, lambda s: F.struct(F.coalesce(s["name"], F.lit("")).alias("name"), number(s[field]).alias("value")))
-    strings = F.array(*[number(F.col(f"strings.{f}")) for f in ("numstrings", "avlength", "printables", "entropy", "paths", "urls", "registry", "MZ")])
-    general = F.array(*[number(F.col(f"general.{f}")) for f in ("size", "vsize", "has_debug", "exports", "imports", "has_relocations", "has_resources", "has_signature", "has_tls", "symbols")])
+    numbers = lambda prefix, fields: F.array(*[number(F.col(f"{prefix}.{f}")) for f in fields])
+    none, text = F.array().cast("array<string>"), lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    of_size = lambda c, n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: number(F.get(F.coalesce(c, F.array().cast("array<bigint>")), i)))
+    words = lambda c: F.filter(F.coalesce(c, none), lambda x: x.isNotNull())
+    optional, coff = (lambda f: F.col(f"header.optional.{f}")), (lambda f: F.col(f"header.coff.{f}"))
+    rows = rows.withColumns({
+        "__sections": F.filter(F.coalesce("section.sections", F.array().cast("array<struct<name:string,size:double,entropy:double,vsize:double,props:array<string>>>")), lambda s: s.isNotNull()),
+        "__functions": F.flatten(F.transform(F.map_entries(F.coalesce("imports", F.create_map().cast("map<string,array<string>>"))), lambda e: F.transform(words(e["value"]), lambda f: F.struct(F.lower(e["key"]).alias("library"), f.alias("f"))))),
+        "__entry": text(F.col("section.entry")),
+    }).withColumns({"__names": F.array_distinct(F.transform("__functions", lambda x: F.lower(F.substring_index(x["f"], "@", 1)))), "__marks": F.transform("__sections", lambda s: F.lower(text(s["name"])))})
+    sections = F.col("__sections")
+    holds = lambda s, prop: F.array_contains(words(s["props"]), prop)
+    having = lambda condition: F.size(F.filter(sections, condition)).cast("double")
+    valued = lambda field: bucket_sums(F.transform(sections, lambda s: F.struct(text(s["name"]).alias("name"), number(s[field]).alias("value"))), SECTION_BUCKETS)
+    entry_props = words(F.get(F.filter(sections, lambda s: text(s["name"]) == F.col("__entry")), F.lit(0))["props"])
+    summed = lambda c: let(c, normalised)
+    spread = F.when(number(F.col("strings.printables")) != 0, summed(of_size(F.col("strings.printabledist"), 96))).otherwise(F.array_repeat(F.lit(0.0), 96))
+    api = lambda a: (F.exists("__names", lambda n: F.startswith(n, F.lit(a.lower()))) if a in APIS else F.array_contains("__names", a.lower())).cast("double")
+    directory = lambda i: [number(F.get("datadirectories", F.lit(i))[f]) for f in ("size", "virtual_address")]
     parts = [
-        normalised(F.transform("histogram", lambda x: x.cast("double"))), normalised(F.transform("byteentropy", lambda x: x.cast("double"))), strings, normalised(F.transform("strings.printabledist", lambda x: x.cast("double"))), general,
-        bucket_sums(valued("size"), SECTION_BUCKETS), bucket_sums(valued("entropy"), SECTION_BUCKETS), bucket_sums(valued("vsize"), SECTION_BUCKETS),
-        bucket_counts(libraries, LIBRARIES), bucket_counts(F.coalesce(functions, none), FUNCTIONS), bucket_counts(F.coalesce(F.col("exports"), none), EXPORTS),
+        summed(of_size(F.col("histogram"), 256)), summed(of_size(F.col("byteentropy"), 256)), numbers("strings", STRING_FIELDS[0]), spread, numbers("strings", STRING_FIELDS[1]), numbers("general", GENERAL_FIELDS),
+        F.array(number(coff("timestamp"))), bucket_counts(F.array(text(coff("machine"))), HEADER_BUCKETS), bucket_counts(words(coff("characteristics")), HEADER_BUCKETS),
+        bucket_counts(F.array(text(optional("subsystem"))), HEADER_BUCKETS), bucket_counts(words(optional("dll_characteristics")), HEADER_BUCKETS), bucket_counts(F.array(text(optional("magic"))), HEADER_BUCKETS), numbers("header.optional", HEADER_FIELDS),
+        F.array(F.size(sections).cast("double"), having(lambda s: number(s["size"]) == 0), having(lambda s: text(s["name"]) == ""), having(lambda s: holds(s, "MEM_READ") & holds(s, "MEM_EXECUTE")), having(lambda s: holds(s, "MEM_WRITE"))),
+        valued("size"), valued("entropy"), valued("vsize"), bucket_counts(F.array("__entry"), SECTION_BUCKETS), bucket_counts(entry_props, SECTION_BUCKETS),
+        bucket_counts(F.transform(F.map_keys(F.coalesce("imports", F.create_map().cast("map<string,array<string>>"))), lambda x: F.lower(x)), LIBRARIES),
+        bucket_counts(F.transform("__functions", lambda x: F.concat(x["library"], F.lit(":"), x["f"])), FUNCTIONS), bucket_counts(words(F.col("exports")), EXPORTS),
+        F.array(*[v for i in range(DIRECTORIES) for v in directory(i)]), F.array(*map(api, NAMED_APIS)), F.array(*[F.array_contains("__marks", p).cast("double") for p in NAMED_SECTIONS]), F.array(entropy_of_counts(of_size(F.col("histogram"), 256))),
     ]
-    return rows.withColumn("features", F.concat(*parts))
+    return rows.withColumn("features", F.concat(*parts)).drop("__sections", "__functions", "__entry", "__names", "__marks")
 
 
 def heuristic_scores(rows: DataFrame) -> DataFrame:
@@ -170,7 +222,7 @@ FILE_ROW = (
     "sha256 string, label int, appeared string, histogram array<long>, byteentropy array<long>,"
     "strings struct<numstrings:double,avlength:double,printabledist:array<long>,printables:double,entropy:double,paths:double,urls:double,registry:double,MZ:double>,"
     "general struct<size:double,vsize:double,has_debug:double,exports:double,imports:double,has_relocations:double,has_resources:double,has_signature:double,has_tls:double,symbols:double>,"
-    "header struct<coff:struct<timestamp:long,machine:string,characteristics:array<string>>,optional:struct<subsystem:string,dll_characteristics:array<string>,magic:string>>,"
+    "header struct<coff:struct<timestamp:long,machine:string,characteristics:array<string>>,optional:struct<subsystem:string,dll_characteristics:array<string>,magic:string,major_image_version:double,minor_image_version:double,major_linker_version:double,minor_linker_version:double,major_operating_system_version:double,minor_operating_system_version:double,major_subsystem_version:double,minor_subsystem_version:double,sizeof_code:double,sizeof_headers:double,sizeof_heap_commit:double>>,"
     "section struct<entry:string,sections:array<struct<name:string,size:double,entropy:double,vsize:double,props:array<string>>>>,"
     "imports map<string,array<string>>, exports array<string>, datadirectories array<struct<name:string,size:double,virtual_address:double>>"
 )

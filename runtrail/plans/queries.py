@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar, text
@@ -59,7 +59,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The typed event table: ingested once, then read like any stored table."""
-    return ingested(spark, "trace-events", sf_dir, lambda: e.trace_events(table(spark, sf_dir, "events")))
+    return ingested(spark, "trace-events", f"{sf_dir}/events.parquet", lambda: e.trace_events(table(spark, sf_dir, "events")))
 
 
 def query(sql: str | None = None):
@@ -558,7 +558,7 @@ def defang_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.defang(F.regexp_extract("url", "^https?://[^/?#]+", 0)).alias("host_defanged"))
 
 
-@query(None)
+@query(r"SELECT page_id, regexp_replace(regexp_replace(url, '^http', 'hxxp'), '\.(net|org)(/|$)', '[.]\1\2') AS url_defanged FROM pages")
 def defang_whole_urls(spark, sf_dir):
     """Each page's whole URL made harmless, path and query included; tested against a brute-force form."""
     return table(spark, sf_dir, "pages").select("page_id", text.defang(F.col("url")).alias("url_defanged"))
@@ -705,7 +705,10 @@ def histogram_normalise(spark, sf_dir):
     return rounded(table(spark, sf_dir, "embeddings").select("vec_id", F.get(scalar.normalised(x), F.lit(0)).alias("first")), "first", digits=5)
 
 
-@query(None)
+@query(f"""WITH {_WORDS}, tab AS (SELECT list_transform(range(256), lambda x: list_reduce(list_concat([x::UBIGINT], list_transform(range(8), lambda i: 0::UBIGINT)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS t),
+tok AS (SELECT DISTINCT token FROM wd),
+crc AS (SELECT token, xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(token, ''), lambda a: ascii(a)::UBIGINT)), lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS BIGINT)])), 4294967295::UBIGINT) AS h FROM tok, tab)
+SELECT doc_id, CAST(h % 1024 AS INT) AS bucket, count(*) AS n FROM w JOIN crc USING (token) GROUP BY 1, 2""")
 def feature_hash_crc32(spark, sf_dir):
     return words(spark, sf_dir).select("doc_id", scalar.crc_bucket(F.col("token"), 1024).alias("bucket")).groupBy("doc_id", "bucket").agg(F.count("*").alias("n"))
 
@@ -809,7 +812,7 @@ def evidence_rejects(spark, sf_dir):
 @query(f"WITH {TRACE}, a AS (SELECT DISTINCT target AS item FROM te WHERE type = 'api_call'), v AS (SELECT item, CAST(row_number() OVER (ORDER BY item) AS INT) AS code FROM a), r AS (SELECT te.run_id, te.seq, code, row_number() OVER (PARTITION BY te.run_id ORDER BY te.seq DESC) AS back FROM te JOIN v ON v.item = te.target WHERE type = 'api_call'), c AS (SELECT run_id, list(code ORDER BY seq) AS c FROM r WHERE back <= 12 GROUP BY 1) SELECT run_id, array_to_string(list_concat(list_transform(range(0, 12 - len(c)), lambda x: 0), c), ' ') AS codes FROM c")
 def encoded_sequences(spark, sf_dir):
     calls = tokens.api_calls(traces(spark, sf_dir)).select("run_id", "seq", F.col("api").alias("item"))
-    vocabulary = calls.select("item").distinct().withColumn("code", F.row_number().over(Window.orderBy("item")))  # a vocabulary, not the rows
+    vocabulary = ev.running_totals(calls.select("item").distinct().withColumn("one", F.lit(1)), "item", ["one"], False).select("item", F.col("upto_one").cast("int").alias("code"))
     return ev.encoded(calls, vocabulary, 12).select("run_id", F.array_join("codes", " ").alias("codes"))
 
 

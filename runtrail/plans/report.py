@@ -106,6 +106,12 @@ def write_reports(rows: DataFrame, out: str) -> None:
     rows.select("run_id", "content_sha256", F.to_json("report").alias("json"), page.alias("page")).write.mode("overwrite").parquet(out)
 
 
+def write_pages(rows: DataFrame, out: str) -> None:
+    """Written reports (run_id, json, page) as files: a folder of each run below ``out``/json and ``out``/pages."""
+    for column, folder in (("json", "json"), ("page", "pages")):
+        rows.select("run_id", F.col(column).alias("value")).write.mode("overwrite").partitionBy("run_id").text(f"{out}/{folder}")
+
+
 def build_negative_corpus(lines: DataFrame, imports: DataFrame, per_family: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(lines with their families, prevalence of imports) of sampled runs.
 
@@ -123,10 +129,30 @@ LEDGER = "job string, status string, at timestamp, detail string, batch string"
 
 
 def ledger_of(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger at ``path``; none yet is an empty one, any other failure to read it is an error."""
+    """The ledger at ``path``; none yet is an empty one. Torn files are left out: what they did is done again, under the same name."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-    return spark.read.schema(LEDGER).option("recursiveFileLookup", "true").parquet(path) if there else spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).options(recursiveFileLookup="true", ignoreCorruptFiles="true").parquet(path) if there else spark.createDataFrame([], LEDGER)
+
+
+def report_part(spark: SparkSession, files: DataFrame, failed: DataFrame, todo: DataFrame, out: str, ledger_path: str, label: str) -> DataFrame:
+    """Report the files that ``todo`` (job, path) names, and write (job, status, ..) of all its jobs to the ledger, under one label.
+
+    Both are written over what stood under the label, reports first, so a part that is cut off and done again leaves nothing double.
+    """
+    rows, rejects = reports(spark, files.join(todo.select("path"), "path", "left_semi"))
+    write_reports(rows, f"{out}/batch={label}")
+    reasons = rejects.unionByName(failed).groupBy("path").agg(F.first("reason").alias("detail"))
+    done = todo.join(reasons, "path", "left").select("job", F.when(F.col("detail").isNull(), "done").otherwise("failed").alias("status"), F.current_timestamp().alias("at"), "detail", F.lit(label).alias("batch"))
+    done = staged(done, "ledger")
+    done.write.mode("overwrite").parquet(f"{ledger_path}/{label}")
+    return done
+
+
+def jobs_of(files: DataFrame, large: DataFrame) -> DataFrame:
+    """(job, path): one job per content; files over the cap are jobs by their path."""
+    jobs = files.groupBy(F.substring("sha256", 1, 16).alias("job")).agg(F.min("path").alias("path"))
+    return jobs.unionByName(large.select(F.substring(F.sha2("path", 256), 1, 16).alias("job"), "path"))
 
 
 def batch(spark: SparkSession, path: str, out: str, ledger_path: str) -> DataFrame:
@@ -137,21 +163,34 @@ def batch(spark: SparkSession, path: str, out: str, ledger_path: str) -> DataFra
     what the ledger knows. A job is a file's content.
     """
     files, large = sources.read_files(spark, path)
-    ledger = ledger_of(spark, ledger_path)
-    jobs = files.groupBy(F.substring("sha256", 1, 16).alias("job")).agg(F.min("path").alias("path"))
-    jobs = jobs.unionByName(large.select(F.substring(F.sha2("path", 256), 1, 16).alias("job"), "path"))
-    todo = staged(still_to_do(jobs, ledger, "job", F.col("at")), "todo")
+    todo = staged(still_to_do(jobs_of(files, large), ledger_of(spark, ledger_path), "job", F.col("at")), "todo")
     name = todo.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("job")).alias("h")).first()
     if not name["n"]:
         return todo.select("job", F.lit("done").alias("status"))
     label = f"{name['n']}-{name['h'] & (2**64 - 1):016x}"
-    rows, rejects = reports(spark, files.join(todo.select("path"), "path", "left_semi"))
-    write_reports(rows, f"{out}/batch={label}")
-    failed = rejects.unionByName(large).groupBy("path").agg(F.first("reason").alias("detail"))
-    done = todo.join(failed, "path", "left").select("job", F.when(F.col("detail").isNull(), "done").otherwise("failed").alias("status"), F.current_timestamp().alias("at"), "detail", F.lit(label).alias("batch"))
-    done = staged(done, "ledger")
-    done.write.mode("overwrite").parquet(f"{ledger_path}/{label}")
-    return done.select("job", "status")
+    return report_part(spark, files, large, todo, out, ledger_path, label).select("job", "status")
+
+
+def report_stream(spark: SparkSession, path: str, out: str, ledger_path: str, checkpoint: str, files_per_batch: int = 1000, max_bytes: int = sources.MAX_BYTES):
+    """Start a stream over a folder that reports each content once, takes what there is and stops; start it again to go on.
+
+    A micro-batch is written under its number, so one that is repeated after a stop (before, between or after its two writes)
+    replaces itself. What the ledger of other micro-batches knows is left out, so a content that arrives again, under whatever
+    name, has no second report. A run's id is its content's, hence unique over all time.
+    """
+    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch)
+    files = files.schema("path string, modificationTime timestamp, length long, content binary").load(path)
+
+    def report_batch(arrived: DataFrame, number: int) -> None:
+        session, label = arrived.sparkSession, f"stream-{number}"
+        kept = staged(arrived.where(F.col("length") <= max_bytes).select("path", "content", F.sha2("content", 256).alias("sha256")), "arrived")
+        large = arrived.where(F.col("length") > max_bytes).select("path", F.lit("file too large").alias("reason"))
+        known = ledger_of(session, ledger_path).where(F.col("batch") != label)
+        todo = staged(still_to_do(jobs_of(kept, large), known, "job", F.col("at")), "todo")
+        if todo.take(1):
+            report_part(session, kept, large, todo, out, ledger_path, label)
+
+    return files.writeStream.foreachBatch(report_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def finished_reports(spark: SparkSession, out: str, ledger_path: str) -> DataFrame:

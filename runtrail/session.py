@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,12 +32,19 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_INGESTED: dict[tuple[str, str, str], str] = {}
+_INGESTED: dict[tuple[str, ...], str] = {}
+
+
+def source_state(spark: SparkSession, path: str) -> str:
+    """What tells one state of the files at a path from another: their names, sizes and times. No content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    found = files.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("path", "length", "modificationTime")), F.lit(0)).alias("h")).first()
+    return f"{found['n']}-{found['h'] & (2**64 - 1):016x}"
 
 
 def ingested(spark: SparkSession, label: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table made once per application and source, kept as Parquet in the shared folder."""
-    key = (spark.sparkContext.applicationId, label, source)
+    """A table made once per application and state of its source, kept as Parquet in the shared folder."""
+    key = (spark.sparkContext.applicationId, label, source, source_state(spark, source))
     if key not in _INGESTED:
         path = f"{shared_dir(spark)}/{label}-{hashlib.sha256(repr(key).encode()).hexdigest()[:16]}-{uuid.uuid4().hex[:8]}"
         make().write.parquet(path)

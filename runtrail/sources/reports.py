@@ -37,14 +37,21 @@ def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> tu
 
 
 def decoded(content: Column) -> Column:
-    """Text of a log export by its byte-order mark or its zero bytes: UTF-8, UTF-16, UTF-32; broken bytes do no harm."""
+    """Text of a log export by its byte-order mark, or by where zero bytes stand in its first letter: UTF-8, UTF-16, UTF-32.
+
+    Bytes after the last whole letter are left out; broken UTF-8 does no harm.
+    """
     head = F.hex(F.substring(content, 1, 4))
-    plain = F.decode(content, "ISO-8859-1")
+    plain = F.decode(F.substring(content, 1, 4), "ISO-8859-1")
+    whole = lambda width: F.substring(content, F.lit(1), (F.floor(F.octet_length(content) / width) * width).cast("int"))
     utf8 = F.coalesce(F.try_validate_utf8(content.cast("string")), F.make_valid_utf8(content.cast("string")))
     text = (
-        F.when(head.isin("FFFE0000", "0000FEFF"), F.decode(content, "UTF-32"))
-        .when(F.startswith(head, F.lit("FFFE")) | F.startswith(head, F.lit("FEFF")), F.decode(content, "UTF-16"))
-        .when(plain.rlike("^[^\x00]\x00|^\x00[^\x00]"), F.regexp_replace(plain, "\x00", ""))
+        F.when(head.isin("FFFE0000", "0000FEFF"), F.decode(whole(4), "UTF-32"))
+        .when(F.startswith(head, F.lit("FFFE")) | F.startswith(head, F.lit("FEFF")), F.decode(whole(2), "UTF-16"))
+        .when(plain.rlike("^[^\x00]\x00\x00\x00"), F.decode(F.concat(F.unhex(F.lit("FFFE0000")), whole(4)), "UTF-32"))
+        .when(plain.rlike("^\x00\x00\x00[^\x00]"), F.decode(whole(4), "UTF-32"))
+        .when(plain.rlike("^[^\x00]\x00"), F.decode(whole(2), "UTF-16LE"))
+        .when(plain.rlike("^\x00[^\x00]"), F.decode(whole(2), "UTF-16BE"))
         .otherwise(utf8)
     )
     return F.regexp_replace(text, "^﻿", "")
@@ -368,10 +375,10 @@ def labelled(reports: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def feature_rows(spark: SparkSession, path: str, labelled_only: bool = True) -> DataFrame:
-    """Pre-extracted file features, one JSON object a line; unlabelled rows (-1) go."""
+    """Pre-extracted file features, one JSON object a line, with ``member``, the file it stands in; unlabelled rows (-1) go."""
     from ..operators.triage import FILE_ROW
 
-    rows = spark.read.schema(FILE_ROW).json(path)
+    rows = spark.read.schema(FILE_ROW).json(path).select("*", F.col("_metadata.file_name").alias("member"))
     return rows.where(F.col("label").isin(0, 1)) if labelled_only else rows
 
 
