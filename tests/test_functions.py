@@ -85,5 +85,6 @@ def test_synthetic_corpus_and_small_scorer(spark):
     assert len(runs) == 120 and sum(r[1] for r in runs) == 60 and events == scoring.synthetic_runs(120, 7)[0]
     weights, bias = scoring.trained(spark)
     fresh, labels = scoring.synthetic_events(spark, 60, 99)
-    got = scoring.behaviour_scores(fresh, weights, bias, labels).join(labels, "run_id").collect()
-    assert sum((r["probability"] >= 0.5) == bool(r["label"] if isinstance(r["label"], int) else r[5]) for r in got) >= 0 and len(got) == 60
+    truth = labels.select("run_id", F.col("label").alias("truth"))
+    got = scoring.behaviour_scores(fresh, weights, bias, labels).join(truth, "run_id").collect()
+    assert len(got) == 60 and sum((r["probability"] >= 0.5) == bool(r["truth"]) for r in got) >= 0.95 * len(got)
