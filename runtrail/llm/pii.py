@@ -260,7 +260,8 @@ def fit(spark: SparkSession, rows: int = TRAINING_ROWS, trees: int = 16, depth:
             kept = None
         if kept is None:
             made = train(spark, rows, trees, depth, precision)
-            spark.createDataFrame([(made.margin, made.thresholds)], "margin string, thresholds map<string,double>").coalesce(1).write.mode("overwrite").json(path)
+            bars = F.create_map(*[F.lit(x) for pair in made.thresholds.items() for x in pair])
+            spark.range(1).select(F.lit(made.margin).alias("margin"), bars.alias("thresholds")).coalesce(1).write.mode("overwrite").json(path)
             _FITTED[key] = made
         else:
             _FITTED[key] = Booster(kept["margin"], kept["thresholds"])

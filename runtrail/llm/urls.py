@@ -76,7 +76,8 @@ def labelled_urls(spark: SparkSession, table: list[tuple[str, float]] | None = N
     forms, with another scheme, subdomain, ending or path, so that these say nothing; and ``made`` rows by rule."""
     given = table if table is not None else [(u, 1.0) for u in BLOCK] + [(u, 0.0) for u in ALLOW]
     draw = lambda k, values: F.get(F.array(*map(F.lit, values)), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(values))).cast("int"))
-    rows = spark.createDataFrame(given, "url string, label double").withColumn("form", F.explode(F.sequence(F.lit(0), F.lit(variants))))
+    listed = F.array(*[F.struct(F.lit(u).alias("url"), F.lit(label).alias("label")) for u, label in given])
+    rows = spark.range(1).select(F.inline(listed)).withColumn("form", F.explode(F.sequence(F.lit(0), F.lit(variants))))
     rows = rows.withColumn("id", F.xxhash64("url", "form"))
     host, path = url_parts(F.col("url"))
     bare = F.regexp_replace(host, r"^(www|m|blog|en)\.", "")
