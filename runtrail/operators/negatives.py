@@ -22,6 +22,16 @@ def import_prevalence(tokens: DataFrame, least: int = 2) -> DataFrame:
     """(family, token, p): share of a family's runs with a token; tokens of fewer than ``least`` runs go. Rounded to 4."""
     rows = tokens.select("family", "run_id", "token").distinct()
     size = tokens.groupBy("family").agg(F.count_distinct("run_id").alias("runs"))
+    return _shares(rows, size, least)
+
+
+def set_prevalence(sets: DataFrame, least: int = 2) -> DataFrame:
+    """``import_prevalence`` of (family, run_id, tokens) with one row of distinct tokens a run: no token is shuffled with its run."""
+    sets = sets.where(F.size("tokens") > 0)
+    return _shares(sets.select("family", F.explode("tokens").alias("token")), sets.groupBy("family").agg(F.count("*").alias("runs")), least)
+
+
+def _shares(rows: DataFrame, size: DataFrame, least: int) -> DataFrame:
     counts = rows.groupBy("family", "token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return counts.join(size, "family").select("family", "token", F.round(F.col("n") / F.col("runs"), 4).alias("p"))
 
