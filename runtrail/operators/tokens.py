@@ -17,30 +17,46 @@ MAX_TOKENS, MIN_CALLS = 4000, 5
 
 
 def behaviour_tokens(events: DataFrame) -> DataFrame:
-    """(run_id, token), distinct. Targets are normalised once per distinct value, then joined back.
+    """(run_id, token), distinct. Tokens are made in each event's own row: most events have no command line and many share a
+    target, so a join on either would send them to one task.
 
     ``opened_only`` (optional column) marks files and keys that were opened without a known operation.
     """
     rows = with_technique(events)
     opened = F.coalesce(F.col("opened_only"), F.lit(False)) if "opened_only" in events.columns else F.lit(False)
-    kind, target = F.col("type"), F.coalesce("target", F.lit(""))
-    slim = rows.select("run_id", kind, target.alias("target"), F.coalesce("cmdline", F.lit("")).alias("cmdline"), "technique", "tactic", opened.alias("opened")).distinct()
-    values = slim.select(F.explode(F.array("target", "cmdline")).alias("value")).distinct().withColumn("normal", normalize(F.col("value")))
-    named = slim.join(values.select(F.col("value").alias("target"), F.col("normal").alias("t")), "target").join(values.select(F.col("value").alias("cmdline"), F.col("normal").alias("c")), "cmdline")
+    kind, target, cmdline = F.col("type"), F.coalesce("target", F.lit("")), F.coalesce("cmdline", F.lit(""))
+    named = rows.select("run_id", "type", target.alias("target"), "technique", "tactic", opened.alias("opened"), F.when(kind != "api_call", normalize(target)).alias("t"), F.when((kind == "process_create") & (cmdline != ""), normalize(cmdline)).alias("c"))
     t, c = F.col("t"), F.col("c")
     file_kind = F.when(F.col("opened"), "file_open").otherwise(kind)
     key_kind = F.when(F.col("opened"), "reg_open").otherwise(kind)
     join = lambda *parts: F.concat(*parts)
     is_file, is_key = kind.isin("file_read", "file_write", "file_delete"), F.startswith(kind, F.lit("registry_"))
     own = (
-        F.when(kind == "api_call", F.array(join(F.lit("api:"), api_name(F.col("target")))))
-        .when(kind == "process_create", F.array(join(F.lit("exec:"), t), F.when(F.col("cmdline") != "", join(F.lit("cmd:"), F.substring(c, 1, 120)))))
+        F.when(kind == "api_call", api_tokens())
+        .when(kind == "process_create", F.array(join(F.lit("exec:"), t), join(F.lit("cmd:"), F.substring(c, 1, 120))))
         .when(is_file, F.array(join(file_kind, F.lit(":"), t), join(file_kind, F.lit("_dir:"), dirname(t)), F.when(kind != "file_read", join(file_kind, F.lit("_ext:"), extension(t)))))
         .when(is_key, F.array(join(key_kind, F.lit(":"), t), join(key_kind, F.lit("_parent:"), dirname(t))))
         .otherwise(F.array(join(kind, F.lit(":"), t)))
     )
-    general = F.when(F.col("technique").isNotNull(), F.array(join(F.lit("tech:"), F.col("technique")), join(F.lit("tactic:"), F.col("tactic")))).otherwise(F.array().cast("array<string>"))
-    return named.select("run_id", F.explode(F.array_compact(F.concat(general, own))).alias("token")).distinct()
+    return distinct_tokens(named, F.concat(general_tokens(), own))
+
+
+def technique_tokens(events: DataFrame) -> DataFrame:
+    """(run_id, token): those of ``behaviour_tokens`` that name a technique, a tactic or an API call."""
+    named = with_technique(events).withColumn("target", F.coalesce("target", F.lit("")))
+    return distinct_tokens(named, F.concat(general_tokens(), F.when(F.col("type") == "api_call", api_tokens()).otherwise(F.array().cast("array<string>"))))
+
+
+def general_tokens() -> Column:
+    return F.when(F.col("technique").isNotNull(), F.array(F.concat(F.lit("tech:"), F.col("technique")), F.concat(F.lit("tactic:"), F.col("tactic")))).otherwise(F.array().cast("array<string>"))
+
+
+def api_tokens() -> Column:
+    return F.array(F.concat(F.lit("api:"), api_name(F.col("target"))))
+
+
+def distinct_tokens(rows: DataFrame, made: Column) -> DataFrame:
+    return rows.select("run_id", F.explode(F.array_compact(made)).alias("token")).distinct()
 
 
 def token_sets(tokens: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:

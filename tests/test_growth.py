@@ -23,3 +23,12 @@ def test_metadata_rules_try_few_sets_and_equal_brute_force(spark, monkeypatch):
             wanted[i] = (own, need)
     got = {r["run_id"]: (r["imports"], r["need"]) for r in rules.metadata_rules(rows, rows, prevalence).collect()}
     assert got == wanted and 0 < len(wanted) < len(runs)
+
+
+def test_tokens_are_made_without_a_join_on_hot_values(spark):
+    rows = spark.createDataFrame([(1, "api_call", "kernel32.dll.Sleep", None), (1, "api_call", "EnumProcesses", None), (1, "file_write", "C:\\a\\f1.locked", None), (2, "process_create", "cmd.exe", '"'), (2, "process_create", "cmd.exe", ""), (2, "registry_set", None, None), (3, None, None, None)], "run_id long, type string, target string, cmdline string")
+    found = tokens.behaviour_tokens(rows)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(map(tuple, found.collect()))
+    assert {(1, "api:sleep"), (1, "file_write:c:\\a\\f#.locked"), (1, "tech:T1486"), (2, "cmd:"), (2, "exec:cmd.exe"), (2, "registry_set:")} <= set(got) and len(got) == len(set(got)) and all(r != 3 for r, _ in got)
+    assert sorted(map(tuple, tokens.technique_tokens(rows).collect())) == [g for g in got if g[1].startswith(("tech:", "tactic:", "api:"))]
