@@ -32,3 +32,13 @@ def test_tokens_are_made_without_a_join_on_hot_values(spark):
     got = sorted(map(tuple, found.collect()))
     assert {(1, "api:sleep"), (1, "file_write:c:\\a\\f#.locked"), (1, "tech:T1486"), (2, "cmd:"), (2, "exec:cmd.exe"), (2, "registry_set:")} <= set(got) and len(got) == len(set(got)) and all(r != 3 for r, _ in got)
     assert sorted(map(tuple, tokens.technique_tokens(rows).collect())) == [g for g in got if g[1].startswith(("tech:", "tactic:", "api:"))]
+
+
+def test_bags_of_words_need_no_shuffle(spark, sf_dir):
+    from runtrail.plans import queries
+
+    bags = queries.word_bags(spark, sf_dir)
+    assert not {"Exchange", "Aggregate", "Join"} & set(bags._jdf.queryExecution().executedPlan().toString().replace("+-", " ").split())
+    wanted = {r["doc_id"]: set(r["t"]) for r in queries.words(spark, sf_dir).groupBy("doc_id").agg(F.collect_set("token").alias("t")).collect()}
+    rows = bags.where("size(tokens) > 0").collect()
+    assert {r["run_id"]: set(r["tokens"]) for r in rows} == wanted and all(len(r["tokens"]) == len(set(r["tokens"])) for r in rows)
