@@ -4,8 +4,8 @@ A tolerant scanner cuts a page into blocks. Structure settles what it can: scrip
 forms, notices, adverts and comments (by element, role, or a word of class or id) are boilerplate; blocks within an article stand.
 What structure leaves open (pages or parts of pages without an article element) is settled by the host's suffix arrays: the token
 streams of a host's pages (open blocks and boilerplate, not articles) are laid end to end, suffixes are sorted to a depth of
-``min_tokens`` by prefix doubling, and equal neighbours are runs that repeat. Each task sorts its own pages; arrays are merged by
-adding, for every run, the pages that hold it, in one shuffle with partial sums. A run that at least ``min_pages`` distinct pages
+``min_tokens`` by prefix doubling, and equal neighbours are runs that repeat. Distinct pages are dealt by host; arrays of one host
+are merged by adding, for every run, the pages that hold it, in one shuffle with partial sums. A run that at least ``min_pages`` distinct pages
 and ``min_share`` of the host's distinct pages hold is boilerplate: covered tokens go, unique runs stay in place. Pages of equal
 blocks count as one page, so copies of a page do not remove each other. Text within articles stays however often it repeats.
 
@@ -32,6 +32,8 @@ from .urls import url_parts
 
 MIN_TOKENS, MIN_PAGES, MIN_SHARE = 8, 3, 0.1
 SLAB_BYTES = 1 << 21
+#: Tasks that a host is dealt over, tokens of one suffix array.
+HOST_PARTS, ARRAY_TOKENS = 64, 1 << 20
 
 # --- fixed values: elements by what they do to text
 
@@ -266,8 +268,8 @@ class Slab:
 
 
 def surveyed(pages: DataFrame, keep: list[str], html_col: str, depth: int) -> DataFrame:
-    """One pass over all pages. ``kind`` 0: (key, n) pages of a task that hold a run. 1: (key: host, n) distinct pages of a host in
-    a task. 2: pages with open blocks: their columns, host, blocks, their state, and the key of the run at each open token."""
+    """One pass over all pages. ``kind`` 1: (key: host, n: number of the page's blocks, keys: its stream of open and boilerplate
+    tokens) of each page. 2: pages with open blocks: their columns, host, blocks, their state, and the key of the run at each open token."""
     fields = [*(pages.schema[c] for c in keep), T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("state", T.ArrayType(T.IntegerType())), T.StructField("keys", T.ArrayType(T.LongType()))]
     schema = T.StructType(fields)
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
@@ -279,16 +281,15 @@ def surveyed(pages: DataFrame, keep: list[str], html_col: str, depth: int) -> Da
         for batch in batches:
             column, hosts = (batch.column(batch.schema.get_field_index(c)) for c in (html_col, "__host"))
             for lo, hi in spans_of(column, SLAB_BYTES):
-                slab, open_rows, counts = Slab(depth), [], {}
+                open_rows, streams = [], []
                 for i, (html, host) in enumerate(zip(column.slice(lo, hi - lo).to_pylist(), hosts.slice(lo, hi - lo).to_pylist()), lo):
                     blocks = settled(blocks_of(html))
                     tokens = token_numbers([w for s, t in blocks if s < 1 for w in t.split()])
-                    if slab.add(host, xxhash.xxh64_intdigest("\n".join(t for _, t in blocks)), tokens):
-                        counts[host] = counts.get(host, 0) + 1
+                    page = xxhash.xxh64_intdigest("\n".join(t for _, t in blocks))
+                    streams.append((host, page - (page >> 63 << 64), tokens.view(np.int64)))
                     if any(s == 0 for s, _ in blocks):
                         open_rows.append((i, host, blocks, run_keys(host, tokens, depth)))
-                keys, n = slab.runs()
-                yield rows_of(batch, [None] * (len(keys) + len(counts)), [0] * len(keys) + [1] * len(counts), [*keys.tolist(), *counts], [*n.tolist(), *counts.values()], None)
+                yield rows_of(batch, [None] * len(streams), [1] * len(streams), [r[0] for r in streams], [r[1] for r in streams], [(None, None, r[2]) for r in streams])
                 if open_rows:
                     yield rows_of(batch, [r[0] for r in open_rows], [2] * len(open_rows), [r[1] for r in open_rows], [0] * len(open_rows), [([t for _, t in r[2]], [s for s, _ in r[2]], r[3].tolist()) for r in open_rows])
 
@@ -300,6 +301,35 @@ def surveyed(pages: DataFrame, keep: list[str], html_col: str, depth: int) -> Da
     return pages.select(*{c: None for c in [*keep, html_col, "__host"]}).mapInArrow(run, nullable(schema))
 
 
+def host_runs(streams: DataFrame, depth: int) -> DataFrame:
+    """(key, n): runs and how many pages hold them, by suffix arrays of hosts. ``streams``: (host, page, tokens), each page once.
+
+    A host's streams are dealt by host; a large host is dealt over up to ``HOST_PARTS`` tasks and cut into arrays of ``ARRAY_TOKENS``
+    tokens, whose runs are added up.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slab, held = Slab(depth), 0
+
+        def closed() -> pa.RecordBatch:
+            keys, n = slab.runs()
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+
+        for batch in batches:
+            tokens = batch.column(2)
+            for i, (host, page) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                stream = tokens[i].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                slab.add(host, page, stream)
+                held += len(stream)
+                if held >= ARRAY_TOKENS:
+                    yield closed()
+                    slab, held = Slab(depth), 0
+        yield closed()
+
+    dealt = streams.select("host", "page", "tokens").repartition("host", F.pmod("page", F.lit(HOST_PARTS)))
+    return dealt.mapInArrow(run, "key long, n long")
+
+
 def nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 
@@ -327,8 +357,12 @@ def extracted(pages: DataFrame, html_col: str = "html", url_col: str = "url", ke
     columns = [f"__k{i}" for i in range(len(keep))]  # own names: those of the passes must not clash with them
     rows = pages.select(*(F.col(k).alias(c) for k, c in zip(keep, columns)), F.col(html_col).alias("__html"), F.xxhash64(host).alias("__host"))
     found = staged(surveyed(rows, columns, "__html", min_tokens), "html-runs")
-    repeated = found.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages)
-    counts = found.where("kind = 1").groupBy(F.col("key").alias("host")).agg(F.sum("n").alias("of"))
+    # hosts without open blocks have nothing that an array could settle; pages of equal blocks are one page, wherever they were read
+    asked = found.where("kind = 2").select(F.col("key").alias("host")).distinct()
+    streams = found.where("kind = 1").select(F.col("key").alias("host"), F.col("n").alias("page"), F.col("keys").alias("tokens")).join(asked, "host", "left_semi")
+    streams = staged(streams.groupBy("host", "page").agg(F.first("tokens").alias("tokens")), "html-streams")
+    repeated = host_runs(streams, min_tokens).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages)
+    counts = streams.groupBy("host").agg(F.count("*").alias("of"))
     pages_open = staged(found.where("kind = 2").select(*columns, F.col("key").alias("host"), "blocks", "state", "keys", F.monotonically_increasing_id().alias("row")), "html-open")
     at = pages_open.select("row", "host", F.posexplode("keys").alias("at", "key"))
     held = at.join(repeated, "key").join(counts, "host").where(F.col("n") >= F.lit(min_share) * F.col("of"))
