@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from runtrail.operators import events, negatives, rules, tokens
+from runtrail.operators import negatives, rules, tokens
 
 
 def test_metadata_rules_try_few_sets_and_equal_brute_force(spark, monkeypatch):
@@ -42,3 +42,14 @@ def test_bags_of_words_need_no_shuffle(spark, sf_dir):
     wanted = {r["doc_id"]: set(r["t"]) for r in queries.words(spark, sf_dir).groupBy("doc_id").agg(F.collect_set("token").alias("t")).collect()}
     rows = bags.where("size(tokens) > 0").collect()
     assert {r["run_id"]: set(r["tokens"]) for r in rows} == wanted and all(len(r["tokens"]) == len(set(r["tokens"])) for r in rows)
+
+
+def test_rare_imports_by_sets_equal_those_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(rules, "HEAD_TOKENS", 2)
+    rows = spark.createDataFrame([(f, r, f"imp:{t}") for f, r, ts in (("a", 1, "xyz"), ("a", 2, "xy"), ("a", 3, "xq"), ("b", 4, "xxz"), ("b", 5, "zz")) for t in ts], "family string, run_id long, token string")
+    sets = rows.groupBy("family", "run_id").agg(F.collect_set("token").alias("tokens"))
+    by_set = negatives.set_prevalence(sets)
+    assert sorted(map(tuple, by_set.collect())) == sorted(map(tuple, negatives.import_prevalence(rows).collect())) == [("a", "imp:x", 1.0), ("a", "imp:y", 0.6667), ("b", "imp:z", 1.0)]
+    common = negatives.prevalence_without(by_set, None)
+    got = {r["run_id"]: r["imports"] for r in rules.rare_imports(rows, common, 2, 0.9).collect()}
+    assert got == {1: ["imp:y"], 2: ["imp:y"], 3: ["imp:q"]}
