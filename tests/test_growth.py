@@ -53,3 +53,34 @@ def test_rare_imports_by_sets_equal_those_by_rows(spark, monkeypatch):
     common = negatives.prevalence_without(by_set, None)
     got = {r["run_id"]: r["imports"] for r in rules.rare_imports(rows, common, 2, 0.9).collect()}
     assert got == {1: ["imp:y"], 2: ["imp:y"], 3: ["imp:q"]}
+
+
+def test_rare_imports_join_no_common_tokens_and_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(rules, "HEAD_TOKENS", 6)
+    written, put = {}, rules.staged
+    monkeypatch.setattr(rules, "staged", lambda df, label: written.setdefault(label, put(df, label)))
+    draw = random.Random(7)
+    runs = {i: draw.sample("abcdefghijklmnopqrst", draw.randint(0, 12)) for i in range(90)} | {90: ["t"], 91: ["é", "z", "a"]}
+    share = {c: k // 2 / 100 for k, c in enumerate("tsrqponmlkjihg")}
+    sets = spark.createDataFrame(list(runs.items()), "run_id long, tokens array<string>").repartition(3)
+    got = {r["run_id"]: r["imports"] for r in rules.rare_in_sets(sets, spark.createDataFrame(list(share.items()), "token string, p double"), 3, 0.06).collect()}
+    wanted = {i: sorted((t for t in ts if share.get(t, 0.0) < 0.06), key=lambda t: (share.get(t, 0.0), t))[:3] for i, ts in runs.items()}
+    assert got == {i: ts for i, ts in wanted.items() if ts}
+    head = {r["token"] for r in written["common-tokens"].collect()}
+    assert len(head) == 6 and all(len(r["often"]) <= 3 and not head & set(r["rest"]) for r in written["rare-in-rows"].collect())
+
+
+def test_words_of_documents_are_made_in_rows_and_repeated_ids_united(spark, tmp_path, monkeypatch):
+    from runtrail.plans import queries
+
+    def shuffled(rows):
+        spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        plans, put = {}, queries.staged
+        monkeypatch.setattr(queries, "staged", lambda df, label: (plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString()), put(df, label))[1])
+        got = sorted(((r["family"] or "", r["run_id"] or 0, sorted(r["tokens"])) for r in queries.word_sets(spark, str(tmp_path)).collect()))
+        monkeypatch.setattr(queries, "staged", put)
+        return got, "Exchange" in plans["word-sets"]
+
+    plain = [(1, "a", "One two, ONE"), (2, None, "x"), (3, "b", None), (None, "b", "éy 5"), (4, "b", " 12 ")]
+    assert shuffled(plain) == ([("", 2, ["x"]), ("a", 1, ["one", "two"]), ("b", 0, ["y"])], False)
+    assert shuffled([*plain, (1, "a", "three one"), (1, "b", "one"), (2, None, "z"), (None, "b", "w")])[0] == [("", 2, ["x", "z"]), ("a", 1, ["one", "three", "two"]), ("b", 0, ["w", "y"]), ("b", 1, ["one"])]
