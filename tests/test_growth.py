@@ -84,3 +84,43 @@ def test_words_of_documents_are_made_in_rows_and_repeated_ids_united(spark, tmp_
     plain = [(1, "a", "One two, ONE"), (2, None, "x"), (3, "b", None), (None, "b", "éy 5"), (4, "b", " 12 ")]
     assert shuffled(plain) == ([("", 2, ["x"]), ("a", 1, ["one", "two"]), ("b", 0, ["y"])], False)
     assert shuffled([*plain, (1, "a", "three one"), (1, "b", "one"), (2, None, "z"), (None, "b", "w")])[0] == [("", 2, ["x", "z"]), ("a", 1, ["one", "three", "two"]), ("b", 0, ["w", "y"]), ("b", 1, ["one"])]
+
+
+def test_ladders_are_made_once_for_all_users_of_a_path(spark):
+    rows = [(r, 1, "file_write", f"C:\\Users\\u{r}\\AppData\\Roaming\\app3\\f9.exe", None) for r in range(30)] + [(r, 2, "process_create", "cmd.exe", f"cmd.exe /c del {r}") for r in range(30)]
+    events = spark.createDataFrame(rows, "run_id long, seq long, type string, target string, cmdline string")
+    made = rules.ladders(rules.actions(events)).collect()
+    assert {r["category"] for r in made} == {"file_event", "process_creation"} and len({(r["category"], r["base"], r["whole"]) for r in made}) == 2 and len(made) < 10
+    got = rules.candidates(events).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("first_seq", "pos", "rung", "pattern", "specific"))).alias("c")).collect()
+    wanted = sorted((1 if r["category"] == "file_event" else 2, r["pos"], r["rung"], r["pattern"], r["specific"]) for r in made)
+    assert len(got) == 30 and all(list(map(tuple, r["c"])) == wanted for r in got)
+    # a run without a family is a candidate's too
+    acts = rules.actions(events).withColumn("family", F.when(F.col("run_id") > 0, "f"))
+    passing = acts.select(*rules.SHAPE, "family").distinct().join(rules.ladders(acts), rules.SHAPE)
+    best = {(r["run_id"], r["first_seq"]): r["pattern"] for r in rules.picked(acts, passing).collect()}
+    assert best == {(run, seq): max(w for w in wanted if w[0] == seq)[3] for run in range(30) for seq in (1, 2)}
+
+
+def test_survivors_by_counts_of_families_equal_brute_force(spark):
+    draw = random.Random(5)
+    families = {r: {draw.choice(["a", "b", "c", None]) for _ in range(draw.choice([1, 1, 2]))} for r in range(60)}
+    hits = sorted({("file", f"p{draw.randint(0, 11)}", r, f) for _ in range(260) for r in [draw.randint(0, 59)] for f in families[r]}, key=str)
+    own = [("file", f"p{i}", f, i != 3) for i in range(13) for f in ("a", "b", "d", None)]
+    as_rules = spark.createDataFrame(own, "category string, pattern string, family string, specific boolean")
+    for one_family in (False, True):
+        seen = [h for h in hits if not one_family or len(families[h[2]]) == 1]
+        as_hits = spark.createDataFrame(seen, "category string, pattern string, neg_run long, neg_family string")
+        got = {(r["pattern"], r["family"]) for r in rules.surviving(as_rules, as_hits, 9, one_family=one_family).collect()}
+        wanted = {(p, f) for _, p, f, specific in own if specific and len({r for _, q, r, g in seen if q == p and None not in (f, g) and g != f}) <= 9}
+        assert got == wanted and 0 < len(got) < 48
+
+
+def test_lines_fit_patterns_without_a_compiled_like(spark):
+    pairs = [("*abcdef*abcdef", "abcdefabcdef"), ("*abcdef*abcdef", "abcdef"), ("abcdef*f", "abcdef"), ("*abcdef**ghijkl*", "xabcdefghijkl"), ("*ABCDEF*é", "abcdef\né"), ("*abcdef_*", "abcdefg"), ("abcdef*", "xabcdef"), ("*abcdef*g*abcdef*", "abcdefgxabcdefabcdef")]
+    patterns = spark.createDataFrame([("x", p) for p, _ in pairs], "category string, pattern string")
+    found = rules.matches(patterns, spark.createDataFrame([("x", line) for _, line in pairs], "category string, line string"))
+    assert " LIKE " not in found._jdf.queryExecution().optimizedPlan().toString()
+    import re
+
+    fits = lambda p, line: re.fullmatch("".join(".*" if c == "*" else re.escape(c) for c in p.lower()), line.lower(), re.S)
+    assert sorted((r["pattern"], r["line"]) for r in found.collect()) == sorted({(p, line) for p, _ in pairs for _, line in pairs if fits(p, line)})
