@@ -124,3 +124,15 @@ def test_lines_fit_patterns_without_a_compiled_like(spark):
 
     fits = lambda p, line: re.fullmatch("".join(".*" if c == "*" else re.escape(c) for c in p.lower()), line.lower(), re.S)
     assert sorted((r["pattern"], r["line"]) for r in found.collect()) == sorted({(p, line) for p, _ in pairs for _, line in pairs if fits(p, line)})
+
+
+def test_grid_decides_by_shape_and_keeps_bitmaps_of_chosen_patterns_alone(spark, sf_dir, monkeypatch):
+    from runtrail.plans import queries
+
+    written, put, kept, make = {}, queries.staged, [], rules.hit_bitmaps
+    monkeypatch.setattr(queries, "staged", lambda df, label: written.setdefault(label, put(df, label)))
+    monkeypatch.setattr(queries.rules, "hit_bitmaps", lambda hits, runs: (kept.append(hits), make(hits, runs))[1])
+    assert queries.rule_grid(spark, sf_dir).count() > 0
+    named = lambda df: {(r["category"], r["pattern"]) for r in df.select("category", "pattern").distinct().collect()}
+    assert "run_id" not in written["passing"].columns and {"base", "whole", "family"} <= set(written["passing"].columns)
+    assert named(kept[0]) == named(written["chosen"]) & named(written["rule-hits"])
