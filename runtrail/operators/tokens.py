@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
+from string import ascii_letters
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,3 +218,49 @@ def nearest_prototype(sets: DataFrame, prototypes: DataFrame, id_col: str = "run
     rest = rest.groupBy("key", "psig", "family").agg(F.count("*").alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("first").alias("first"))
     best = reduce(DataFrame.unionByName, [*found, ranked(rest)])
     return mine.select(id_col, "key").join(best, "key", "left").select(id_col, F.col("b.family").alias("family"), F.coalesce(F.col("b.similarity"), F.lit(0.0)).alias("similarity"))
+
+
+#: Each byte's letter in lower case, 0 for what is no letter.
+LETTERS = np.array([b | 32 if chr(b) in ascii_letters else 0 for b in range(256)], np.uint8)
+#: Bytes of text that are looked at once.
+TEXT = 1 << 23
+
+
+def word_rows(texts: DataFrame) -> DataFrame:
+    """(.., tokens) of (.., text): the distinct words of A-Z of each text in lower case, by the row alone; a null text has none.
+
+    Texts are looked at as bytes, many rows at once: any other byte, of a longer character too, ends a word.
+    """
+    keep = [c for c in texts.columns if c != "text"]
+
+    def words(text: pa.Array) -> pa.Array:
+        text = pc.fill_null(text, "").cast(pa.large_string())
+        ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        letters = LETTERS[np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
+        ends = ends - ends[0]
+        inside = letters > 0
+        begins, stops = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1]
+        stops[:-1] &= ~inside[1:]
+        edge = ends[(ends > 0) & (ends < len(letters))]  # a word does not go on in the next row
+        begins[edge] = inside[edge]
+        stops[edge - 1] = inside[edge - 1]
+        begins, stops = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+        spans = np.concatenate([[0], np.cumsum(stops - begins)]).astype(np.int32)
+        found = pa.StringArray.from_buffers(len(begins), pa.py_buffer(spans), pa.py_buffer(letters[inside])).dictionary_encode()
+        pairs = np.sort((np.searchsorted(ends, begins, "right") - 1) << 32 | found.indices.to_numpy())
+        pairs = pairs[np.diff(pairs, prepend=-1) != 0]
+        rows = np.searchsorted(pairs, np.arange(len(text) + 1) << 32).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(rows), found.dictionary.take(pa.array(pairs & (1 << 32) - 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False))
+            cuts = [0, *np.flatnonzero(np.diff(size // TEXT)) + 1, batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                part = batch.slice(a, b - a)
+                if b > a:
+                    yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), words(part["text"])], names=[*keep, "tokens"])
+
+    kinds = "".join(f"{c} {texts.schema[c].dataType.simpleString()}, " for c in keep)
+    return texts.select(*keep, "text").mapInArrow(run, kinds + "tokens array<string>")

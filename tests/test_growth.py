@@ -25,6 +25,55 @@ def test_metadata_rules_try_few_sets_and_equal_brute_force(spark, monkeypatch):
     assert got == wanted and 0 < len(wanted) < len(runs)
 
 
+def test_rules_meet_sets_in_blocks_and_not_as_pairs(spark, monkeypatch):
+    from runtrail.operators import overlaps
+
+    monkeypatch.setattr(overlaps, "SMALL", 300)
+    monkeypatch.setattr(overlaps, "PART", 40)
+    monkeypatch.setattr(overlaps, "BATCH", 16)
+    monkeypatch.setattr(overlaps, "EXPANDED", 50)
+    written, put = {}, rules.staged
+    monkeypatch.setattr(rules, "staged", lambda df, label: (written.setdefault(label, df._jdf.queryExecution().optimizedPlan().toString()), put(df, label))[1])
+    draw = random.Random(11)
+    words = [f"w{c}" for c in range(40)]
+    runs = {(draw.choice("abc"), i): sorted(draw.sample(words, draw.randint(1, 12))) for i in range(160)}
+    runs |= {("a", 200): ["é", "y", "z"], ("b", 200): ["x", "y", "z"], (None, 201): ["x", "y", "é"], (None, None): words[:9], ("c", None): ["x", "z", "é"], ("b", 202): []}
+    sets = spark.createDataFrame([(f, i, ts) for (f, i), ts in runs.items()], "family string, run_id long, tokens array<string>").repartition(3)
+    share = {c: (k % 9) / 200 for k, c in enumerate(words)} | {"w3": 0.5}
+    got = {r["run_id"]: (r["imports"], r["need"]) for r in rules.set_rules(sets, spark.createDataFrame(list(share.items()), "token string, p double")).collect()}
+    wanted = {}
+    for i in {i for _, i in runs} - {None}:
+        own = min((f for f, j in runs if j == i and f), default=None)
+        picked = sorted(({t for (_, j), ts in runs.items() if j == i for t in ts if share.get(t, 0.0) < 0.05}), key=lambda t: (share.get(t, 0.0), t))[:8]
+        need = max(2, round(len(picked) * 0.75))
+        if len(picked) >= 3 and not any(len(set(picked) & set(ts)) >= need for (f, _), ts in runs.items() if f != own):
+            wanted[i] = (picked, need)
+    assert got == wanted and 20 < len(wanted) < len(runs) - 20
+    # pairs of a rule and a set were rows of a join on tokens
+    assert "Join" not in written["hit-rules"] and "RepartitionBy" in written["hit-rules"]
+
+
+def test_a_block_looks_at_few_sets_for_all_tokens():
+    import numpy as np
+    import pyarrow as pa
+
+    from runtrail.operators.overlaps import Block
+
+    draw = random.Random(2)
+    held = [sorted(draw.sample(range(400), 60)) for _ in range(900)]
+    sides = [draw.choice("ab") for _ in held]
+    asked = [sorted(draw.sample(range(400), 8)) for _ in range(300)] + [s[:8] for s in held[:40]]
+    own = [draw.choice("abc") for _ in range(300)] + sides[:40]
+    names = lambda rows: pa.array([[f"t{t}" for t in r] for r in rows], pa.list_(pa.string()))
+    block = Block([(pa.array(sides[i::2]), names(held[i::2]).flatten().dictionary_encode(), np.full(len(held[i::2]), 60)) for i in (0, 1)])
+    hit = block.hits(names(asked), pa.array(own), np.full(len(asked), 6), (3, 20))
+    assert list(hit) == [any(s != o and len(set(a) & set(h)) >= 6 for h, s in zip(held, sides)) for a, o in zip(asked, own)]
+    single = sum(len(set(a[:3]) & set(h)) > 0 for a in asked for h in held)
+    assert block.compared * 2 < single
+    empty = Block([])
+    assert not empty.hits(names([[1, 2, 3]]), pa.array(["a"]), np.array([2]), ()).any()
+
+
 def test_tokens_are_made_without_a_join_on_hot_values(spark):
     rows = spark.createDataFrame([(1, "api_call", "kernel32.dll.Sleep", None), (1, "api_call", "EnumProcesses", None), (1, "file_write", "C:\\a\\f1.locked", None), (2, "process_create", "cmd.exe", '"'), (2, "process_create", "cmd.exe", ""), (2, "registry_set", None, None), (3, None, None, None)], "run_id long, type string, target string, cmdline string")
     found = tokens.behaviour_tokens(rows)
@@ -86,6 +135,18 @@ def test_words_of_documents_are_made_in_rows_and_repeated_ids_united(spark, tmp_
     assert shuffled([*plain, (1, "a", "three one"), (1, "b", "one"), (2, None, "z"), (None, "b", "w")])[0] == [("", 2, ["x", "z"]), ("a", 1, ["one", "three", "two"]), ("b", 0, ["w", "y"]), ("b", 1, ["one"])]
 
 
+def test_words_as_bytes_equal_words_by_expression(spark, sf_dir, monkeypatch):
+    from runtrail.plans import queries
+
+    odd = ["", None, "aB", "b a B", "é1Ab\u212aZz\U0001f600z@[`{", "\x00x\ny", None, "ends", "Begins", " ", "s\u017f", "x" * 70]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id long, text string").coalesce(1).unionByName(queries.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    for size in (1 << 23, 5):
+        monkeypatch.setattr(tokens, "TEXT", size)
+        got = sorted((r["doc_id"], sorted(r["tokens"])) for r in tokens.word_rows(rows).collect())
+        assert got == sorted((r["doc_id"], sorted(r["t"] or [])) for r in rows.select("doc_id", queries.distinct_words().alias("t")).collect())
+    assert {i: t for i, t in got if i < 12 and t == ["x", "y"]} == {5: ["x", "y"]}
+
+
 def test_ladders_are_made_once_for_all_users_of_a_path(spark):
     rows = [(r, 1, "file_write", f"C:\\Users\\u{r}\\AppData\\Roaming\\app3\\f9.exe", None) for r in range(30)] + [(r, 2, "process_create", "cmd.exe", f"cmd.exe /c del {r}") for r in range(30)]
     events = spark.createDataFrame(rows, "run_id long, seq long, type string, target string, cmdline string")
